@@ -399,3 +399,27 @@ def ask(df: DataFrame, question: str) -> DataFrame:
     if intent == "bottom":
         return bottom_segments(df, metric, roles["product"] or roles["region"])
     return insights(df)
+
+
+# ---------------------------------------------------------------- PRJ7 / PRJ10
+def rows_in_month(df: DataFrame, date: str, month: str) -> DataFrame:
+    """Rows of one calendar month, as a literal range (pushed into the Parquet scan)."""
+    start = str(month)[:7] + "-01"
+    ts = as_timestamp(df, date)
+    return df.where((ts >= ts_literal(start)) & (ts < ts_literal(_add_month(start))))
+
+
+def row_at(df: DataFrame, key: str, position: int) -> DataFrame:
+    """The row at ``position`` (0-based) in key order; raises when out of range.
+
+    Spark tables have no positional order, so a key column defines it; the
+    top-(position+1) limit keeps the work bounded per partition.
+    """
+    if position < 0:
+        raise IndexError("row position must be >= 0")
+    head = df.orderBy(key).limit(position + 1)
+    w = Window.orderBy(key)
+    picked = head.withColumn("_pos", F.row_number().over(w) - 1).where(F.col("_pos") == position).drop("_pos")
+    if picked.isEmpty():
+        raise IndexError(f"row position {position} out of range")
+    return picked
