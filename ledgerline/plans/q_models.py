@@ -1 +1,67 @@
-"""Placeholder filled in below."""
+"""Drift, model-health, problem-type and split queries, plus model jobs (ML1–ML19, SRC7, SRC8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerline.functions.exprs import stable_split_bucket
+from ledgerline.operators import drift
+from ledgerline.plans.registry import register
+from ledgerline.sources.tables import table
+
+_DRIFT_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+# KS in SQL: cumulative shares over the distinct values of both samples.
+_KS_SQL = """
+WITH both_s AS (
+  SELECT f.feature, f.value, s.is_cur FROM (
+    SELECT l_quantity AS q, l_extendedprice AS e, l_discount AS d, l_tax AS x,
+           CASE WHEN l_shipdate >= TIMESTAMP '1998-01-01' THEN 1 ELSE 0 END AS is_cur FROM lineitem) s,
+  LATERAL (VALUES ('l_quantity', s.q), ('l_extendedprice', s.e), ('l_discount', s.d), ('l_tax', s.x)) AS f(feature, value)
+  WHERE f.value IS NOT NULL),
+c AS (SELECT feature, value, count_if(is_cur = 0) AS c1, count_if(is_cur = 1) AS c2 FROM both_s GROUP BY 1, 2),
+cum AS (SELECT feature, sum(c1) OVER w AS k1, sum(c2) OVER w AS k2, sum(c1) OVER (PARTITION BY feature) AS n1,
+               sum(c2) OVER (PARTITION BY feature) AS n2
+        FROM c WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d AS (SELECT feature, max(n1) AS n_train, max(n2) AS n_current, max(abs(k1 / n1 - k2 / n2)) AS ks FROM cum GROUP BY 1),
+z AS (SELECT *, sqrt(n_train * n_current / (n_train + n_current)) * ks AS zz FROM d),
+p AS (SELECT feature, CASE WHEN zz <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 2.0 * sum(
+               pow(-1.0, k - 1) * exp(-2.0 * k * k * zz * zz)))) END AS p_value
+      FROM z, range(1, 101) AS r(k) GROUP BY feature, zz),
+ks AS (SELECT z.feature, n_train::BIGINT AS n_train, n_current::BIGINT AS n_current, round(ks, 4) AS ks_statistic,
+              round(p.p_value, 4) AS p_value, p.p_value < 0.05 AS drift_detected
+       FROM z JOIN p USING (feature) WHERE n_train >= 6 AND n_current >= 6)
+"""
+
+
+def _drift(spark, sf):
+    li = table(spark, sf, "lineitem")
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
+    return drift.drift(li.where(F.col("l_shipdate") < cut), li.where(F.col("l_shipdate") >= cut), _DRIFT_FEATURES)
+
+
+@register("ML16", sql=_KS_SQL + "SELECT * FROM ks")
+def ml16(spark, sf):
+    return _drift(spark, sf)
+
+
+@register("ML17", sql=_KS_SQL + """
+, s AS (SELECT round(coalesce(avg(drift_detected::DOUBLE) * 100, 0.0), 2) AS drift_percentage,
+               count(*) AS features_tested FROM ks)
+SELECT drift_percentage, features_tested, round(drift_percentage * 0.35, 2) AS model_drift_percentage,
+       CASE WHEN round(drift_percentage * 0.35, 2) > 25 THEN 'critical'
+            WHEN round(drift_percentage * 0.35, 2) > 15 OR drift_percentage > 25 THEN 'at_risk' ELSE 'healthy' END AS status,
+       (round(drift_percentage * 0.35, 2) > 15 OR drift_percentage > 25) AS retraining_recommended
+FROM s
+""")
+def ml17(spark, sf):
+    return drift.model_health(_drift(spark, sf), target_present=True)
+
+
+@register("ML2", sql="""
+SELECT o_orderkey, CASE WHEN ((o_orderkey % 2147483647) * 48271 % 2147483647) % 100 < 80 THEN 'train' ELSE 'test' END
+       AS split FROM orders
+""")
+def ml2(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey")
+    return o.withColumn("split", F.when(stable_split_bucket(F.col("o_orderkey")) < 80, "train").otherwise("test"))
