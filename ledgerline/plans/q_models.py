@@ -65,3 +65,190 @@ SELECT o_orderkey, CASE WHEN ((o_orderkey % 2147483647) * 48271 % 2147483647) %
 def ml2(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
     return o.withColumn("split", F.when(stable_split_bucket(F.col("o_orderkey")) < 80, "train").otherwise("test"))
+
+
+# ---------------------------------------------------------------- model jobs (rows-only)
+from ledgerline.operators import automl, personas  # noqa: E402
+from ledgerline.session import scratch_path  # noqa: E402
+
+_TRAINED: dict = {}
+
+
+def orders_status_data(spark, sf):
+    """Classification task: order status from price, priority and date."""
+    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate",
+                                             "o_orderstatus")
+
+
+def doc_quality_data(spark, sf):
+    """Binary task: document quality label from length, language and source."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    return table(spark, sf, "labels").select("doc_id", "quality").join(docs, "doc_id")
+
+
+def line_price_data(spark, sf):
+    """Regression task: line price from quantity, discount, tax and part attributes."""
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_discount", "l_tax", "l_shipdate",
+                                             "l_extendedprice")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", "p_size", "p_type")
+    return li.join(p, "l_partkey").drop("l_partkey")
+
+
+def _trained(spark, sf, task):
+    key = (sf, task)
+    if key not in _TRAINED:
+        if task == "cls":
+            d = orders_status_data(spark, sf).drop("o_orderkey")
+            _TRAINED[key] = automl.train(d, "o_orderstatus")
+        elif task == "bin":
+            d = doc_quality_data(spark, sf).drop("doc_id")
+            _TRAINED[key] = automl.train(d, "quality", problem="classification")
+        elif task == "subset":
+            d = doc_quality_data(spark, sf).drop("doc_id")
+            _TRAINED[key] = automl.train(d, "quality", problem="classification",
+                                         models=["Linear Regression", "decision tree "])
+        else:
+            _TRAINED[key] = automl.train(line_price_data(spark, sf), "l_extendedprice")
+    return _TRAINED[key]
+
+
+@register("ML1", sql="""
+WITH s AS (SELECT count(*) AS n, count(DISTINCT l_linenumber) AS d1, count(DISTINCT l_quantity) AS d2,
+                  count(DISTINCT l_discount) AS d3, count(DISTINCT l_tax) AS d4,
+                  count(DISTINCT l_extendedprice) AS d5, count(DISTINCT l_returnflag) AS d6 FROM lineitem),
+c AS (SELECT 'l_linenumber' AS "column", d1 AS d, n, TRUE AS num FROM s UNION ALL
+      SELECT 'l_quantity', d2, n, TRUE FROM s UNION ALL SELECT 'l_discount', d3, n, TRUE FROM s UNION ALL
+      SELECT 'l_tax', d4, n, TRUE FROM s UNION ALL SELECT 'l_extendedprice', d5, n, TRUE FROM s UNION ALL
+      SELECT 'l_returnflag', d6, n, FALSE FROM s)
+SELECT "column",
+       CASE WHEN num AND (d > 10 OR d / n > 0.05) THEN 'numerical' WHEN num THEN 'categorical/ordinal'
+            ELSE 'categorical' END AS semantic_type,
+       d AS distinct_count,
+       CASE WHEN num AND (d > 10 OR d / n > 0.05) AND d > 15 THEN 'regression' ELSE 'classification' END AS problem_type
+FROM c
+""")
+def ml1(spark, sf):
+    return automl.problem_types(table(spark, sf, "lineitem"),
+                                ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice",
+                                 "l_returnflag"])
+
+
+@register("ML3", note="classification leaderboard (order status); rows-only")
+def ml3(spark, sf):
+    return _trained(spark, sf, "cls").leaderboard
+
+
+@register("ML4", note="regression leaderboard (line price); rows-only")
+def ml4(spark, sf):
+    return _trained(spark, sf, "reg").leaderboard
+
+
+@register("ML5", note="user-selected subset with linear/logistic alias; rows-only")
+def ml5(spark, sf):
+    return _trained(spark, sf, "subset").leaderboard.select("rank", "model_name", "score", "status")
+
+
+@register("ML6", note="binary classification metrics incl. ROC AUC and confusion matrix; rows-only")
+def ml6(spark, sf):
+    return _trained(spark, sf, "bin").leaderboard.select("model_name", "accuracy", "precision", "recall",
+                                                         "f1_score", "roc_auc", "confusion_matrix", "status")
+
+
+@register("ML7", note="regression metrics of the winner; rows-only")
+def ml7(spark, sf):
+    r = _trained(spark, sf, "reg")
+    m = r.best_metrics
+    return spark.createDataFrame([(r.best_name, m.get("r2_score"), m.get("mse"), m.get("mae"))],
+                                 "model_name string, r2_score double, mse double, mae double")
+
+
+@register("ML8", note="5-fold cross-validation score per candidate; rows-only")
+def ml8(spark, sf):
+    return _trained(spark, sf, "reg").leaderboard.select("model_name", "cv_score")
+
+
+@register("ML9", note="leaderboard ordered by holdout score; rows-only")
+def ml9(spark, sf):
+    return _trained(spark, sf, "cls").leaderboard.orderBy("rank").select("rank", "model_name", "score", "status")
+
+
+@register("ML10", note="feature importance of the winner; rows-only")
+def ml10(spark, sf):
+    return _trained(spark, sf, "reg").importance
+
+
+@register("ML11", note="winner after grid search (tuned flag); rows-only")
+def ml11(spark, sf):
+    r = _trained(spark, sf, "reg")
+    return spark.createDataFrame([(r.best_name, float(r.best_metrics["score"]))], "model_name string, score double") \
+        .join(r.leaderboard.select("model_name", "tuned"), "model_name")
+
+
+@register("ML12", note="batch scoring; rows-only")
+def ml12(spark, sf):
+    return automl.score(_trained(spark, sf, "reg"), line_price_data(spark, sf))
+
+
+@register("ML13", note="importance × value contributions for every row; rows-only")
+def ml13(spark, sf):
+    data = line_price_data(spark, sf).withColumn("row_key", F.xxhash64(*line_price_data(spark, sf).columns))
+    return automl.contributions(_trained(spark, sf, "reg"), data, "row_key")
+
+
+@register("ML14", note="what-if: regression mean shift; rows-only")
+def ml14(spark, sf):
+    return automl.what_if(_trained(spark, sf, "reg"), line_price_data(spark, sf), {"l_discount": 0.1})
+
+
+@register("ML14_CLASS", note="what-if: class distribution shift; rows-only")
+def ml14_class(spark, sf):
+    data = orders_status_data(spark, sf).drop("o_orderkey")
+    return automl.what_if(_trained(spark, sf, "cls"), data, {"o_orderpriority": "1-URGENT"})
+
+
+@register("ML15", note="local perturbation drivers for every order; rows-only")
+def ml15(spark, sf):
+    r = _trained(spark, sf, "cls")
+    data = orders_status_data(spark, sf)
+    return automl.drivers(automl.explain(r, data, "o_orderkey"), "o_orderkey")
+
+
+@register("ML18", note="k-means personas (10 restarts); rows-only")
+def ml18(spark, sf):
+    p = personas.personas(line_price_data(spark, sf))
+    return p.select("rank", "persona", "kpi", "count", "percentage", F.to_json("centroid").alias("centroid"))
+
+
+@register("ML19", sql="""
+WITH s AS (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS k FROM lineitem)
+SELECT 'classification' AS problem_type, 'l_returnflag' AS target, n AS row_count, k AS distinct_target,
+       m.model_name, m.display_name, m.badge, m.rec AS recommended_for_user,
+       CASE m.model_name WHEN 'XGBoost' THEN '★★★★★'
+                         WHEN 'Random Forest' THEN CASE WHEN n < 10000 THEN '★★★★★' ELSE '★★★★☆' END
+                         WHEN 'LightGBM' THEN CASE WHEN n > 2000 THEN '★★★★★' ELSE '★★★☆☆' END
+                         ELSE CASE WHEN n > 5000 THEN '★★★★☆' ELSE '★★☆☆☆' END END AS suitability
+FROM s, (VALUES ('XGBoost', 'XGBoost (Gradient Boosted Decision Trees)', 'Best Overall Accuracy', TRUE),
+                ('Random Forest', 'Random Forest (Ensemble Averaging)', 'Most Reliable & Explainable', TRUE),
+                ('LightGBM', 'LightGBM (High-Speed Gradient Booster)', 'Ultra Fast Training', FALSE),
+                ('Neural Network', 'Neural Network (Multi-Layer Perceptron)', 'Deep Pattern Matcher', FALSE))
+        AS m(model_name, display_name, badge, rec)
+""")
+def ml19(spark, sf):
+    return automl.advise(table(spark, sf, "lineitem"), "l_returnflag", "classification")
+
+
+@register("SRC7", note="scored table written beside the input and read back; rows-only")
+def src7(spark, sf):
+    path = scratch_path(spark, "scored")
+    automl.score(_trained(spark, sf, "reg"), line_price_data(spark, sf)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("SRC8", note="model saved, reloaded and used to score; rows-only")
+def src8(spark, sf):
+    r = _trained(spark, sf, "bin")
+    path = scratch_path(spark, "model")
+    automl.save_model(r, path)
+    loaded = automl.load_model(path)
+    data = doc_quality_data(spark, sf)
+    return loaded.transform(data).select("doc_id", F.col("predicted_label").alias("predicted_quality"))
