@@ -58,6 +58,25 @@ def ml17(spark, sf):
     return drift.model_health(_drift(spark, sf), target_present=True)
 
 
+def text_features(df, text_col="text"):
+    """Length features of a text column: characters, words, lines."""
+    return df.select(F.length(text_col).cast("double").alias("n_chars"),
+                     F.size(F.split(F.trim(F.col(text_col)), r"\\s+")).cast("double").alias("n_words"),
+                     F.size(F.split(F.col(text_col), "\\n")).cast("double").alias("n_lines"))
+
+
+def _text_drift(spark, sf):
+    """A text model fitted on documents, monitored on conversation turns."""
+    train = text_features(table(spark, sf, "documents"))
+    current = text_features(table(spark, sf, "conversations"))
+    return drift.drift(train, current, ["n_chars", "n_words", "n_lines"])
+
+
+@register("ML16_TEXT", note="documents vs conversation turns; SQL word splitting differs, rows-only")
+def ml16_text(spark, sf):
+    return _text_drift(spark, sf)
+
+
 @register("ML2", sql="""
 SELECT o_orderkey, CASE WHEN ((o_orderkey % 2147483647) * 48271 % 2147483647) % 100 < 80 THEN 'train' ELSE 'test' END
        AS split FROM orders
