@@ -136,7 +136,9 @@ def histogram_plan(df: DataFrame, column: str, bins="auto", exact: bool = True)
         sturges = ptp / (math.log2(n) + 1.0)
         q25, q75 = column_quantiles(df.select(x.alias(column)), [column], [0.25, 0.75], exact)[column]
         fd = 2.0 * (q75 - q25) * n ** (-1.0 / 3.0)
-        width = min(fd, sturges) if fd else sturges
+        sqrt_w = ptp / math.sqrt(n)
+        # NumPy 'auto': Sturges vs. Freedman–Diaconis floored at half the sqrt rule.
+        width = min(max(fd, sqrt_w / 2), sturges)
         nbins = int(math.ceil((last - first) / width)) if width else 1
     else:
         nbins = int(bins)

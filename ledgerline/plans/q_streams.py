@@ -61,4 +61,5 @@ def st2(spark, sf):
     except Exception:  # noqa: BLE001 - no alert fired: empty result with the alert schema
         return spark.createDataFrame([], "project_id string, window_start timestamp, window_end timestamp, "
                                          "event string, severity string, metric string, anomaly_count bigint, "
-                                         "anomaly_percentage double, action_recommended string, batch_id int")
+                                         "anomaly_percentage double, action_recommended string, is_read boolean, "
+                                         "batch_id int")

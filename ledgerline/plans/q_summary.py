@@ -81,8 +81,8 @@ def agg5(spark, sf):
 def _hist_sql(src: str, col: str, bins: str) -> str:
     """NumPy-equivalent histogram in SQL (bins: 'auto' or an integer literal)."""
     if bins == "auto":
-        nb = """CASE WHEN (CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END) > 0
-                 THEN ceil((last_e - first_e) / (CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END))::BIGINT
+        nb = """CASE WHEN least(greatest(fd, sqrt_w / 2), sturges) > 0
+                 THEN ceil((last_e - first_e) / least(greatest(fd, sqrt_w / 2), sturges))::BIGINT
                  ELSE 1 END"""
     else:
         nb = f"{int(bins)}"
@@ -92,7 +92,8 @@ s AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi,
              quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75 FROM t),
 e AS (SELECT n, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS first_e,
              CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS last_e,
-             (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * (q75 - q25) * pow(n, -1.0 / 3.0) AS fd FROM s),
+             (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * (q75 - q25) * pow(n, -1.0 / 3.0) AS fd,
+             (hi - lo) / sqrt(n) AS sqrt_w FROM s),
 p AS (SELECT first_e, last_e, {nb} AS nb FROM e),
 k AS (SELECT *, (last_e - first_e) / nb AS step FROM p),
 i0 AS (SELECT v, k.*, floor((v - first_e) / (last_e - first_e) * nb)::BIGINT AS i FROM t, k),

@@ -2,9 +2,10 @@
 
 Arriving events are turned into metric rows by an event-time tumbling
 window (watermarked, so state is dropped once the window is final); the
-anomaly-share rule (AL4) is applied to each closed window; repeated alerts
-for the same (project, event, metric) are dropped within the watermark; and
-each micro-batch is appended to the alert table by ``foreachBatch``.
+anomaly-share rule (AL4) is applied to each closed window; and each
+micro-batch is appended to the alert table by ``foreachBatch``, which keeps
+one alert per (project, event, metric) and skips those that already have an
+unread alert in the table (the batch scan's rule, AL5).
 """
 
 from __future__ import annotations
@@ -26,21 +27,32 @@ def window_metrics(stream: DataFrame, ts: str, key: str, value: str, threshold:
                     F.round(F.col("anomaly_count") / F.col("rows") * 100, 2).alias("anomaly_percentage")))
 
 
-def stream_alerts(metrics: DataFrame, pct_threshold: float = 8.0, dedup_watermark: str = "1 day") -> DataFrame:
-    """AL4 on each closed window; duplicates within the watermark are dropped."""
+def stream_alerts(metrics: DataFrame, pct_threshold: float = 8.0) -> DataFrame:
+    """AL4 on each closed window."""
     hits = metrics.where(F.col("anomaly_percentage") > pct_threshold)
     alerts = hits.select(
         "project_id", "window_start", "window_end", F.lit(ANOMALY_EVENT).alias("event"), F.lit("HIGH").alias("severity"),
         F.lit(ANOMALY_METRIC).alias("metric"), "anomaly_count", "anomaly_percentage",
         F.lit(ANOMALY_ACTION).alias("action_recommended"))
-    return alerts.withWatermark("window_end", dedup_watermark).dropDuplicatesWithinWatermark(
-        ["project_id", "event", "metric", "window_end"])
+    return alerts
 
 
 def run_to_table(alerts: DataFrame, table_path: str, checkpoint: str) -> None:
     """Drain the available input once (availableNow) and append every batch to ``table_path``."""
+    from pyspark.sql import Window
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table_path)
+        spark = batch.sparkSession
+        key = ["project_id", "event", "metric"]
+        first = Window.partitionBy(*key).orderBy("window_end")
+        new = batch.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+        try:
+            unread = spark.read.parquet(table_path).where(~F.col("is_read")).select(*key)
+            new = new.join(unread, key, "left_anti")
+        except Exception:  # noqa: BLE001 - first batch: the alert table does not exist yet
+            pass
+        (new.withColumn("is_read", F.lit(False)).withColumn("batch_id", F.lit(batch_id))
+         .write.mode("append").parquet(table_path))
 
     q = (alerts.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
          .foreachBatch(sink).trigger(availableNow=True).start())
