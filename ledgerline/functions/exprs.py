@@ -75,3 +75,15 @@ def numeric_type(df: DataFrame, col: str) -> bool:
 
 def safe_log2(n: float) -> float:
     return math.log2(n) if n > 0 else 0.0
+
+
+def half_up(v, digits: int):
+    """Round a driver-side float like SQL ``round``: half away from zero on its decimal form."""
+    if v is None:
+        return None
+    import decimal
+    import math as _m
+    if isinstance(v, float) and (_m.isnan(v) or _m.isinf(v)):
+        return v
+    q = decimal.Decimal(1).scaleb(-digits)
+    return float(decimal.Decimal(repr(float(v))).quantize(q, rounding=decimal.ROUND_HALF_UP))

@@ -135,7 +135,7 @@ def clean_summary(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def suggest_features(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     """Date extraction, one-hot (2 < distinct < 15) and log (distinct > 100, |skew| > 1.5)."""
-    from ledgerline.functions.exprs import skewness_adjusted
+    from ledgerline.functions.exprs import half_up, skewness_adjusted
     from ledgerline.operators.profile import profile
     prof = prof if prof is not None else profile(df)
     info = prof.collect()
@@ -151,7 +151,7 @@ def suggest_features(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
             out.append((c, "one_hot_encoding",
                         f"One-hot encode categorical feature '{c}' for machine learning algorithms.", None))
         elif c in skew_cols and skews[c] is not None and abs(skews[c]) > 1.5:
-            s = round(skews[c], 2)
+            s = half_up(skews[c], 2)
             out.append((c, "log_transformation",
                         f"Apply log transform to skewed numerical column '{c}' (skewness: {s}).", s))
     return df.sparkSession.createDataFrame(out, "column string, type string, suggestion string, skewness double")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions import columns as C
+from ledgerline.functions.exprs import half_up
 
 
 def _is_missing(df: DataFrame, col: str) -> Column:
@@ -104,7 +105,7 @@ def profile(df: DataFrame, exact: bool = True, samples: int = 3, datetime_share:
             sem = "datetime" if non_null > 0 and parsed / non_null >= datetime_share else "categorical"
         else:
             sem = "categorical"
-        pct_missing = round(n_missing / rows * 100, 2) if rows > 0 else 0.0
+        pct_missing = half_up(n_missing / rows * 100, 2) if rows > 0 else 0.0
         out.append((f.name, pos, f.dataType.simpleString(), sem, int(n_missing), float(pct_missing),
                     int(n_distinct), sample))
     schema = ("column string, position int, dtype string, semantic_type string, missing_count bigint, "
@@ -128,7 +129,7 @@ def uniqueness(df: DataFrame) -> DataFrame:
     total = df.count()
     distinct = df.distinct().count()
     dup = total - distinct
-    value = round((1 - dup / total) * 100, 2) if total > 0 else 100.0
+    value = half_up((1 - dup / total) * 100, 2) if total > 0 else 100.0
     return df.sparkSession.createDataFrame([(total, dup, value)],
                                            "total_rows bigint, duplicate_rows bigint, uniqueness double")
 
@@ -176,7 +177,7 @@ def outlier_share(df: DataFrame, trees: int = 50, seed: int = 42) -> float:
         return 0.0
     flagged = anomaly.isolation_forest_flags(df, num, trees=trees, contamination=None, seed=seed)
     count = flagged.where("is_outlier").count()
-    return round(count / n * 100, 2)
+    return half_up(count / n * 100, 2)
 
 
 def quality(df: DataFrame, with_outliers: bool = True, seed: int = 42) -> DataFrame:
@@ -196,7 +197,7 @@ def quality(df: DataFrame, with_outliers: bool = True, seed: int = 42) -> DataFr
     out_pct = outlier_share(df, seed=seed) if with_outliers else 0.0
     issues = [r["issue"] for r in quality_issues(df, prof, out_pct).collect()]
     score = comp * 0.3 + uniq * 0.25 + val * 0.2 + cons * 0.15 + (100.0 - out_pct) * 0.1
-    score = round(max(0.0, min(100.0, score)), 2)
+    score = half_up(max(0.0, min(100.0, score)), 2)
     prof.unpersist()
     return spark.createDataFrame(
         [(score, comp, val, cons, uniq, out_pct, issues)],

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions import columns as C
-from ledgerline.functions.exprs import as_timestamp, ts_literal
+from ledgerline.functions.exprs import as_timestamp, half_up, ts_literal
 
 
 def _metric(df: DataFrame, metric: str):
@@ -308,8 +308,8 @@ def root_cause(df: DataFrame, metric: str | None = None, date: str | None = None
         F.round("previous_value", 2).alias("previous_value"),
         F.round("current_value", 2).alias("current_value"),
         F.lit(period).alias("period"),
-        F.lit(round(info["diff"], 2)).alias("overall_change"),
-        F.lit(round(info["pct_change"], 2)).alias("percentage_change")))
+        F.lit(half_up(info["diff"], 2)).alias("overall_change"),
+        F.lit(half_up(info["pct_change"], 2)).alias("percentage_change")))
 
 
 def _month_name(iso: str) -> str:

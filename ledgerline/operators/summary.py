@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import columns as C
-from ledgerline.functions.exprs import skewness_adjusted
+from ledgerline.functions.exprs import half_up, skewness_adjusted
 from ledgerline.functions.quantiles import column_quantiles, medians
 from ledgerline.operators.profile import value_counts_long
 
@@ -32,7 +32,7 @@ def numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
                                F.max(c).alias("max"), skewness_adjusted(c).alias("skew"),
                                F.count(c).alias("n")).alias(c) for c in cols]).first()
     qs = column_quantiles(clean, cols, [0.25, 0.5, 0.75], exact)
-    r2 = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else round(float(v), 2)
+    r2 = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else half_up(float(v), 2)
     out = []
     for c in cols:
         s = row[c]
@@ -82,7 +82,7 @@ def _corr_long(df: DataFrame, cols: list[str]) -> DataFrame:
     out = []
     for i, (a, b) in enumerate(pairs):
         v = row[f"c{i}"]
-        v = 0.0 if v is None or math.isnan(v) else round(float(v), 3)
+        v = 0.0 if v is None or math.isnan(v) else half_up(float(v), 3)
         out.append((a, b, v))
         if a != b:
             out.append((b, a, v))
