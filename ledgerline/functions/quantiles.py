@@ -1,15 +1,23 @@
 """Exact quantiles without gathering a column into one task.
 
-Spark's exact ``percentile`` keeps a value→count map per group and merges
-the global group in a single task, so its memory grows with the number of
-distinct values. Here the k-th smallest value is found by histogram
-refinement instead: each pass is one distributed aggregation that counts
-values per bucket inside the current bracket (map-side combined, so the
-shuffle is ``buckets × targets`` rows), the driver keeps only those counts,
-and the bracket shrinks to the bucket holding the wanted rank. Once a
-bracket holds few values they are fetched and ranked exactly. Results use
-linear interpolation between order statistics, the same rule as pandas,
-NumPy and DuckDB ``quantile_cont``.
+Spark's exact ``percentile`` keeps a value→count map per group and merges a
+global group in a single task, so its memory grows with the number of
+distinct values. Here order statistics are found for all requested columns
+at once, with a fixed small number of distributed passes:
+
+1. one aggregation with a bounded-memory sketch (``percentile_approx``)
+   brackets every wanted rank between two values;
+2. one aggregation counts, per target, the values below and inside its
+   bracket (plain conditional counts, whole-stage codegen) and checks that
+   the wanted rank really falls inside (otherwise the bracket widens to the
+   full range);
+3. brackets holding few values are fetched (bounded: targets × limit) and
+   ranked exactly; larger ones (very large tables) are narrowed by
+   histogram passes — each one aggregation of ``buckets × targets`` counts,
+   map-side combined — until they are small.
+
+Quantiles use linear interpolation between order statistics, the rule of
+pandas, NumPy and DuckDB ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -19,8 +27,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_ACCURACY = 10000
 _BUCKETS = 2048
-_FETCH_LIMIT = 20000
+_FETCH_LIMIT = 50000
 _MAX_PASSES = 12
 
 
@@ -29,122 +38,190 @@ def _clean(col: str):
     return F.when(c.isNull() | F.isnan(c), F.lit(None)).otherwise(c)
 
 
-def kth_smallest(df: DataFrame, col: str, ranks: list[int], stats: dict | None = None) -> dict[int, float]:
-    """Exact order statistics (0-based ranks over non-null values) of ``col``."""
-    vals = df.select(_clean(col).alias("v")).where(F.col("v").isNotNull())
-    if stats is None:
-        row = vals.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        stats = {"n": row["n"], "lo": row["lo"], "hi": row["hi"]}
-    n = stats["n"]
-    out: dict[int, float] = {}
-    # (rank, lo, hi, count_below_lo) brackets still to resolve
-    pending = []
-    for r in sorted(set(ranks)):
-        if n == 0 or r < 0 or r >= n:
-            raise ValueError(f"rank {r} out of range for {n} values")
-        pending.append([r, stats["lo"], stats["hi"], 0])
+def column_stats(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    row = df.select(*[
+        F.struct(F.count(_clean(c)).alias("n"), F.min(_clean(c)).alias("lo"), F.max(_clean(c)).alias("hi")).alias(c)
+        for c in columns]).first()
+    return {c: row[c].asDict() for c in columns}
+
+
+def order_statistics(df: DataFrame, wants: dict[str, list[int]], stats: dict[str, dict] | None = None,
+                     brackets: dict | None = None) -> dict[str, dict[int, float]]:
+    """Exact k-th smallest values (0-based ranks over non-null values) for several columns."""
+    cols = [c for c in wants if wants[c]]
+    if not cols:
+        return {}
+    stats = stats or column_stats(df, cols)
+    data = df.select(*[_clean(c).alias(f"__q{i}") for i, c in enumerate(cols)])
+    vname = {c: f"__q{i}" for i, c in enumerate(cols)}
+    out: dict[str, dict[int, float]] = {c: {} for c in cols}
+    targets = []  # dicts: col, rank, lo, hi, below
+    for c in cols:
+        n = stats[c]["n"]
+        for r in sorted(set(wants[c])):
+            if n == 0 or r < 0 or r >= n:
+                raise ValueError(f"rank {r} out of range for {n} values of {c}")
+            if stats[c]["lo"] == stats[c]["hi"]:
+                out[c][r] = float(stats[c]["lo"])
+            else:
+                targets.append({"col": c, "rank": r, "lo": stats[c]["lo"], "hi": stats[c]["hi"], "below": 0})
+    if not targets:
+        return out
+    # 1. Sketch brackets (given by the caller, or one sketch pass here).
+    if brackets is not None and all((t["col"], t["rank"]) in brackets for t in targets):
+        for t in targets:
+            t["lo"], t["hi"] = brackets[(t["col"], t["rank"])]
+    else:
+        eps = 2.0 / _ACCURACY
+        probs_by_col: dict[str, list[float]] = {}
+        for t in targets:
+            n = stats[t["col"]]["n"]
+            p = t["rank"] / max(n - 1, 1)
+            t["pl"], t["ph"] = max(0.0, p - eps), min(1.0, p + eps)
+            probs_by_col.setdefault(t["col"], []).extend([t["pl"], t["ph"]])
+        sk = data.select(*[F.percentile_approx(vname[c], sorted(set(ps)), _ACCURACY).alias(c)
+                           for c, ps in probs_by_col.items()]).first()
+        for t in targets:
+            ps = sorted(set(probs_by_col[t["col"]]))
+            vals = sk[t["col"]]
+            t["lo"], t["hi"] = float(vals[ps.index(t["pl"])]), float(vals[ps.index(t["ph"])])
+    # 2. Validate with exact counts below / inside.
+    counts = data.select(*[
+        F.struct(F.count_if(F.col(vname[t["col"]]) < F.lit(t["lo"])).alias("b"),
+                 F.count_if(F.col(vname[t["col"]]) <= F.lit(t["hi"])).alias("u")).alias(f"t{i}")
+        for i, t in enumerate(targets)]).first()
+    for i, t in enumerate(targets):
+        b, u = counts[f"t{i}"]["b"], counts[f"t{i}"]["u"]
+        if b <= t["rank"] < u:
+            t["below"], t["inside"] = b, u - b
+        else:  # the sketch missed: fall back to the whole range
+            t["lo"], t["hi"], t["below"], t["inside"] = stats[t["col"]]["lo"], stats[t["col"]]["hi"], 0, \
+                stats[t["col"]]["n"]
+    # 3. Fetch small brackets, narrow large ones.
+    pending = targets
     for _ in range(_MAX_PASSES):
-        pending = [p for p in pending if not _settle(p, out)]
+        small = [t for t in pending if t["inside"] <= _FETCH_LIMIT or t["lo"] == t["hi"]]
+        if small:
+            _fetch(data, vname, small, out)
+        pending = [t for t in pending if t not in small]
         if not pending:
-            break
-        # One aggregation pass for all open brackets.
-        brackets = {}
-        for p in pending:
-            brackets.setdefault((p[1], p[2]), []).append(p)
-        keys = list(brackets)
-        exprs = []
-        for i, (lo, hi) in enumerate(keys):
-            width = hi - lo
-            inside = (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))
-            idx = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width) * F.lit(_BUCKETS)),
-                          F.lit(_BUCKETS - 1)).cast("int")
-            exprs.append(F.when(inside, F.struct(F.lit(i).alias("t"), idx.alias("b"))))
-        exploded = vals.select("v", F.explode(F.filter(F.array(*exprs), lambda s: s.isNotNull())).alias("k"))
-        counts = (exploded.groupBy(F.col("k.t").alias("t"), F.col("k.b").alias("b"))
-                  .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                  .collect())
-        per_target: dict[int, list] = {}
-        for row in counts:
-            per_target.setdefault(row["t"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
-        fetch = []
-        for i, key in enumerate(keys):
-            buckets = sorted(per_target.get(i, []))
-            for p in brackets[key]:
-                below = p[3]
-                for b, c, mn, mx in buckets:
-                    if p[0] < below + c:
-                        p[1], p[2], p[3] = mn, mx, below
-                        if c <= _FETCH_LIMIT and mn != mx:
-                            fetch.append((p, c))
-                        break
-                    below += c
-        if fetch:
-            _fetch_exact(vals, fetch, out)
-            done = {id(p) for p, _ in fetch}
-            pending = [p for p in pending if id(p) not in done]
-    pending = [p for p in pending if not _settle(p, out)]
-    if pending:  # pragma: no cover - degenerate floating brackets
-        _fetch_exact(vals, [(p, None) for p in pending], out)
+            return out
+        _narrow(data, vname, pending)
+    _fetch(data, vname, pending, out)  # pragma: no cover - degenerate floating brackets
     return out
 
 
-def _settle(p, out) -> bool:
-    if p[1] == p[2]:
-        out[p[0]] = float(p[1])
-        return True
-    return False
-
-
-def _fetch_exact(vals: DataFrame, items, out) -> None:
-    """Bring back the (bounded) values of small brackets and rank them."""
-    cond = None
-    for p, _ in items:
-        c = (F.col("v") >= F.lit(p[1])) & (F.col("v") <= F.lit(p[2]))
-        cond = c if cond is None else (cond | c)
-    values = sorted(r["v"] for r in vals.where(cond).collect())
-    for p, _ in items:
-        inside = [v for v in values if p[1] <= v <= p[2]]
-        out[p[0]] = float(inside[p[0] - p[3]])
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], stats: dict | None = None) -> list[float | None]:
-    """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``)."""
-    vals = df.select(_clean(col).alias("v")).where(F.col("v").isNotNull())
-    if stats is None:
-        row = vals.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        stats = {"n": row["n"], "lo": row["lo"], "hi": row["hi"]}
-    n = stats["n"]
-    if not n:
-        return [None for _ in probs]
-    needed = set()
-    for q in probs:
-        h = (n - 1) * q
-        needed.add(int(math.floor(h)))
-        needed.add(min(int(math.floor(h)) + 1, n - 1))
-    ks = kth_smallest(vals.withColumnRenamed("v", col), col, sorted(needed), stats)
-    result = []
+def _fetch(data: DataFrame, vname: dict, items: list[dict], out: dict) -> None:
+    """Bring back the (bounded) in-bracket values and pick each wanted rank."""
+    settled = [t for t in items if t["lo"] == t["hi"]]
+    for t in settled:
+        out[t["col"]][t["rank"]] = float(t["lo"])
+    items = [t for t in items if t["lo"] != t["hi"]]
+    if not items:
+        return
+    picks, any_in = [], F.lit(False)
+    for i, t in enumerate(items):
+        v = F.col(vname[t["col"]])
+        cond = (v >= F.lit(t["lo"])) & (v <= F.lit(t["hi"]))
+        any_in = any_in | cond
+        picks.append(F.when(cond, F.struct(F.lit(i).alias("t"), v.alias("v"))))
+    # The row filter runs first (codegen), so only in-bracket rows build the target array.
+    rows = (data.where(any_in).select(F.explode(F.filter(F.array(*picks), lambda s: s.isNotNull())).alias("k"))
+            .select("k.t", "k.v").collect())
+    per: dict[int, list[float]] = {}
+    for r in rows:
+        per.setdefault(r["t"], []).append(r["v"])
+    for i, t in enumerate(items):
+        vals = sorted(per.get(i, []))
+        out[t["col"]][t["rank"]] = float(vals[t["rank"] - t["below"]])
+
+
+def _narrow(data: DataFrame, vname: dict, items: list[dict]) -> None:
+    """One histogram pass over every open bracket; each shrinks to its rank's bucket."""
+    exprs, any_in = [], F.lit(False)
+    for i, t in enumerate(items):
+        v = F.col(vname[t["col"]])
+        lo, hi = t["lo"], t["hi"]
+        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+        any_in = any_in | inside
+        idx = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(_BUCKETS)), F.lit(_BUCKETS - 1)).cast("int")
+        exprs.append(F.when(inside, F.struct(F.lit(i).alias("t"), idx.alias("b"), v.alias("v"))))
+    hist = (data.where(any_in).select(F.explode(F.filter(F.array(*exprs), lambda s: s.isNotNull())).alias("k"))
+            .groupBy(F.col("k.t").alias("t"), F.col("k.b").alias("b"))
+            .agg(F.count(F.lit(1)).alias("c"), F.min("k.v").alias("mn"), F.max("k.v").alias("mx"))
+            .collect())
+    per: dict[int, list] = {}
+    for r in hist:
+        per.setdefault(r["t"], []).append((r["b"], r["c"], r["mn"], r["mx"]))
+    for i, t in enumerate(items):
+        below = t["below"]
+        for b, c, mn, mx in sorted(per.get(i, [])):
+            if t["rank"] < below + c:
+                t["lo"], t["hi"], t["below"], t["inside"] = mn, mx, below, c
+                break
+            below += c
+
+
+def _needed_ranks(n: int, probs: list[float]) -> list[int]:
+    need = set()
     for q in probs:
         h = (n - 1) * q
-        lo_r = int(math.floor(h))
-        hi_r = min(lo_r + 1, n - 1)
-        a, b = ks[lo_r], ks[hi_r]
-        result.append(a + (b - a) * (h - lo_r))
-    return result
+        need.add(int(math.floor(h)))
+        need.add(min(int(math.floor(h)) + 1, n - 1))
+    return sorted(need)
+
+
+def _interpolate(n: int, ks: dict[int, float], q: float) -> float:
+    h = (n - 1) * q
+    lo_r = int(math.floor(h))
+    hi_r = min(lo_r + 1, n - 1)
+    a, b = ks[lo_r], ks[hi_r]
+    return a + (b - a) * (h - lo_r)
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], exact: bool = True,
-                     accuracy: int = 10000) -> dict[str, list[float | None]]:
-    """Quantiles for several columns; ``exact=False`` uses one sketch pass."""
+                     accuracy: int = _ACCURACY) -> dict[str, list[float | None]]:
+    """Quantiles for several columns; ``exact=False`` returns the one-pass sketch.
+
+    The exact path's first pass computes count/min/max and the sketch
+    brackets together (brackets sit just around each requested probability).
+    """
     if not columns:
         return {}
     if not exact:
         row = df.select(*[F.percentile_approx(_clean(c), probs, accuracy).alias(c) for c in columns]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
-    stats_row = df.select(*[
-        F.struct(F.count(_clean(c)).alias("n"), F.min(_clean(c)).alias("lo"), F.max(_clean(c)).alias("hi")).alias(c)
-        for c in columns
-    ]).first()
-    return {c: exact_quantiles(df, c, probs, stats_row[c].asDict()) for c in columns}
+    eps = 2.0 / _ACCURACY
+    grid = sorted({min(1.0, max(0.0, q + d)) for q in probs for d in (-eps, eps + 1e-9)})
+    row = df.select(*[F.struct(F.count(_clean(c)).alias("n"), F.min(_clean(c)).alias("lo"),
+                               F.max(_clean(c)).alias("hi"),
+                               F.percentile_approx(_clean(c), grid, _ACCURACY).alias("sk")).alias(c)
+                      for c in columns]).first()
+    stats = {c: {"n": row[c]["n"], "lo": row[c]["lo"], "hi": row[c]["hi"]} for c in columns}
+    brackets = {}
+    for c in columns:
+        sk = row[c]["sk"]
+        if not stats[c]["n"] or sk is None:
+            continue
+        for q in probs:
+            lo = sk[grid.index(min(1.0, max(0.0, q - eps)))]
+            hi = sk[grid.index(min(1.0, max(0.0, q + eps + 1e-9)))]
+            for r in _needed_ranks(stats[c]["n"], [q]):
+                brackets[(c, r)] = (float(lo), float(hi))
+    wants = {c: _needed_ranks(stats[c]["n"], probs) for c in columns if stats[c]["n"]}
+    ks = order_statistics(df, wants, stats, brackets)
+    return {c: ([_interpolate(stats[c]["n"], ks[c], q) for q in probs] if stats[c]["n"] else [None] * len(probs))
+            for c in columns}
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], stats: dict | None = None) -> list[float | None]:
+    """Linear-interpolated quantiles of one column (pandas / DuckDB ``quantile_cont``)."""
+    return column_quantiles(df, [col], probs, exact=True)[col]
+
+
+def kth_smallest(df: DataFrame, col: str, ranks: list[int], stats: dict | None = None) -> dict[int, float]:
+    """Exact order statistics (0-based ranks over non-null values) of one column."""
+    return order_statistics(df, {col: ranks})[col]
 
 
 def medians(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, float | None]:

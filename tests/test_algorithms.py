@@ -149,3 +149,17 @@ def test_rate_limit_exact_matches_brute_force(spark):
         assert [got[i] for i, _ in mine] == exp
     off = rate_limit.offered_load(df, "user", "ts", 10, 5).where("breach").count()
     assert off >= sum(1 for v in got.values() if not v)
+
+
+def test_order_statistics_narrowing_passes(spark, monkeypatch):
+    """Force the histogram-narrowing path (used when brackets hold many values)."""
+    import ledgerline.functions.quantiles as Qm
+    monkeypatch.setattr(Qm, "_FETCH_LIMIT", 50)
+    monkeypatch.setattr(Qm, "_ACCURACY", 20)
+    rng = np.random.default_rng(8)
+    a = np.concatenate([rng.exponential(3, 20000), np.full(5000, 1.0)])
+    b = rng.integers(0, 40, 25000).astype(float)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    got = Qm.column_quantiles(df, ["a", "b"], [0.01, 0.25, 0.5, 0.99])
+    assert got["a"] == pytest.approx(np.quantile(a, [0.01, 0.25, 0.5, 0.99]).tolist(), abs=1e-12)
+    assert got["b"] == pytest.approx(np.quantile(b, [0.01, 0.25, 0.5, 0.99]).tolist(), abs=1e-12)
