@@ -121,7 +121,8 @@ def fit_isolation_forest(df: DataFrame, features: list[str], trees: int = 100, s
     schema = "tree int, feat array<int>, thr array<double>, left array<int>, right array<int>, size array<int>"
     rows = per_tree.groupBy("_tree").applyInPandas(build, schema).collect()
     forest = [(r["feat"], r["thr"], r["left"], r["right"], r["size"]) for r in sorted(rows, key=lambda r: r["tree"])]
-    return {"trees": forest, "arrays": [_as_arrays(t) for t in forest], "psi": psi, "features": features, "dims": d}
+    arrays = [_as_arrays(t) for t in forest]
+    return {"trees": forest, "arrays": arrays, "psi": psi, "features": features, "dims": d}
 
 
 def score_isolation_forest(df: DataFrame, model: dict, out_col: str = "iso_score") -> DataFrame:
@@ -137,23 +138,39 @@ def score_isolation_forest(df: DataFrame, model: dict, out_col: str = "iso_score
         total = np.zeros(x.shape[0])
         for tree in m["arrays"]:
             total += _path_lengths(x, tree)
-        mean = total / len(m["trees"])
-        return pd.Series(np.power(2.0, -mean / _c(m["psi"])))
+        return pd.Series(np.power(2.0, -(total / len(m["arrays"])) / _c(m["psi"])))
 
-    return df.withColumn(out_col, score(F.struct(*[F.col(c) for c in feats])))
+    return spread_for_python(df).withColumn(out_col, score(F.struct(*[F.col(c) for c in feats])))
+
+
+def spread_for_python(df: DataFrame) -> DataFrame:
+    """Round-robin repartition before CPU-heavy Python work, only when the input has
+    fewer partitions than the cluster can run at once (e.g. one large file split).
+    Large inputs already arrive in many partitions and are left as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
 def _prepared(df: DataFrame, features: list[str], scale: bool) -> tuple[DataFrame, list[str]]:
     """Median-fill (and optionally standardise) features into ``__f{i}`` columns."""
-    med = medians(df, features)
-    exprs = [F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(f"__f{i}") for i, c in enumerate(features)]
+    # One pass: nulls per feature, plus mean/std (valid as is when nothing needs filling).
+    probe = df.agg(*[F.struct(F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias("z"),
+                              F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features]).first()
+    holes = [c for c in features if probe[c]["z"] > 0]
+    med = medians(df, holes) if holes else {}
+    exprs = [(F.coalesce(F.col(c).cast("double"), F.lit(med[c])) if c in med else F.col(c).cast("double"))
+             .alias(f"__f{i}") for i, c in enumerate(features)]
     out = df.select("*", *exprs)
     names = [f"__f{i}" for i in range(len(features))]
     if scale:
-        st = out.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in names]).first()
+        if holes:
+            st = out.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in names]).first()
+            moments = {c: (st[c]["m"], st[c]["s"]) for c in names}
+        else:
+            moments = {f"__f{i}": (probe[c]["m"], probe[c]["s"]) for i, c in enumerate(features)}
         for c in names:
-            s = st[c]["s"] or 1.0
-            out = out.withColumn(c, (F.col(c) - F.lit(st[c]["m"])) / F.lit(s))
+            m, sd = moments[c]
+            out = out.withColumn(c, (F.col(c) - F.lit(m)) / F.lit(sd or 1.0))
     return out, names
 
 

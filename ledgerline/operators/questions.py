@@ -263,32 +263,47 @@ def root_cause(df: DataFrame, metric: str | None = None, date: str | None = None
     """Why did the KPI fall in the last month? One finding per dimension.
 
     For every dimension the segment with the largest previous→current drop,
-    its share of the overall drop, and both values; sorted by share. All
-    dimensions are handled in one pass: the two-month slice (a literal date
-    range, pushed into the scan) is unpivoted to (dimension, segment) and
-    aggregated once, map-side combined.
+    its share of the overall drop, and both values; sorted by share.
+
+    Jobs: (1) date span plus a distinct-count screen of candidate dimensions,
+    (2) exact distinct counts for the few low-cardinality candidates, (3) the
+    answer: the two-month slice (a literal date range, pushed into the scan)
+    is unpivoted to (dimension, segment) — plus a ``__total__`` pseudo
+    dimension carrying the month totals — and aggregated once, map-side
+    combined; ranking keeps one row per dimension before the totals are
+    attached, so the only un-partitioned window sees at most #dims + 1 rows.
     """
     spark = df.sparkSession
     cols = df.columns
     metric = C.resolve_name(cols, metric) or C.find_column(cols, C.ROOT_CAUSE_METRIC_KEYWORDS) \
         or C.numeric_columns(df)[-1]
     date = C.resolve_name(cols, date) or C.find_column(cols, C.ROOT_CAUSE_DATE_KEYWORDS)
-    info = kpi_change(df, metric, date)
-    if info is None or not info["decline"]:
+    ts = as_timestamp(df, date)
+    strings = [c for c in C.string_columns(df) if c not in (metric, date)]
+    others = [c for c in cols if c not in strings and c not in (metric, date)] if dims is None else []
+    span = df.select(ts.alias("_d"), *others).agg(
+        F.min("_d").alias("lo"), F.max("_d").alias("hi"),
+        *[F.approx_count_distinct(F.col(c), 0.02).alias(f"a{i}") for i, c in enumerate(others)]).first()
+    if span["hi"] is None:
         return _empty_root_cause(spark)
+    curr = span["hi"].date().replace(day=1)
+    if span["lo"].date().replace(day=1) >= curr:
+        return _empty_root_cause(spark)  # fewer than two monthly periods
+    prev = _sub_month(curr)
     if dims is None:
-        dims = [c for c, _ in choose_dimensions(df, metric, date)]
+        maybe = [c for i, c in enumerate(others) if span[f"a{i}"] < 60]
+        exact = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in maybe]).first() if maybe else {}
+        low = {c for c in maybe if exact[c] < 15}
+        dims = strings + [c for c in others if c in low]
     if not dims:
         return _empty_root_cause(spark)
-    ts = as_timestamp(df, date)
-    lo, mid, hi = ts_literal(info["prev_month"]), ts_literal(info["curr_month"]), ts_literal(_add_month(info["curr_month"]))
+    lo, mid, hi = ts_literal(prev), ts_literal(curr.isoformat()), ts_literal(_add_month(curr))
     sliced = (df.select(ts.alias("_d"), _metric(df, metric).alias("_m"),
                         *[F.col(d).cast("string").alias(f"_dim{i}") for i, d in enumerate(dims)])
               .where((F.col("_d") >= lo) & (F.col("_d") < hi)))
-    long = sliced.select(
-        "_d", "_m",
-        F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"_dim{i}").alias("segment"))
-                            for i, d in enumerate(dims)])).alias("kv"))
+    pairs = [F.struct(F.lit(d).alias("dimension"), F.col(f"_dim{i}").alias("segment")) for i, d in enumerate(dims)]
+    pairs.append(F.struct(F.lit("__total__").alias("dimension"), F.lit("*").alias("segment")))
+    long = sliced.select("_d", "_m", F.explode(F.array(*pairs)).alias("kv"))
     is_prev = F.col("_d") < mid
     g = (long.where(F.col("kv.segment").isNotNull())
          .groupBy(F.col("kv.dimension").alias("dimension"), F.col("kv.segment").alias("segment"))
@@ -296,20 +311,27 @@ def root_cause(df: DataFrame, metric: str | None = None, date: str | None = None
               F.coalesce(F.sum(F.when(~is_prev, F.col("_m"))), F.lit(0.0)).alias("current_value"),
               F.count_if(is_prev).alias("_np"), F.count_if(~is_prev).alias("_nc")))
     if not fill_missing:
-        g = g.where((F.col("_np") > 0) & (F.col("_nc") > 0))
-    g = g.withColumn("drop", F.col("previous_value") - F.col("current_value")).where(F.col("drop") > 0)
+        g = g.where((F.col("dimension") == "__total__") | ((F.col("_np") > 0) & (F.col("_nc") > 0)))
+    g = g.withColumn("drop", F.col("previous_value") - F.col("current_value"))
     w = Window.partitionBy("dimension").orderBy(F.desc("drop"), F.asc("segment"))
-    total_drop = abs(info["diff"])
-    period = f"{_month_name(info['prev_month'])} ➔ {_month_name(info['curr_month'])}"
-    return (g.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
-        "dimension", "segment",
-        F.round("drop", 2).alias("segment_drop_value"),
-        F.round(F.col("drop") / F.lit(total_drop) * 100, 2).alias("contribution_percentage"),
-        F.round("previous_value", 2).alias("previous_value"),
-        F.round("current_value", 2).alias("current_value"),
-        F.lit(period).alias("period"),
-        F.lit(half_up(info["diff"], 2)).alias("overall_change"),
-        F.lit(half_up(info["pct_change"], 2)).alias("percentage_change")))
+    best = g.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    whole = Window.partitionBy()  # at most #dims + 1 rows here
+    tot_prev = F.max(F.when(F.col("dimension") == "__total__", F.col("previous_value"))).over(whole)
+    tot_curr = F.max(F.when(F.col("dimension") == "__total__", F.col("current_value"))).over(whole)
+    diff = F.col("_tc") - F.col("_tp")
+    period = f"{_month_name(prev)} ➔ {_month_name(curr.isoformat())}"
+    out = (best.withColumn("_tp", tot_prev).withColumn("_tc", tot_curr)
+           .where((F.col("dimension") != "__total__") & (F.col("drop") > 0) & (diff < 0))
+           .select("dimension", "segment",
+                   F.round("drop", 2).alias("segment_drop_value"),
+                   F.round(F.col("drop") / F.abs(diff) * 100, 2).alias("contribution_percentage"),
+                   F.round("previous_value", 2).alias("previous_value"),
+                   F.round("current_value", 2).alias("current_value"),
+                   F.lit(period).alias("period"),
+                   F.round(diff, 2).alias("overall_change"),
+                   F.round(F.when(F.col("_tp") > 0, diff / F.col("_tp") * 100).otherwise(F.lit(0.0)), 2)
+                   .alias("percentage_change")))
+    return out.orderBy(F.desc("contribution_percentage"), "dimension")
 
 
 def _month_name(iso: str) -> str:
