@@ -77,12 +77,35 @@ def class_distribution(df: DataFrame, column: str) -> DataFrame:
 
 # ---------------------------------------------------------------- AGG3 / AGG4
 def _corr_long(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairwise-complete Pearson correlations from plain sums (two cheap passes).
+
+    Values are shifted by their column mean first, so sums of products stay
+    small and the closed form is numerically stable; each pair only counts
+    rows where both values are present.
+    """
+    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    sh = {c: F.col(c).cast("double") - F.lit(means[c] or 0.0) for c in cols}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, sh[a]), F.when(both, sh[b])
+        aggs.append(F.struct(F.count_if(both).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
+                             F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+                    .alias(f"p{i}"))
+    row = df.agg(*aggs).first()
     out = []
     for i, (a, b) in enumerate(pairs):
-        v = row[f"c{i}"]
-        v = 0.0 if v is None or math.isnan(v) else half_up(float(v), 3)
+        r = row[f"p{i}"]
+        n = r["n"]
+        v = None
+        if n and n > 1:
+            vx = n * r["sxx"] - r["sx"] ** 2
+            vy = n * r["syy"] - r["sy"] ** 2
+            if vx > 0 and vy > 0:
+                v = (n * r["sxy"] - r["sx"] * r["sy"]) / math.sqrt(vx * vy)
+                v = max(-1.0, min(1.0, v))
+        v = 0.0 if v is None else half_up(float(v), 3)
         out.append((a, b, v))
         if a != b:
             out.append((b, a, v))
