@@ -139,7 +139,7 @@ def fn1(spark, sf):
 
 
 @register("FN2", sql="""
-SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d,
+SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, day(o_orderdate)::INTEGER AS d,
        strftime(o_orderdate, '%B %Y') AS month_name,
        strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH, '%Y-%m-%d') AS next_month_start,
        strftime(make_date(year(o_orderdate), 1, 1), '%Y-%m-%d') AS year_start,

@@ -62,7 +62,7 @@ def dq3(spark, sf):
 
 @register("DQ4", sql="""
 WITH t AS (SELECT c_custkey, c_mktsegment, c_acctbal AS balance_amount FROM customer)
-SELECT 3 * count(*) AS total_cells, count_if(balance_amount < 0) AS negative_values,
+SELECT 3 * count(*) AS total_cells, count_if(balance_amount < 0)::BIGINT AS negative_values,
        round((1 - count_if(balance_amount < 0) / (3.0 * count(*))) * 100, 2) AS validity
 FROM t
 """)
@@ -74,7 +74,7 @@ def dq4(spark, sf):
 @register("DQ5", sql=f"""
 WITH t AS ({ORDERS_TEXT_DATES_SQL})
 SELECT 5 * count(*) AS total_cells,
-       count_if(order_date IS NOT NULL AND TRY_CAST(order_date AS TIMESTAMP) IS NULL) AS inconsistent_values,
+       count_if(order_date IS NOT NULL AND TRY_CAST(order_date AS TIMESTAMP) IS NULL)::BIGINT AS inconsistent_values,
        round((1 - count_if(order_date IS NOT NULL AND TRY_CAST(order_date AS TIMESTAMP) IS NULL)
               / (5.0 * count(*))) * 100, 2) AS consistency
 FROM t

@@ -23,7 +23,7 @@ MONTHLY_SQL = S + """
 SELECT CAST(region AS VARCHAR) AS segment, round(total, 2) AS total,
        round(CASE WHEN sum(total) OVER () > 0 THEN total / sum(total) OVER () * 100 ELSE 0.0 END, 1) AS share_pct,
        round(sum(total) OVER (), 2) AS grand_total,
-       row_number() OVER (ORDER BY total DESC, region ASC) AS rank
+       (row_number() OVER (ORDER BY total DESC, region ASC))::INTEGER AS rank
 FROM g
 """)
 def bq1(spark, sf):

@@ -188,8 +188,8 @@ def fe2(spark, sf):
 
 
 @register("FE3", sql="""
-SELECT o_orderkey, year(o_orderdate) AS o_orderdate_year, month(o_orderdate) AS o_orderdate_month,
-       day(o_orderdate) AS o_orderdate_day FROM orders
+SELECT o_orderkey, year(o_orderdate)::INTEGER AS o_orderdate_year, month(o_orderdate)::INTEGER AS o_orderdate_month,
+       day(o_orderdate)::INTEGER AS o_orderdate_day FROM orders
 """)
 def fe3(spark, sf):
     return features.date_parts(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate"])

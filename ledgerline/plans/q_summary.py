@@ -35,7 +35,7 @@ vc AS (SELECT "column", value, count(*) AS count FROM long WHERE value IS NOT NU
 pc AS (SELECT "column", count(*) AS unique_count,
               arg_min(value, (-count, value)) AS most_frequent FROM vc GROUP BY 1),
 top AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM vc)
-SELECT top."column", unique_count, most_frequent, value, count, rank
+SELECT top."column", unique_count, most_frequent, value, count, rank::INTEGER AS rank
 FROM top JOIN pc USING ("column") WHERE rank <= 10
 """)
 def agg2(spark, sf):
@@ -72,7 +72,7 @@ h AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS row FROM t ORDER B
 f AS (SELECT row, list_filter([CASE WHEN c_custkey IS NULL THEN 0 END, CASE WHEN c_name IS NULL THEN 1 END,
                                 CASE WHEN c_nationkey IS NULL THEN 2 END, CASE WHEN c_acctbal IS NULL THEN 3 END,
                                 CASE WHEN c_mktsegment IS NULL THEN 4 END], lambda x: x IS NOT NULL) AS cols FROM h)
-SELECT row, array_to_string(cols, ',') AS cols FROM f WHERE len(cols) > 0
+SELECT row::INTEGER AS row, array_to_string(cols, ',') AS cols FROM f WHERE len(cols) > 0
 """)
 def agg5(spark, sf):
     return summary.missing_map(customer_nulls(spark, sf), "c_custkey", 500)
