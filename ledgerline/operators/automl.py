@@ -48,7 +48,8 @@ def _estimator(name: str, problem: str, n_features: int, n_classes: int, seed: i
     if name == "Linear Regression":
         return LinearRegression()
     if name == "Neural Network":
-        return MultilayerPerceptronClassifier(layers=[n_features, 100, 50, n_classes], maxIter=200, seed=seed)
+        return MultilayerPerceptronClassifier(layers=[n_features, 100, 50, n_classes], maxIter=200, tol=1e-4,
+                                              seed=seed)
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -211,7 +212,7 @@ def train(df: DataFrame, target: str, problem: str | None = None, models: list[s
     tuned = False
     if tune and best_name == "Random Forest":
         grid = (ParamGridBuilder().addGrid(best_est.numTrees, [50, 100])
-                .addGrid(best_est.maxDepth, [5, 10, 30]).build())
+                .addGrid(best_est.maxDepth, [5, 10, 20]).build())  # 20 stands in for "unlimited"
         cv = CrossValidator(estimator=best_est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=3,
                             parallelism=4, seed=seed)
         best_model = cv.fit(tr.drop("_fold")).bestModel
