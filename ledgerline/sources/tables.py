@@ -2,10 +2,11 @@
 
 The sales view joins lineitem to its order, customer, nation, region and
 part, and renames the columns the business operators look for by keyword.
-Joins are declared plainly: Catalyst prunes the columns, and the size-checked
-broadcast threshold (or AQE at run time) turns the joins against the tiny
-``nation`` / ``region`` tables into broadcast joins, while lineitem ⋈ orders,
-⋈ customer and ⋈ part stay shuffle joins on their keys.
+Catalyst prunes the columns, and the size-checked broadcast threshold (or
+AQE at run time) turns the joins against the tiny ``nation`` / ``region``
+tables into broadcast joins. Without statistics Catalyst keeps the written
+join order, so the order-level chain is built first and line items take
+only two shuffle joins (order key, part key).
 """
 
 from __future__ import annotations
@@ -31,13 +32,16 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
     p = table(spark, sf_dir, "part")
-    joined = (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .join(c, o.o_custkey == c.c_custkey)
-        .join(n, c.c_nationkey == n.n_nationkey)
-        .join(r, n.n_regionkey == r.r_regionkey)
-        .join(p, li.l_partkey == p.p_partkey)
-    )
+    # The customer/nation/region chain is joined to orders first, at order
+    # grain, so line-item-sized rows are shuffled only for the order and the
+    # part joins (not a third time on the customer key).
+    # nation and region join on keys with a handful of values: a shuffle join
+    # there would pile all orders into a few tasks, so they are broadcast —
+    # after sized_join has proven them small.
+    from ledgerline.functions.joins import sized_join
+    geo = sized_join(n, r, n.n_regionkey == r.r_regionkey)
+    order_side = sized_join(o.join(c, o.o_custkey == c.c_custkey), geo, c.c_nationkey == geo.n_nationkey)
+    joined = li.join(order_side, li.l_orderkey == order_side.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     return joined.select(
         F.col("l_shipdate").alias("sale_date"),
         F.col("r_name").alias("region"),

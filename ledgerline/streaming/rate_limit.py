@@ -5,7 +5,8 @@ the same client lie in the preceding ``window_s`` seconds; rejected requests
 do not count.
 
 * ``offered_load`` — the simpler screen that counts every request in the
-  window: a range-frame window count, fully JVM-side.
+  window: a range-frame window count, fully JVM-side, partitioned by
+  (client, time bucket) so a busy client is not one task.
 * ``decide`` (exact, batch) — decisions depend on earlier decisions, so they
   are made sequentially per client. Gaps of at least ``window_s`` reset the
   state, so each client's timeline is cut at such gaps and every piece is
@@ -28,12 +29,32 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 _MICROS = 1_000_000
 
 
-def offered_load(df: DataFrame, key: str, ts: str, window_s: int = 60, limit: int = 100) -> DataFrame:
-    """Requests in the preceding window (this one excluded) and a breach flag."""
+def offered_load(df: DataFrame, key: str, ts: str, window_s: int = 60, limit: int = 100,
+                 span_windows: int = 16) -> DataFrame:
+    """Requests in the preceding window (this one excluded) and a breach flag.
+
+    The count only looks back one window, so rows are partitioned by
+    (client, time bucket of ``span_windows`` windows) instead of by client:
+    a very busy client spreads over many tasks. A row in the last window of
+    its bucket is also sent to the next bucket as context (about
+    1/``span_windows`` of the rows), so every window frame sees all the rows
+    it needs.
+    """
+    window_us = window_s * _MICROS
+    span_us = window_us * span_windows
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(t).rangeBetween(-(window_s * _MICROS - 1), 0)
-    return df.withColumn("prior_requests", F.count(F.lit(1)).over(w) - 1) \
-             .withColumn("breach", F.col("prior_requests") >= limit)
+    own_bucket = F.floor(t / F.lit(span_us))
+    tagged = df.withColumn("_t", t).withColumn("_b", own_bucket)
+    spill = F.when(F.col("_t") >= (F.col("_b") + 1) * F.lit(span_us) - F.lit(window_us),
+                   F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own")),
+                           F.struct((F.col("_b") + 1).alias("b"), F.lit(False).alias("own")))) \
+        .otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own"))))
+    rows = tagged.withColumn("_x", F.explode(spill))
+    w = (Window.partitionBy(key, F.col("_x.b")).orderBy("_t")
+         .rangeBetween(-(window_us - 1), 0))
+    counted = rows.withColumn("prior_requests", F.count(F.lit(1)).over(w) - 1)
+    return (counted.where(F.col("_x.own")).drop("_t", "_b", "_x")
+            .withColumn("breach", F.col("prior_requests") >= limit))
 
 
 def _decide_sorted(times_us, limit: int, window_us: int, state: deque | None = None):
