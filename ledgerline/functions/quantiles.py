@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _ACCURACY = 10000
@@ -226,3 +226,45 @@ def kth_smallest(df: DataFrame, col: str, ranks: list[int], stats: dict | None =
 
 def medians(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, float | None]:
     return {c: v[0] for c, v in column_quantiles(df, columns, [0.5], exact).items()}
+
+
+def grouped_quantiles(df: DataFrame, group: str, value: str, probs: list[float], buckets: int = 256) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``value`` per ``group`` (long form: group, q, value).
+
+    Value counts per (group, value) are cut into ~``buckets`` ranges per group
+    by a sketch over the distinct values; running counts are taken inside
+    each (group, range) and shifted by the (small) range-total offsets, so a
+    group holding a third of the rows is still spread over many tasks. The
+    wanted ranks are then matched to the value whose running-count interval
+    contains them.
+    """
+    v = _clean(value)
+    vc = (df.select(F.col(group).alias("_g"), v.alias("_v")).where(F.col("_v").isNotNull() & F.col("_g").isNotNull())
+          .groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    cut_probs = [i / buckets for i in range(1, buckets)]
+    per_group = vc.groupBy("_g").agg(F.sum("_c").alias("_n"), F.percentile_approx("_v", cut_probs, 1000).alias("_cuts"))
+    n = F.col("_n")
+    targets = []
+    for q in probs:
+        h = (n - 1) * F.lit(q)
+        lo = F.floor(h)
+        targets.append(F.struct(F.lit(q).alias("q"), lo.alias("r"), F.lit(0).alias("w"), (h - lo).alias("f")))
+        targets.append(F.struct(F.lit(q).alias("q"), F.least(lo + 1, n - 1).alias("r"), F.lit(1).alias("w"),
+                                (h - lo).alias("f")))
+    per_group = per_group.withColumn("_t", F.array(*targets))
+    rows = (vc.join(per_group, "_g")
+            .withColumn("_b", F.size(F.filter("_cuts", lambda b: b < F.col("_v")))))
+    local = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_lc", F.sum("_c").over(local))
+    totals = rows.groupBy("_g", "_b").agg(F.sum("_c").alias("_bt"))
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_g", "_b", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
+    cum = rows.join(offsets, ["_g", "_b"]).withColumn("_hi", F.col("_off") + F.col("_lc")) \
+        .withColumn("_lo", F.col("_hi") - F.col("_c"))
+    hit = cum.select("_g", "_v", F.explode(F.filter("_t", lambda t: (t["r"] >= F.col("_lo")) & (t["r"] < F.col("_hi"))))
+                     .alias("t"))
+    picked = hit.groupBy("_g", F.col("t.q").alias("q")).agg(
+        F.max(F.when(F.col("t.w") == 0, F.col("_v"))).alias("_a"),
+        F.max(F.when(F.col("t.w") == 1, F.col("_v"))).alias("_z"), F.first("t.f").alias("_f"))
+    return picked.select(F.col("_g").alias(group), "q",
+                         (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias("value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.quantiles import grouped_quantiles
+
 # Aggregation names accepted by the chart API.
 AGGREGATIONS = {"SUM": "sum", "AVG": "mean", "COUNT": "count", "MIN": "min", "MAX": "max", "MEDIAN": "median"}
 
@@ -29,9 +31,19 @@ def _num(y: str):
 
 
 def chart(df: DataFrame, x: str, y: str, agg: str = "SUM", limit: int = 50) -> DataFrame:
-    """``agg(y) by x``: null keys dropped, 2 dp, key order, first ``limit`` keys."""
-    g = (df.where(F.col(x).isNotNull()).groupBy(x)
-         .agg(F.round(_agg_expr(agg, _num(y)), 2).alias("value")))
+    """``agg(y) by x``: null keys dropped, 2 dp, key order, first ``limit`` keys.
+
+    MEDIAN uses the distributed exact grouped quantile, so a dominant key is
+    not merged in one task.
+    """
+    if AGGREGATIONS.get(agg.upper(), "mean") == "median":
+        base = df.where(F.col(x).isNotNull()).select(x, _num(y).alias("_y"))
+        med = grouped_quantiles(base, x, "_y", [0.5]).select(x, F.round("value", 2).alias("value"))
+        keys = base.select(x).distinct()
+        g = keys.join(med, x, "left")
+    else:
+        g = (df.where(F.col(x).isNotNull()).groupBy(x)
+             .agg(F.round(_agg_expr(agg, _num(y)), 2).alias("value")))
     return g.orderBy(x).limit(limit).select(F.col(x).cast("string").alias("label"), "value")
 
 
@@ -67,17 +79,21 @@ def scatter(df: DataFrame, x: str, y: str, order_by: str | None = None, limit: i
 def box_summary(df: DataFrame, x: str, y: str, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Five-number summary of ``y`` per ``x`` group, plus count.
 
-    Exact mode uses ``percentile`` (value→count map per group, partial
-    aggregation); ``exact=False`` uses the bounded-memory sketch.
+    Exact mode uses the distributed grouped quantile (running counts per
+    value range, so a dominant group is spread over many tasks);
+    ``exact=False`` uses the bounded-memory sketch in one aggregation.
     """
-    v = _num(y)
-    probs = [0.25, 0.5, 0.75]
+    base = df.where(F.col(x).isNotNull()).select(x, _num(y).alias("_y"))
+    g = base.groupBy(x).agg(F.count("_y").alias("n"), F.min("_y").alias("min"), F.max("_y").alias("max"))
     if exact:
-        q = F.percentile(v, probs)
+        q = grouped_quantiles(base, x, "_y", [0.25, 0.5, 0.75])
+        wide = q.groupBy(x).agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(n)
+                                  for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+        g = g.join(wide, x, "left")
     else:
-        q = F.percentile_approx(v, probs, accuracy)
-    g = (df.where(F.col(x).isNotNull()).groupBy(x)
-         .agg(F.count(v).alias("n"), F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max")))
+        s = base.groupBy(x).agg(F.percentile_approx("_y", [0.25, 0.5, 0.75], accuracy).alias("_q"))
+        g = g.join(s.select(x, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                            F.col("_q")[2].alias("q3")), x, "left")
     return g.select(F.col(x).cast("string").alias("label"), "n", F.round("min", 4).alias("min"),
-                    F.round(F.col("_q")[0], 4).alias("q1"), F.round(F.col("_q")[1], 4).alias("median"),
-                    F.round(F.col("_q")[2], 4).alias("q3"), F.round("max", 4).alias("max"))
+                    F.round("q1", 4).alias("q1"), F.round("median", 4).alias("median"),
+                    F.round("q3", 4).alias("q3"), F.round("max", 4).alias("max"))

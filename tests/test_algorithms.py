@@ -163,3 +163,17 @@ def test_order_statistics_narrowing_passes(spark, monkeypatch):
     got = Qm.column_quantiles(df, ["a", "b"], [0.01, 0.25, 0.5, 0.99])
     assert got["a"] == pytest.approx(np.quantile(a, [0.01, 0.25, 0.5, 0.99]).tolist(), abs=1e-12)
     assert got["b"] == pytest.approx(np.quantile(b, [0.01, 0.25, 0.5, 0.99]).tolist(), abs=1e-12)
+
+
+def test_grouped_quantiles_match_pandas(spark):
+    from ledgerline.functions.quantiles import grouped_quantiles
+    rng = np.random.default_rng(12)
+    g = np.where(rng.random(20000) < 0.6, "hot", rng.choice(["a", "b", "c"], 20000))
+    v = np.round(rng.gamma(2.0, 3.0, 20000), 3)
+    pdf = pd.DataFrame({"g": g, "v": v})
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = grouped_quantiles(spark.createDataFrame(pdf), "g", "v", probs, buckets=8).toPandas()
+    exp = pdf.groupby("g")["v"].quantile(probs)
+    for r in got.itertuples():
+        assert r.value == pytest.approx(exp[(r.g, r.q)], abs=1e-9)
+    assert len(got) == 4 * len(probs)
