@@ -180,11 +180,13 @@ def _interpolate(n: int, ks: dict[int, float], q: float) -> float:
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], exact: bool = True,
-                     accuracy: int = _ACCURACY) -> dict[str, list[float | None]]:
+                     accuracy: int = _ACCURACY, extra: list | None = None) -> dict[str, list[float | None]]:
     """Quantiles for several columns; ``exact=False`` returns the one-pass sketch.
 
     The exact path's first pass computes count/min/max and the sketch
     brackets together (brackets sit just around each requested probability).
+    ``extra`` aggregate columns ride along in that first pass; their values
+    are returned under the key ``"__extra__"``.
     """
     if not columns:
         return {}
@@ -196,7 +198,7 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], exac
     row = df.select(*[F.struct(F.count(_clean(c)).alias("n"), F.min(_clean(c)).alias("lo"),
                                F.max(_clean(c)).alias("hi"),
                                F.percentile_approx(_clean(c), grid, _ACCURACY).alias("sk")).alias(c)
-                      for c in columns]).first()
+                      for c in columns], *(extra or [])).first()
     stats = {c: {"n": row[c]["n"], "lo": row[c]["lo"], "hi": row[c]["hi"]} for c in columns}
     brackets = {}
     for c in columns:
@@ -210,8 +212,11 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], exac
                 brackets[(c, r)] = (float(lo), float(hi))
     wants = {c: _needed_ranks(stats[c]["n"], probs) for c in columns if stats[c]["n"]}
     ks = order_statistics(df, wants, stats, brackets)
-    return {c: ([_interpolate(stats[c]["n"], ks[c], q) for q in probs] if stats[c]["n"] else [None] * len(probs))
-            for c in columns}
+    out = {c: ([_interpolate(stats[c]["n"], ks[c], q) for q in probs] if stats[c]["n"] else [None] * len(probs))
+           for c in columns}
+    if extra:
+        out["__extra__"] = row
+    return out
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], stats: dict | None = None) -> list[float | None]:

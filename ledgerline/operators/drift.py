@@ -47,9 +47,7 @@ def ks_statistics(train: DataFrame, current: DataFrame, features: list[str], buc
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = with_bucket.select("feature", "bucket", "value", "n1", "n2",
                                F.sum("c1").over(local_w).alias("l1"), F.sum("c2").over(local_w).alias("l2"))
-    totals = counts.join(F.broadcast(cuts.select("feature", "cuts")), "feature").withColumn(
-        "bucket", F.size(F.filter("cuts", lambda b: b < F.col("value")))).groupBy("feature", "bucket").agg(
-        F.sum("c1").alias("t1"), F.sum("c2").alias("t2"))
+    totals = with_bucket.groupBy("feature", "bucket").agg(F.sum("c1").alias("t1"), F.sum("c2").alias("t2"))
     before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("feature", "bucket", F.coalesce(F.sum("t1").over(before), F.lit(0)).alias("o1"),
                             F.coalesce(F.sum("t2").over(before), F.lit(0)).alias("o2"))

@@ -28,10 +28,17 @@ def numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     if not cols:
         return spark.createDataFrame([], schema)
     clean = df.select(*[_clean_num(c).alias(c) for c in cols])
-    row = clean.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-                               F.max(c).alias("max"), skewness_adjusted(c).alias("skew"),
-                               F.count(c).alias("n")).alias(c) for c in cols]).first()
-    qs = column_quantiles(clean, cols, [0.25, 0.5, 0.75], exact)
+    moments = [F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
+                        F.max(c).alias("max"), skewness_adjusted(c).alias("skew"),
+                        F.count(c).alias("n")).alias(f"__m_{c}") for c in cols]
+    if exact:  # the moments ride along in the quantiles' first pass
+        qs = column_quantiles(clean, cols, [0.25, 0.5, 0.75], exact, extra=moments)
+        first = qs.pop("__extra__")
+        row = {c: first[f"__m_{c}"] for c in cols}
+    else:
+        first = clean.agg(*moments).first()
+        row = {c: first[f"__m_{c}"] for c in cols}
+        qs = column_quantiles(clean, cols, [0.25, 0.5, 0.75], exact)
     r2 = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else half_up(float(v), 2)
     out = []
     for c in cols:

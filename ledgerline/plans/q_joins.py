@@ -206,3 +206,17 @@ def fn6(spark, sf):
     pairs = F.transform(F.col("embedding"), lambda v, i: F.struct((-v.cast("double")).alias("nv"), i.alias("ix")))
     top = F.slice(F.array_sort(pairs), 1, 3)
     return e.select("vec_id", F.array_join(F.transform(top, lambda s: s["ix"]), ",").alias("top3"))
+
+
+@register("FN6_MAP", sql="""
+SELECT l_orderkey, l_linenumber, round(l_extendedprice / 7.0, 2) AS price_share,
+       round(l_quantity / 3.0, 2) AS qty_share
+FROM lineitem
+""")
+def fn6_map(spark, sf):
+    li = table(spark, sf, "lineitem")
+    m = F.create_map(F.lit("price_share"), F.col("l_extendedprice") / 7.0, F.lit("qty_share"), F.col("l_quantity") / 3.0)
+    rounded = F.transform_values(m, lambda k, v: F.round(v, 2))
+    return li.select("l_orderkey", "l_linenumber", rounded.alias("m")).select(
+        "l_orderkey", "l_linenumber", F.element_at("m", F.lit("price_share")).alias("price_share"),
+        F.element_at("m", F.lit("qty_share")).alias("qty_share"))
