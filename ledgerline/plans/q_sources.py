@@ -218,3 +218,17 @@ FROM ({CUSTOMER_NULLS_SQL})
 """)
 def fe6(spark, sf):
     return features.category_codes(customer_nulls(spark, sf).select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
+
+
+def _src9_sql(bq9: str) -> str:
+    """Two appended root-cause runs: the BQ9 oracle twice, tagged by run."""
+    return (f"SELECT *, 'root_cause' AS result_kind, 1 AS run_id FROM ({bq9}) "
+            f"UNION ALL SELECT *, 'root_cause' AS result_kind, 2 AS run_id FROM ({bq9})")
+
+
+def src9(spark, sf):
+    from ledgerline.operators import questions
+    path = scratch_path(spark, "results")
+    for run in (1, 2):
+        files.append_results(questions.root_cause(sales_view(spark, sf), "sales", "sale_date"), path, "root_cause", run)
+    return spark.read.parquet(path)

@@ -44,4 +44,7 @@ def _load_all() -> None:
 
 def all_queries() -> dict[str, Query]:
     _load_all()
+    if "SRC9" not in _QUERIES:  # its SQL is built from the BQ9 oracle
+        from ledgerline.plans import q_sources
+        _QUERIES["SRC9"] = Query("SRC9", q_sources.src9, q_sources._src9_sql(_QUERIES["BQ9"].sql))
     return dict(_QUERIES)
