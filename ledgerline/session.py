@@ -40,6 +40,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -65,3 +66,38 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ledgerline`` importable in Python workers (once per SparkContext).
+
+    Pandas UDFs and grouped-map functions are pickled by reference to their
+    module, so executors need the package: it is zipped and added with
+    ``addPyFile``, which Spark distributes to every executor.
+    """
+    import zipfile
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, "pyfiles")
+    if target.startswith("file:"):
+        target = target[len("file:"):]
+    if "://" in target:  # a remote shared folder: stage the archive on the driver, Spark ships it
+        import tempfile
+        target = tempfile.mkdtemp(prefix="ledgerline-pyfiles-")
+    os.makedirs(target, exist_ok=True)
+    archive = os.path.join(target, "ledgerline.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, dirs, fnames in os.walk(pkg_dir):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for fn in fnames:
+                if fn.endswith(".py"):
+                    full = os.path.join(root, fn)
+                    zf.write(full, os.path.join("ledgerline", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
