@@ -189,7 +189,9 @@ def fn4(spark, sf):
                     F.coalesce("c_mktsegment", F.lit("Unknown")).alias("segment_filled"))
 
 
-@register("FN5", note="JSON text of result rows; formatting differs between engines, rows-only")
+@register("FN5", sql="""
+SELECT r_regionkey, to_json({'r_regionkey': r_regionkey, 'r_name': r_name})::VARCHAR AS payload FROM region
+""")
 def fn5(spark, sf):
     r = table(spark, sf, "region")
     return r.select("r_regionkey", F.to_json(F.struct("r_regionkey", "r_name")).alias("payload"))
