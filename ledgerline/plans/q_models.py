@@ -11,13 +11,16 @@ from ledgerline.sources.tables import table
 
 _DRIFT_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
-# KS in SQL: cumulative shares over the distinct values of both samples.
-_KS_SQL = """
+def _ks_sql(src: str, feats: list[str]) -> str:
+    """KS in SQL: cumulative shares over the distinct values of both samples.
+
+    ``src`` yields the feature columns plus ``is_cur`` (0 = train, 1 = current).
+    """
+    values = ", ".join(f"('{f}', s.{f}::DOUBLE)" for f in feats)
+    return f"""
 WITH both_s AS (
-  SELECT f.feature, f.value, s.is_cur FROM (
-    SELECT l_quantity AS q, l_extendedprice AS e, l_discount AS d, l_tax AS x,
-           CASE WHEN l_shipdate >= TIMESTAMP '1998-01-01' THEN 1 ELSE 0 END AS is_cur FROM lineitem) s,
-  LATERAL (VALUES ('l_quantity', s.q), ('l_extendedprice', s.e), ('l_discount', s.d), ('l_tax', s.x)) AS f(feature, value)
+  SELECT f.feature, f.value, s.is_cur FROM ({src}) s,
+  LATERAL (VALUES {values}) AS f(feature, value)
   WHERE f.value IS NOT NULL),
 c AS (SELECT feature, value, count_if(is_cur = 0) AS c1, count_if(is_cur = 1) AS c2 FROM both_s GROUP BY 1, 2),
 cum AS (SELECT feature, sum(c1) OVER w AS k1, sum(c2) OVER w AS k2, sum(c1) OVER (PARTITION BY feature) AS n1,
@@ -34,6 +37,18 @@ ks AS (SELECT z.feature, n_train::BIGINT AS n_train, n_current::BIGINT AS n_curr
 """
 
 
+_KS_SQL = _ks_sql("""SELECT l_quantity, l_extendedprice, l_discount, l_tax,
+           CASE WHEN l_shipdate >= TIMESTAMP '1998-01-01' THEN 1 ELSE 0 END AS is_cur FROM lineitem""",
+                  _DRIFT_FEATURES)
+
+_TEXT_FEATURES_SQL = """length(text)::DOUBLE AS n_chars,
+       len(regexp_split_to_array(trim(text), '\\s+'))::DOUBLE AS n_words,
+       len(string_split(text, chr(10)))::DOUBLE AS n_lines"""
+_TEXT_KS_SQL = _ks_sql(f"""SELECT {_TEXT_FEATURES_SQL}, 0 AS is_cur FROM documents
+                          UNION ALL SELECT {_TEXT_FEATURES_SQL}, 1 AS is_cur FROM conversations""",
+                       ["n_chars", "n_words", "n_lines"])
+
+
 def _drift(spark, sf):
     li = table(spark, sf, "lineitem")
     cut = F.lit("1998-01-01").cast("timestamp_ntz")
@@ -61,7 +76,7 @@ def ml17(spark, sf):
 def text_features(df, text_col="text"):
     """Length features of a text column: characters, words, lines."""
     return df.select(F.length(text_col).cast("double").alias("n_chars"),
-                     F.size(F.split(F.trim(F.col(text_col)), r"\\s+")).cast("double").alias("n_words"),
+                     F.size(F.split(F.trim(F.col(text_col)), r"\s+")).cast("double").alias("n_words"),
                      F.size(F.split(F.col(text_col), "\\n")).cast("double").alias("n_lines"))
 
 
@@ -72,7 +87,7 @@ def _text_drift(spark, sf):
     return drift.drift(train, current, ["n_chars", "n_words", "n_lines"])
 
 
-@register("ML16_TEXT", note="documents vs conversation turns; SQL word splitting differs, rows-only")
+@register("ML16_TEXT", sql=_TEXT_KS_SQL + "SELECT * FROM ks")
 def ml16_text(spark, sf):
     return _text_drift(spark, sf)
 
