@@ -9,8 +9,11 @@ do not count.
   (client, time bucket) so a busy client is not one task.
 * ``decide`` (exact, batch) — decisions depend on earlier decisions, so they
   are made sequentially per client. Gaps of at least ``window_s`` reset the
-  state, so each client's timeline is cut at such gaps and every piece is
-  decided independently (``applyInPandas`` on (client, piece)).
+  state, so each client's timeline is cut at such gaps (found per time
+  bucket, not with one window per client) and every piece is decided
+  independently (``applyInPandas`` on (client, piece)). A client that never
+  pauses for a whole window remains one sequential piece: the rule itself
+  is sequential.
 * ``decide_stream`` (exact, streaming) — the same rule as a stateful
   operator with ``applyInPandasWithState``; the state per client is the at
   most ``limit`` accepted timestamps still inside the window.
@@ -71,15 +74,38 @@ def _decide_sorted(times_us, limit: int, window_us: int, state: deque | None = N
     return out, accepted
 
 
-def decide(df: DataFrame, key: str, ts: str, id_col: str, window_s: int = 60, limit: int = 100) -> DataFrame:
-    """Exact accept/reject per request: ``id_col``, ``key``, ``ts``, ``accepted``."""
+def decide(df: DataFrame, key: str, ts: str, id_col: str, window_s: int = 60, limit: int = 100,
+           span_windows: int = 64) -> DataFrame:
+    """Exact accept/reject per request: ``id_col``, ``key``, ``ts``, ``accepted``.
+
+    A gap of at least one window resets the rule, so each client's timeline
+    is cut into pieces at such gaps and every piece is decided on its own.
+    The cut is found without a window over a client's whole history: rows
+    are grouped in (client, time bucket of ``span_windows`` windows); inside
+    a bucket the previous row and the latest piece start come from windows,
+    and what a bucket needs from earlier buckets (last timestamp, last piece
+    start) comes from a per-client table with one row per bucket.
+    """
     window_us = window_s * _MICROS
+    span_us = window_us * span_windows
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(t, F.col(id_col))
-    gap = t - F.lag(t).over(w)
-    pieces = (df.select(id_col, key, ts, t.alias("_t"))
-              .withColumn("_new", F.when(gap.isNull() | (gap >= window_us), 1).otherwise(0))
-              .withColumn("_piece", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    rows = df.select(id_col, key, ts, t.alias("_t")).withColumn("_b", F.floor(F.col("_t") / F.lit(span_us)))
+    inb = Window.partitionBy(key, "_b").orderBy("_t", id_col)
+    rows = rows.withColumn("_prev", F.lag("_t").over(inb))
+    per_bucket = rows.groupBy(key, "_b").agg(F.max("_t").alias("_last"), F.min("_t").alias("_first"))
+    chain = Window.partitionBy(key).orderBy("_b")  # one row per (client, bucket)
+    per_bucket = per_bucket.withColumn("_prev_last", F.lag("_last").over(chain))
+    rows = rows.join(per_bucket.select(key, "_b", "_prev_last"), [key, "_b"])
+    prev = F.coalesce(F.col("_prev"), F.col("_prev_last"))
+    rows = rows.withColumn("_new", prev.isNull() | (F.col("_t") - prev >= window_us))
+    upto = inb.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_start_in", F.last(F.when(F.col("_new"), F.col("_t")), ignorenulls=True).over(upto))
+    starts = rows.groupBy(key, "_b").agg(F.max(F.when(F.col("_new"), F.col("_t"))).alias("_bstart"))
+    carried = starts.withColumn("_carry", F.last("_bstart", ignorenulls=True).over(
+        chain.rowsBetween(Window.unboundedPreceding, -1)))
+    pieces = (rows.join(carried.select(key, "_b", "_carry"), [key, "_b"])
+              .withColumn("_piece", F.coalesce("_start_in", "_carry"))
+              .select(id_col, key, ts, "_t", "_piece"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_t", id_col])
@@ -89,7 +115,13 @@ def decide(df: DataFrame, key: str, ts: str, id_col: str, window_s: int = 60, li
 
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = f"{id_col} {fields[id_col]}, {key} {fields[key]}, {ts} {fields[ts]}, accepted boolean"
-    return pieces.groupBy(key, "_piece").applyInPandas(run, schema)
+    # A piece with at most `limit` requests never rejects one: decide those in
+    # the JVM and send only the longer pieces through the sequential step.
+    sizes = pieces.groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_size"))
+    sized = pieces.join(sizes, [key, "_piece"])
+    short = sized.where(F.col("_size") <= limit).select(id_col, key, ts, F.lit(True).alias("accepted"))
+    long = sized.where(F.col("_size") > limit).drop("_size").groupBy(key, "_piece").applyInPandas(run, schema)
+    return short.unionByName(long)
 
 
 def decide_stream(stream: DataFrame, key: str, ts: str, id_col: str, window_s: int = 60, limit: int = 100,

@@ -177,3 +177,17 @@ def test_grouped_quantiles_match_pandas(spark):
     for r in got.itertuples():
         assert r.value == pytest.approx(exp[(r.g, r.q)], abs=1e-9)
     assert len(got) == 4 * len(probs)
+
+
+def test_rate_limit_pieces_cross_buckets(spark):
+    """Small buckets force pieces to span bucket borders."""
+    rng = np.random.default_rng(21)
+    base = dt.datetime(2024, 1, 1)
+    rows, t = [], 0.0
+    for i in range(1500):
+        t += float(rng.choice([0.3, 1.0, 25.0], p=[0.6, 0.35, 0.05]))
+        rows.append((i, 7, base + dt.timedelta(seconds=t)))
+    df = spark.createDataFrame(rows, "rid long, user long, ts timestamp_ntz")
+    got = {r["rid"]: r["accepted"] for r in rate_limit.decide(df, "user", "ts", "rid", 10, 4, span_windows=2).collect()}
+    exp = _brute_rate([(r[2] - base).total_seconds() for r in rows], 4, 10)
+    assert [got[r[0]] for r in rows] == exp
