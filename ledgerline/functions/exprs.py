@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.columns import is_numeric, is_temporal
+from ledgerline.functions.columns import is_temporal
 
 
 def as_timestamp(df: DataFrame, col: str) -> Column:
@@ -21,31 +19,17 @@ def as_timestamp(df: DataFrame, col: str) -> Column:
     raise TypeError(f"column {col!r} of type {dt.simpleString()} is not a date")
 
 
-def ts_literal(value, like: Column | None = None) -> Column:
+def ts_literal(value) -> Column:
     """A timestamp literal typed as TIMESTAMP_NTZ, so range filters reach the scan."""
     return F.lit(str(value)).cast(T.TimestampNTZType())
 
 
-def pandas_skew(m2: Column, m3: Column, n: Column) -> Column:
-    """Bias-adjusted sample skewness (pandas / DuckDB) from population moments."""
-    g1 = m3 / F.pow(m2, 1.5)
-    return F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
-
-
 def skewness_adjusted(col: str) -> Column:
     """pandas ``Series.skew()``: Spark's population skewness × √(n(n−1))/(n−2)."""
     n = F.count(F.col(col)).cast("double")
     return F.when(n > 2, F.skewness(F.col(col)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def round_half_up(c: Column, digits: int) -> Column:
-    return F.round(c, digits)
-
-
-def pct(part: Column, whole: Column) -> Column:
-    return F.try_divide(part * F.lit(100.0), whole)
-
-
 def stable_split_bucket(key: Column, buckets: int = 100) -> Column:
     """Deterministic pseudo-random bucket of an integer key (MINSTD step).
 
@@ -69,14 +53,6 @@ def kolmogorov_sf(z: Column, terms: int = 100) -> Column:
     return F.when(z <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(2.0) * total)))
 
 
-def numeric_type(df: DataFrame, col: str) -> bool:
-    return is_numeric(df.schema[col].dataType)
-
-
-def safe_log2(n: float) -> float:
-    return math.log2(n) if n > 0 else 0.0
-
-
 def half_up(v, digits: int):
     """Round a driver-side float like SQL ``round``: half away from zero on its decimal form."""
     if v is None:

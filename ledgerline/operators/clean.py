@@ -157,5 +157,3 @@ def suggest_features(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "column string, type string, suggestion string, skewness double")
 
 
-def string_or_numeric(dt: T.DataType) -> str:
-    return "numeric" if C.is_numeric(dt) else "other"

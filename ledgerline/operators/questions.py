@@ -234,30 +234,6 @@ def dimension_table(df: DataFrame, metric: str, date: str, threshold: int = 15)
 
 
 # ---------------------------------------------------------------- BQ9
-def kpi_change(df: DataFrame, metric: str, date: str) -> dict | None:
-    """Last two calendar months of the series (bounded scalars, one pass)."""
-    ts = as_timestamp(df, date)
-    span = df.select(ts.alias("_d")).agg(F.min("_d").alias("lo"), F.max("_d").alias("hi")).first()
-    if span["hi"] is None:
-        return None
-    curr = span["hi"].date().replace(day=1)
-    first = span["lo"].date().replace(day=1)
-    if first >= curr:
-        return None  # fewer than two monthly periods
-    prev = _sub_month(curr)
-    lo, mid, hi = ts_literal(prev), ts_literal(curr.isoformat()), ts_literal(_add_month(curr))
-    tot = (df.select(ts.alias("_d"), _metric(df, metric).alias("_m"))
-           .where((F.col("_d") >= lo) & (F.col("_d") < hi))
-           .agg(F.coalesce(F.sum(F.when(F.col("_d") < mid, F.col("_m"))), F.lit(0.0)).alias("prev"),
-                F.coalesce(F.sum(F.when(F.col("_d") >= mid, F.col("_m"))), F.lit(0.0)).alias("curr"))
-           .first())
-    prev_val, curr_val = float(tot["prev"]), float(tot["curr"])
-    diff = curr_val - prev_val
-    return {"prev_month": prev, "curr_month": curr.isoformat(), "previous": prev_val, "current": curr_val,
-            "diff": diff, "pct_change": (diff / prev_val * 100) if prev_val > 0 else 0.0,
-            "decline": diff < 0}
-
-
 def root_cause(df: DataFrame, metric: str | None = None, date: str | None = None,
                dims: list[str] | None = None, fill_missing: bool = False) -> DataFrame:
     """Why did the KPI fall in the last month? One finding per dimension.

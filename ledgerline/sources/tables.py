@@ -74,9 +74,3 @@ JOIN part p ON l.l_partkey = p.p_partkey
 """
 
 
-def with_injected_nulls(df: DataFrame, key: str, columns: list[str], modulus: int = 15) -> DataFrame:
-    """Null out ``columns`` on every ``modulus``-th key: the sample generator's defect rule."""
-    out = df
-    for c in columns:
-        out = out.withColumn(c, F.when(F.col(key) % modulus == 0, F.lit(None)).otherwise(F.col(c)))
-    return out

@@ -84,3 +84,24 @@ def test_stream_decisions_equal_batch(spark, tmp_path):
     streamed = {r["rid"]: r["accepted"] for r in spark.read.parquet(out).collect()}
     assert streamed == batch
     assert not all(batch.values())
+
+
+def test_clean_summary_before_after(spark):
+    from ledgerline.operators import clean
+    df = spark.createDataFrame([(1.0, "a"), (1.0, "a"), (None, "b"), (3.0, None)], "x double, k string")
+    out = {r["metric"]: (r["before"], r["after"]) for r in clean.clean_summary(df, clean.clean(df)).collect()}
+    assert out["rows"] == (4, 3)
+    assert out["missing_cells"] == (2, 0)
+    assert out["duplicate_rows"] == (1, 0)
+
+
+def test_lineage_append_and_history(spark):
+    path = scratch_path(spark, "t-lineage")
+    first = catalog.lineage_rows(spark, [("d1", "UPLOAD", "raw", dt.datetime(2026, 1, 1)),
+                                         ("d1", "CLEAN", "cleaned", dt.datetime(2026, 1, 2))])
+    catalog.append_lineage(first, path)
+    catalog.append_lineage(catalog.lineage_rows(spark, [("d2", "UPLOAD", "raw", dt.datetime(2025, 12, 31))]), path)
+    hist = catalog.lineage_history(spark.read.parquet(path)).collect()
+    assert [r["operation"] for r in hist] == ["UPLOAD", "UPLOAD", "CLEAN"]
+    assert [r["operation"] for r in catalog.lineage_history(spark.read.parquet(path), "d1").collect()] == \
+        ["UPLOAD", "CLEAN"]
