@@ -35,6 +35,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Checkpoints written to cut lineage are removed once unreferenced.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
     )
     spark = builder.getOrCreate()
