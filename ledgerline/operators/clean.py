@@ -10,6 +10,11 @@ from ledgerline.functions import columns as C
 from ledgerline.functions.quantiles import column_quantiles, medians
 from ledgerline.operators.profile import _is_missing, value_counts_long
 
+# Feature-engineering suggestion texts.
+SUGGEST_DATETIME = "Extract Year, Month, Day, and Day of Week from '{column}' to capture seasonality."
+SUGGEST_ONE_HOT = "One-hot encode categorical feature '{column}' for machine learning algorithms."
+SUGGEST_LOG = "Apply log transform to skewed numerical column '{column}' (skewness: {skew})."
+
 
 def missing_counts(df: DataFrame) -> dict[str, int]:
     row = df.agg(*[F.count_if(_is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
@@ -146,14 +151,14 @@ def suggest_features(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
         c = r["column"]
         if r["semantic_type"] == "datetime":
             out.append((c, "datetime_extraction",
-                        f"Extract Year, Month, Day, and Day of Week from '{c}' to capture seasonality.", None))
+                        SUGGEST_DATETIME.format(column=c), None))
         elif r["semantic_type"] == "categorical" and 2 < r["distinct_count"] < 15:
             out.append((c, "one_hot_encoding",
-                        f"One-hot encode categorical feature '{c}' for machine learning algorithms.", None))
+                        SUGGEST_ONE_HOT.format(column=c), None))
         elif c in skew_cols and skews[c] is not None and abs(skews[c]) > 1.5:
             s = half_up(skews[c], 2)
             out.append((c, "log_transformation",
-                        f"Apply log transform to skewed numerical column '{c}' (skewness: {s}).", s))
+                        SUGGEST_LOG.format(column=c, skew=s), s))
     return df.sparkSession.createDataFrame(out, "column string, type string, suggestion string, skewness double")
 
 

@@ -14,6 +14,13 @@ from pyspark.sql import types as T
 from ledgerline.functions import columns as C
 from ledgerline.functions.exprs import half_up
 
+# Data-quality issue lines.
+ISSUE_MISSING = "Column '{column}' has {pct}% missing values."
+ISSUE_NEGATIVE = ("Column '{column}' contains {count} negative values, which may be invalid for "
+                  "monetary/quantity fields.")
+ISSUE_BAD_DATES = "Column '{column}' has {count} rows with inconsistent date formats."
+ISSUE_OUTLIERS = "High outlier contamination ({pct}%) detected across numerical columns."
+
 
 def _is_missing(df: DataFrame, col: str) -> Column:
     dt = df.schema[col].dataType
@@ -220,14 +227,13 @@ def quality_issues(df: DataFrame, prof: DataFrame | None = None, outliers_pct: f
     for c in df.columns:
         r = info[c]
         if r["missing_pct"] > 5.0:
-            lines.append(f"Column '{c}' has {r['missing_pct']}% missing values.")
+            lines.append(ISSUE_MISSING.format(column=c, pct=r["missing_pct"]))
         if c in val_cols and neg[c] > 0:
-            lines.append(f"Column '{c}' contains {neg[c]} negative values, which may be invalid for "
-                         f"monetary/quantity fields.")
+            lines.append(ISSUE_NEGATIVE.format(column=c, count=neg[c]))
         if c in bad and bad[c] > 0:
-            lines.append(f"Column '{c}' has {bad[c]} rows with inconsistent date formats.")
+            lines.append(ISSUE_BAD_DATES.format(column=c, count=bad[c]))
     if outliers_pct > 5.0:
-        lines.append(f"High outlier contamination ({outliers_pct}%) detected across numerical columns.")
+        lines.append(ISSUE_OUTLIERS.format(pct=outliers_pct))
     data = [(i + 1, s) for i, s in enumerate(lines[:limit])]
     return spark.createDataFrame(data, "position int, issue string")
 
