@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ledgerline.functions import columns as C
 from ledgerline.functions.exprs import as_timestamp, half_up, ts_literal
+from ledgerline.functions.ordering import consecutive_index
 
 
 def _metric(df: DataFrame, metric: str):
@@ -50,18 +51,23 @@ def month_over_month(df: DataFrame, metric: str, date: str) -> DataFrame:
 
 # ---------------------------------------------------------------- BQ1
 def top_segments(df: DataFrame, metric: str, by: str) -> DataFrame:
-    """Totals per segment with share of the grand total, ranked (BQ1 chart)."""
+    """Totals per segment with share of the grand total, ranked (BQ1 chart).
+
+    The grand total is one collected number; ranks come from a distributed
+    consecutive index over (total desc, segment), not a single-task window.
+    """
     g = (df.where(F.col(by).isNotNull()).groupBy(by)
          .agg(F.coalesce(F.sum(_metric(df, metric)), F.lit(0.0)).alias("total")))
-    w_all = Window.partitionBy()
-    grand = F.sum("total").over(w_all)
-    ranked = Window.orderBy(F.desc("total"), F.asc(by))
-    return g.select(
+    grand = g.agg(F.sum("total").alias("t")).first()["t"] or 0.0
+    keyed = g.withColumn("_k", F.struct((-F.col("total")).alias("a"), F.col(by).alias("b")))
+    ranked = consecutive_index(keyed, "_k", "_i")
+    share = (F.col("total") / F.lit(grand) * 100) if grand > 0 else F.lit(0.0)
+    return ranked.select(
         F.col(by).cast("string").alias("segment"),
         F.round("total", 2).alias("total"),
-        F.round(F.when(grand > 0, F.col("total") / grand * 100).otherwise(F.lit(0.0)), 1).alias("share_pct"),
-        F.round(grand, 2).alias("grand_total"),
-        F.row_number().over(ranked).alias("rank"),
+        F.round(share, 1).alias("share_pct"),
+        F.round(F.lit(grand), 2).alias("grand_total"),
+        (F.col("_i") + 1).cast("int").alias("rank"),
     )
 
 
@@ -130,8 +136,7 @@ def decline_drilldown(df: DataFrame, metric: str | None = None, date: str | None
         return _empty_drill(df.sparkSession)
     month = worst["month"]
     seg = segment_change(df, metric, date, by, _sub_month(month), month).where(F.col("drop") > 0)
-    w = Window.orderBy(F.desc("drop"), F.asc("segment"))
-    return (seg.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return (seg.orderBy(F.desc("drop"), F.asc("segment")).limit(1)  # distributed top-1
             .select(F.lit(by).alias("dimension"), "segment", F.round("drop", 2).alias("segment_drop"),
                     F.date_format(F.last_day(F.lit(month)), "yyyy-MM-dd").alias("month_end")))
 

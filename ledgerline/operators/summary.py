@@ -78,8 +78,8 @@ def category_distribution(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 def class_distribution(df: DataFrame, column: str) -> DataFrame:
     """AGG15: count and share (%) per class."""
     g = df.groupBy(F.col(column).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    return g.select("class", "count", F.round(F.col("count") / total * 100, 2).alias("percentage"))
+    total = df.count()  # one number; no single-task window over the classes
+    return g.select("class", "count", F.round(F.col("count") / F.lit(total) * 100, 2).alias("percentage"))
 
 
 # ---------------------------------------------------------------- AGG3 / AGG4
