@@ -194,7 +194,9 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], exac
         row = df.select(*[F.percentile_approx(_clean(c), probs, accuracy).alias(c) for c in columns]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
     eps = 2.0 / _ACCURACY
-    grid = sorted({min(1.0, max(0.0, q + d)) for q in probs for d in (-eps, eps + 1e-9)})
+    # Each bracket edge is computed once and looked up by that same value.
+    edges = {q: (min(1.0, max(0.0, q - eps)), min(1.0, max(0.0, q + eps + 1e-9))) for q in probs}
+    grid = sorted({e for pair in edges.values() for e in pair})
     row = df.select(*[F.struct(F.count(_clean(c)).alias("n"), F.min(_clean(c)).alias("lo"),
                                F.max(_clean(c)).alias("hi"),
                                F.percentile_approx(_clean(c), grid, _ACCURACY).alias("sk")).alias(c)
@@ -206,8 +208,8 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], exac
         if not stats[c]["n"] or sk is None:
             continue
         for q in probs:
-            lo = sk[grid.index(min(1.0, max(0.0, q - eps)))]
-            hi = sk[grid.index(min(1.0, max(0.0, q + eps + 1e-9)))]
+            lo = sk[grid.index(edges[q][0])]
+            hi = sk[grid.index(edges[q][1])]
             for r in _needed_ranks(stats[c]["n"], [q]):
                 brackets[(c, r)] = (float(lo), float(hi))
     wants = {c: _needed_ranks(stats[c]["n"], probs) for c in columns if stats[c]["n"]}
