@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dartminhash, decontaminate, langid, packing, substrings, topk
+from ledgerline.llm import brown, dartminhash, decontaminate, html, langid, packing, quality, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op2_top_k(spark, sf_dir):
     return topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark, sf_dir):
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_language_id(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,10 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_html(spark, sf_dir):
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -47,6 +59,11 @@ def op9_substring_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_lm_scoring(spark, sf_dir):
+    return brown.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op2_top_k, op5_language_id, op6_decontamination, op8_packing, op9_substring_dedup)}
+    op1_near_duplicates, op2_top_k, op3_toxicity, op4_quality, op5_language_id, op6_decontamination, op7_html,
+    op8_packing, op9_substring_dedup, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
