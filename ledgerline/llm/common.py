@@ -86,23 +86,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     empty table.
     """
     edges = store(edges.select("a", "b").distinct())
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    labels = store(nodes.withColumn("label", F.col("node")))
-    edges = store(edges.where("a <> b"))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    steps = []
+    edges = edges.where("a <> b")
     while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        target = store(
-            both.groupBy("a").agg(F.min("b").alias("m"))
-            .select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        target = (edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"),
+                                                                             F.col("a").alias("b")))).alias("x"))
+                  .groupBy(F.col("x.a").alias("node")).agg(F.min("x.b").alias("m"))
+                  .select("node", F.least("node", "m").alias("to")))
         jump = target.select(F.col("node").alias("to"), F.col("to").alias("to2"))
-        target = store(
-            target.join(jump, "to", "left").select("node", F.coalesce("to2", "to").alias("to")))
-        labels = store(
-            labels.join(target.withColumnRenamed("node", "label"), "label", "left")
-            .select("node", F.coalesce("to", "label").alias("label")))
-        moved = (edges.join(target.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
-                 .join(target.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-                 .where("ta <> tb")
-                 .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")))
-        edges = store(moved.distinct())
-    return labels
+        target = store(target.join(jump, "to", "left").select("node", F.coalesce("to2", "to").alias("to")))
+        steps.append(target)
+        edges = store(edges.join(target.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
+                      .join(target.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+                      .where("ta <> tb")
+                      .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+    labels = nodes.withColumn("label", F.col("node"))
+    for target in steps:
+        labels = labels.join(target.withColumnRenamed("node", "label"), "label", "left").select(
+            "node", F.coalesce("to", "label").alias("label"))
+    return store(labels)

@@ -14,8 +14,11 @@ with a doubled limit.
 Equal texts are merged first. Bands of ``rows`` coordinates are the bucket keys.
 In a bucket, documents are compared exactly (whole shingle multisets) with
 pivots: first all with the smallest, then, where a bucket still holds several
-classes, with four more pivots a round, as long as rounds find links. No bucket
-is held in one task and the comparisons stay linear in its size.
+classes, with ``PIVOTS`` more pivots a round (linked documents first), until a
+round finds less than ``MIN_YIELD`` links per comparison. Small buckets are so
+compared in full; in a large one a document whose few partners were never its
+pivots can stay alone. No bucket is held in one task and the comparisons stay
+linear in its size.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql.window import Window
 from ledgerline.llm import words as W
 from ledgerline.llm.common import bound_batches, connected_components, lower, shingles, store, text_node
 
-PIVOTS = 4
+PIVOTS = 2
+#: Rounds go on while more than this share of the comparisons finds a link.
+MIN_YIELD = 0.001
 _STRIP = np.uint64(0xD1B54A32D192ED03)
 _GAP = np.uint64(0x8CB92BA72F3D8DD7)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -173,7 +178,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    members = store(keyed.join(shared, "key").select("key", "node", "pivot"))
+    members = store(keyed.join(shared, "key").select("key", "node", "pivot", "n"))
     need = members.select("node").distinct().join(nodes.select("node", "first_id"), "node")
 
     def exact(batches):
@@ -185,35 +190,40 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
                      pa.array(_exact_sets(text.slice(lo, hi - lo), shingle_words), pa.binary())], ["node", "strips"])
 
     wanted = store(need.withColumnRenamed("first_id", "doc_id"))
-    sets = store(source.join(wanted, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"])
+    sets = store(source.join(wanted.hint("merge"), ["node", "doc_id"]).dropDuplicates(["node", "doc_id"])
                        .select("node", "text").mapInArrow(exact, "node binary, strips binary"))
 
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = store(_verified(store(pairs), sets, threshold))
     labels = connected_components(links)
-    found, turn = True, 0
-    while found:
-        now = store(members.join(labels, "node", "left").select(
-            "key", "node", F.coalesce("label", "node").alias("label"), F.xxhash64("node", "key").alias("draw")))
-        order = Window.partitionBy("key").orderBy("draw", "node")
-        pivots = store(now.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= (turn + 1) * PIVOTS)
-                       .where(F.col("turn") > turn * PIVOTS)
-                       .select("key", F.col("node").alias("pivot"), F.col("label").alias("pivot_label")))
-        pairs = (now.join(pivots, "key").where("label <> pivot_label")
-                 .groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-                 .agg(F.min(F.struct(F.when(F.col("node") < F.col("pivot"), F.col("label")).otherwise(
-                     F.col("pivot_label")).alias("la"), F.when(F.col("node") < F.col("pivot"), F.col(
-                         "pivot_label")).otherwise(F.col("label")).alias("lb"))).alias("l")))
-        merges = store(_verified(store(pairs.select("a", "b", "l.la", "l.lb")), sets, threshold)
-                       .select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        found = not merges.isEmpty()
-        if found:
+    linked = labels.select("node", F.lit(True).alias("linked"))
+    members = store(members.drop("pivot").join(linked, "node", "left").select(
+        "key", "node", "n", F.coalesce("linked", F.lit(False)).alias("linked"), F.xxhash64("node", "key").alias("draw")))
+    used = 0
+    while True:
+        now = store(members.where(F.col("n") > used).join(labels, "node", "left")
+                    .withColumn("label", F.coalesce("label", "node")))
+        order = Window.partitionBy("key").orderBy(F.desc("linked"), "draw", "node")
+        pivots = (now.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= used + PIVOTS)
+                  .where(F.col("turn") > used)
+                  .select("key", *(F.col(c).alias(f"pivot_{c}") for c in ("node", "label", "linked"))))
+        # A linked document meets an unlinked pivot when their parts are exchanged.
+        pairs = store(now.join(pivots, "key").where("label <> pivot_label and (pivot_linked or not linked)")
+                      .select(F.least("node", "pivot_node").alias("a"), F.greatest("node", "pivot_node").alias("b"),
+                              "label", "pivot_label").dropDuplicates(["a", "b"]))
+        sets = store(sets.join(now.select("node").distinct(), "node", "left_semi"))
+        merges = store(_verified(pairs, sets, threshold).select(F.col("label").alias("a"),
+                                                                F.col("pivot_label").alias("b")))
+        links, tried = merges.count(), pairs.count()
+        used += PIVOTS
+        if links:
             onto = connected_components(merges)
             known = labels.unionByName(onto.select("node", F.col("node").alias("label"))
                                        .join(labels.select("node"), "node", "left_anti"))
             labels = store(known.join(onto.select(F.col("node").alias("label"), F.col("label").alias("to")), "label",
                                       "left").select("node", F.coalesce("to", "label").alias("label")))
-        turn += 1
+        if links <= MIN_YIELD * tried:
+            break
 
     classed = store(nodes.select("node", "first_id").join(labels, "node", "left")
                           .select("node", "first_id", F.coalesce("label", "node").alias("label")))
