@@ -11,8 +11,8 @@ longer repeat is covered by full windows.)
 
 At both levels a task first settles repeats among its own documents and sends
 one entry per distinct hash, so a passage that stands in a third of all
-documents is one entry per batch. Entries travel as packed arrays, dealt by
-hash. Equal texts are merged before: only the one with the smallest id has
+documents is one entry per task. Entries travel as packed arrays, dealt by
+hash, and the marks they earn travel back packed by document. Equal texts are merged before: only the one with the smallest id has
 windows, the others are copies throughout.
 """
 
@@ -31,7 +31,9 @@ PART_BYTES = 24_000_000          # text bytes per hash partition (about 4 millio
 _SPREAD = 4
 _LAST = 2 ** 63 - 1              # a null id is later than every other
 _ENTRY = "part int, own boolean, hash binary, pos binary, doc binary, node binary, ord binary"
-_MARK = "node binary, pos binary"
+_MARK = "part int, node binary, pos binary"
+_DOC = "node binary, marks binary"
+_GATHER = 1_500_000              # entries that a task gathers before it settles and sends them
 
 
 def _anchors(words: W.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,62 +86,112 @@ def _batch(rows, schema: str):
     return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), types)], names)
 
 
-def _marks(node: np.ndarray, pos: np.ndarray):
-    """Rows (node, positions) from arrays sorted in any way."""
-    _, inner = np.unique(node, return_inverse=True)
-    by = np.lexsort((pos, inner))
-    cut = np.flatnonzero(np.r_[True, inner[by][1:] != inner[by][:-1], True])
-    rows = [(node[by[lo]].tobytes().ljust(16, b"\0"), pos[by[lo:hi]].astype(np.uint32).tobytes())
-            for lo, hi in zip(cut, cut[1:])]
-    for at in range(0, len(rows), 4096):
-        yield _batch(rows[at:at + 4096], _MARK)
+class _Buffer:
+    """Entries of a task's documents, settled and sent when many have gathered."""
 
+    def __init__(self, parts: int, mark_all: bool):
+        self.parts, self.mark_all = parts, mark_all
+        self.clear()
 
-def _settle(mark_all):
-    """Reduce side: which entries of different batches share a hash."""
+    def clear(self) -> None:
+        self.hashes, self.pos, self.doc, self.nodes, self.ords, self.size = [], [], [], [], [], 0
+
+    def add(self, hashes, pos, doc, nodes, ords):
+        self.hashes.append(hashes)
+        self.pos.append(pos)
+        self.doc.append(doc + len(self.nodes))
+        self.nodes += nodes
+        self.ords.append(ords)
+        self.size += len(hashes)
+        if self.size > _GATHER:
+            yield from self.send()
+
+    def send(self):
+        if self.size:
+            h, pos, doc, ords = map(np.concatenate, (self.hashes, self.pos, self.doc, self.ords))
+            order = (doc if self.mark_all else ords[doc], pos)
+            yield _batch(list(_entries(h, pos, doc, order, self.nodes, ords, self.parts, self.mark_all)), _ENTRY)
+        self.clear()
+
+
+def _settle(mark_all: bool, parts: int):
+    """Reduce side: which entries of different batches share a hash. Marks leave packed by document part."""
     def run(batches):
-        h, p, n, o = [], [], [], []
+        h, p, n, o, own_n, own_p = [], [], [], [], [], []
         for batch in batches:
             for row in batch.to_pylist():
                 doc = np.frombuffer(row["doc"], np.uint32)
                 node = np.frombuffer(row["node"], "V16")[doc]
                 pos = np.frombuffer(row["pos"], np.uint32)
                 if row["own"]:
-                    yield from _marks(node, pos)
+                    own_n.append(node)
+                    own_p.append(pos)
                 else:
                     h.append(np.frombuffer(row["hash"], np.uint64))
                     p.append(pos)
                     n.append(node)
                     o.append(np.frombuffer(row["ord"], np.int64)[doc])
-        if not h:
+        if h:
+            h, p, n, o = map(np.concatenate, (h, p, n, o))
+            if mark_all:
+                low, high = n.view(np.uint64).reshape(-1, 2).T
+                by = np.lexsort((low, high, h))
+                first_of_node = np.ones(len(by), dtype=bool)
+                same = h[by][1:] == h[by][:-1]
+                first_of_node[1:] = ~(same & (low[by][1:] == low[by][:-1]) & (high[by][1:] == high[by][:-1]))
+                by = by[first_of_node]         # a text that several batches hold counts once
+            else:
+                by = np.lexsort((p, o, h))
+            s = h[by]
+            new = np.ones(len(s), dtype=bool)
+            new[1:] = s[1:] != s[:-1]
+            begin = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            if mark_all:
+                hit = by[np.diff(np.append(begin, len(s)))[group] > 1]
+            else:
+                lead = by[begin][group]
+                hit = by[(o[by] != o[lead]) | (p[by] != p[lead])]
+            own_n.append(n[hit])
+            own_p.append(p[hit])
+        node = np.concatenate(own_n) if own_n else np.zeros(0, "V16")
+        if not len(node):
             return
-        h, p, n, o = map(np.concatenate, (h, p, n, o))
-        if mark_all:
-            low, high = n.view(np.uint64).reshape(-1, 2).T
-            by = np.lexsort((low, high, h))
-            first_of_node = np.ones(len(by), dtype=bool)
-            same = h[by][1:] == h[by][:-1]
-            first_of_node[1:] = ~(same & (low[by][1:] == low[by][:-1]) & (high[by][1:] == high[by][:-1]))
-            by = by[first_of_node]             # a text that several batches hold counts once
-        else:
-            by = np.lexsort((p, o, h))
-        s = h[by]
-        new = np.ones(len(s), dtype=bool)
-        new[1:] = s[1:] != s[:-1]
-        begin = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        if mark_all:
-            hit = by[np.diff(np.append(begin, len(s)))[group] > 1]
-        else:
-            lead = by[begin][group]
-            hit = by[(o[by] != o[lead]) | (p[by] != p[lead])]
-        if len(hit):
-            yield from _marks(n[hit], p[hit])
+        pos = np.concatenate(own_p)
+        part = (node.view(np.uint64)[::2] % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        cut = np.flatnonzero(np.r_[True, part[by][1:] != part[by][:-1], True])
+        yield _batch([(int(part[by[lo]]), node[by[lo:hi]].tobytes(), pos[by[lo:hi]].tobytes())
+                      for lo, hi in zip(cut, cut[1:])], _MARK)
     return run
 
 
-def _positions(marks: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(marks or []), np.uint32).astype(np.int64)
+def _gather(batches):
+    """All marks of each document as one row (node, positions)."""
+    n, p = [], []
+    for batch in batches:
+        n += [np.frombuffer(x, "V16") for x in batch.column("node").to_pylist()]
+        p += [np.frombuffer(x, np.uint32) for x in batch.column("pos").to_pylist()]
+    if not n:
+        return
+    node, pos = np.concatenate(n), np.concatenate(p)
+    low, high = node.view(np.uint64).reshape(-1, 2).T
+    by = np.lexsort((pos, high, low))
+    low, high = low[by], high[by]
+    cut = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]), True])
+    for at in range(0, len(cut) - 1, 4096):
+        yield _batch([(node[by[lo]].tobytes().ljust(16, b"\0"), pos[by[lo:hi]].tobytes())
+                      for lo, hi in zip(cut[at:at + 4096], cut[at + 1:at + 4097])], _DOC)
+
+
+def _marked(entries: DataFrame, tasks: int, mark_all: bool) -> DataFrame:
+    """(node, marks) of the documents whose entries are repeated."""
+    return (entries.repartition(tasks, "part").mapInArrow(_settle(mark_all, tasks * _SPREAD), _MARK)
+            .repartition(tasks, "part").mapInArrow(_gather, _DOC))
+
+
+def _positions(marks: bytes | None) -> np.ndarray:
+    return np.frombuffer(marks or b"", np.uint32).astype(np.int64)
 
 
 def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_id",
@@ -165,34 +217,37 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
     parts = tasks * _SPREAD
 
     def level_one(batches):
+        buffer = _Buffer(parts, True)
+        seen: set[bytes] = set()
         for batch in batches:
             texts, nodes = batch.column("text"), batch.column("node")
             for lo, hi in W.slices(texts):
-                seen = {}
-                keep = [i for i, x in enumerate(nodes.slice(lo, hi - lo).to_pylist()) if seen.setdefault(x, i) == i]
-                node = list(seen)
-                words = W.split(texts.slice(lo, hi - lo).take(pa.array(keep)))
+                keep, node = [], []
+                for i, x in enumerate(nodes.slice(lo, hi - lo).to_pylist()):
+                    if x not in seen:
+                        seen.add(x)
+                        keep.append(i)
+                        node.append(x)
+                words = W.split(texts.slice(lo, hi - lo).take(pa.array(keep, pa.int64())))
                 _, anchor, _ = _anchors(words, size)
                 anchor = np.unique(anchor)
-                if len(anchor):
-                    doc = words.doc_of_word()[anchor]
-                    h, at = W.window_hashes(words, size // 2)
-                    hashes = h[np.searchsorted(at, anchor)]
-                    pos = anchor - words.first[doc]
-                    rows = list(_entries(hashes, pos, doc, (doc, pos), node, np.zeros(len(node), np.int64), parts, True))
-                    yield _batch(rows, _ENTRY)
-
-    anchors = (source.select("node", "text").mapInArrow(level_one, _ENTRY).repartition(tasks, "part")
-               .mapInArrow(_settle(True), _MARK).groupBy("node").agg(F.collect_list("pos").alias("marks")))
+                doc = words.doc_of_word()[anchor]
+                h, at = W.window_hashes(words, size // 2)
+                yield from buffer.add(h[np.searchsorted(at, anchor)], anchor - words.first[doc], doc, node,
+                                      np.zeros(len(node), np.int64))
+                if not buffer.size:
+                    seen.clear()
+        yield from buffer.send()
+
+    anchors = _marked(source.select("node", "text").mapInArrow(level_one, _ENTRY), tasks, True)
     survivors = store(anchors.join(leaders.select("node", "ord"), "node"))
 
     def level_two(batches):
+        buffer = _Buffer(parts, False)
         for batch in batches:
             texts = batch.column("text")
             for lo, hi in W.slices(texts):
                 words = W.split(texts.slice(lo, hi - lo))
-                node = batch.column("node").slice(lo, hi - lo).to_pylist()
-                ords = batch.column("ord").slice(lo, hi - lo).to_numpy()
                 alive = np.zeros(len(words.hash), dtype=bool)
                 for i, marks in enumerate(batch.column("marks").slice(lo, hi - lo).to_pylist()):
                     alive[words.first[i] + _positions(marks)] = True
@@ -200,14 +255,14 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
                 h, _ = W.window_hashes(words, size)
                 wanted = alive[anchor]
                 start, h = start[wanted], h[wanted]
-                if len(start):
-                    doc = words.doc_of_word()[start]
-                    pos = start - words.first[doc]
-                    yield _batch(list(_entries(h, pos, doc, (ords[doc], pos), node, ords, parts, False)), _ENTRY)
+                doc = words.doc_of_word()[start]
+                yield from buffer.add(h, start - words.first[doc], doc,
+                                      batch.column("node").slice(lo, hi - lo).to_pylist(),
+                                      batch.column("ord").slice(lo, hi - lo).to_numpy())
+        yield from buffer.send()
 
     lead = source.join(survivors, ["node", "ord"]).dropDuplicates(["node", "ord"])
-    repeated = (lead.select("node", "ord", "text", "marks").mapInArrow(level_two, _ENTRY).repartition(tasks, "part")
-                .mapInArrow(_settle(False), _MARK).groupBy("node").agg(F.collect_list("pos").alias("marks")))
+    repeated = _marked(lead.select("node", "ord", "text", "marks").mapInArrow(level_two, _ENTRY), tasks, False)
     marked = store(leaders.select("node", F.col("ord").alias("first_ord")).join(repeated, "node", "left"))
 
     def cut(batches):
