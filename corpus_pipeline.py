@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The profiles are learned from this stage's documents. A row without an id
     stays if its text has a letter.
     """
-    accepted = langid.identify_rows(docs).where("accepted")
+    accepted = langid.identify_rows(docs).where("_accepted")
     return accepted.select(*docs.columns)
 
 
@@ -41,10 +41,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that loses all its words stays with an empty text. n_chars follows the text.
     """
     cut = substrings.remove_repeated_windows(docs).where("n_removed > 0 and doc_id is not null")
-    cut = store(cut.select("doc_id", "kept").dropDuplicates(["doc_id"]))
-    text = F.coalesce("kept", "text")
+    cut = store(cut.select("doc_id", F.col("kept").alias("_kept")).dropDuplicates(["doc_id"]))
+    text = F.coalesce("_kept", "text")
     return docs.join(cut, "doc_id", "left").withColumns(
-        {"n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")),
+        {"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long")),
          "text": text}).select(*docs.columns)
 
 

@@ -256,7 +256,8 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), pa.array(np.diff(words.first) + 1, pa.int64()),
                      pa.array(np.bincount(own, weights=known, minlength=hi - lo).astype(np.int64)),
-                     pa.array(np.bincount(own, weights=mass, minlength=hi - lo)), pa.array(path - norm),
+                     pa.array(np.bincount(own, weights=mass, minlength=hi - lo), pa.float64()),
+                     pa.array(path - norm, pa.float64()),
                      pa.ListArray.from_arrays(offsets, pa.array(rare[by][begin].view(np.int64))),
                      pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))],
                     ["doc_id", "n_tokens", "head_known", "mass", "model", "rare", "times"])

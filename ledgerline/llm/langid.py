@@ -151,13 +151,14 @@ class Model:
                 np.where(size > 0, np.clip(close, 0, 1), 0.0))
 
 
-def _predicted(docs: DataFrame, learn: DataFrame, columns: list[str]) -> DataFrame:
+def _predicted(docs: DataFrame, learn: DataFrame, columns: list[str], name: str = "lang_pred",
+               closeness: str = "score") -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     # The model has PROFILE rows per distinct language value.
     model = spark.sparkContext.broadcast(Model(learn_profiles(learn).collect()))
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(name, T.StringType()),
+                           T.StructField(closeness, T.DoubleType())])
 
     def predict(batches):
         for batch in batches:
@@ -187,7 +188,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
 
 
 def identify_rows(docs: DataFrame, **options) -> DataFrame:
-    """All columns of ``docs`` with lang_pred, score and accepted (a language, and at least FLOOR close to it)."""
+    """All columns of ``docs`` with _lang_pred, _score and _accepted (a language, and at least FLOOR close to it)."""
     learn = docs.where(fold(F.col("doc_id"), options.get("folds", 4)) != options.get("held", 2))
-    return _predicted(docs, learn, docs.columns).withColumn(
-        "accepted", (F.col("lang_pred") != "und") & (F.col("score") >= FLOOR))
+    return _predicted(docs, learn, docs.columns, "_lang_pred", "_score").withColumn(
+        "_accepted", (F.col("_lang_pred") != "und") & (F.col("_score") >= FLOOR))

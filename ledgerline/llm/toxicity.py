@@ -69,11 +69,10 @@ def folded(texts: pa.Array) -> list[str]:
         line = table[code]
         swap = other[code]
         if swap.any():
-            letter = (line != 32) & (line != 0) & (swap == 0)
-            token = (line != 32) | (swap > 0)
+            letter = (swap == 0) & ((line >= 97) & (line <= 122) | (line > 127))
             near = np.zeros(len(code), dtype=bool)
-            near[:-1] |= letter[1:]
-            near[1:] |= letter[:-1] & np.append(token[2:], False)[:len(code) - 1] | (letter[:-1] & (line[1:] != 32))
+            near[:-1] = letter[1:]                                  # before a letter
+            near[1:-1] |= letter[:-2] & (line[2:] != 32)            # or between a letter and a letter or digit
             line = np.where((swap > 0) & near, swap, line)
         line = line[line != 0]
         out.append(" " + " ".join(line.tobytes().decode("utf-32-le").split()) + " ")
