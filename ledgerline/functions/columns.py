@@ -5,6 +5,8 @@ These read ``df.schema`` only, so they cost nothing on the cluster.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,12 +48,8 @@ def is_temporal(dt: T.DataType) -> bool:
 
 def find_column(columns: list[str], keywords: list[str], default: str | None = None) -> str | None:
     """First column, in schema order, containing any keyword (case-insensitive)."""
-    for col in columns:
-        low = col.lower()
-        for kw in keywords:
-            if kw.lower() in low:
-                return col
-    return default
+    named = re.compile("|".join(map(re.escape, keywords)), re.IGNORECASE)
+    return next(filter(named.search, columns), default) if keywords else default
 
 
 def resolve_name(columns: list[str], wanted: str | None) -> str | None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.session import cut_lineage
+
 
 def consecutive_index(df: DataFrame, order_col: str, out: str = "_idx") -> DataFrame:
     """0-based position in ``order_col`` order without funnelling rows to one task.
@@ -12,9 +14,10 @@ def consecutive_index(df: DataFrame, order_col: str, out: str = "_idx") -> DataF
     Range-partitions by the order, counts rows per partition, turns the
     (small) per-partition counts into offsets, and adds each row's local rank.
     """
-    # The id tie-breaker spreads a heavily repeated order value over partitions.
-    ranged = (df.withColumn("_tb", F.monotonically_increasing_id())
-              .repartitionByRange(order_col, "_tb").withColumn("_pid", F.spark_partition_id()))
+    # The hash tie-breaker spreads a heavily repeated order value over partitions; equal rows tie for good.
+    # The ranges are checkpointed once, so that offsets and local ranks come from the same evaluation.
+    ranged = cut_lineage(df.withColumn("_tb", F.xxhash64(*df.columns))
+                         .repartitionByRange(order_col, "_tb").withColumn("_pid", F.spark_partition_id()))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1))).alias("_off"))

@@ -171,6 +171,9 @@ def train(df: DataFrame, target: str, problem: str | None = None, models: list[s
         stages.append(StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc"))
     split = split_column(data, key, seed)
     train_part = split.where("_is_train")
+    if problem == "classification":
+        # The label list is that of all rows: a class that only the holdout has is scored (wrong), not thrown.
+        stages[-1] = stages[-1].fit(split)
     prep = Pipeline(stages=stages).fit(train_part)
     if problem == "classification":
         labels = list(prep.stages[-1].labels)

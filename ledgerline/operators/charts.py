@@ -47,17 +47,24 @@ def chart(df: DataFrame, x: str, y: str, agg: str = "SUM", limit: int = 50) -> D
     return g.orderBy(x).limit(limit).select(F.col(x).cast("string").alias("label"), "value")
 
 
-def pivot_values(df: DataFrame, by: str, max_values: int = 1000) -> list:
-    """Distinct series names for a pivot, refusing unbounded fan-out."""
-    vals = [r[0] for r in df.where(F.col(by).isNotNull()).select(by).distinct().limit(max_values + 1).collect()]
-    if len(vals) > max_values:
-        raise ValueError(f"{by!r} has more than {max_values} distinct values; too many series to pivot")
-    return sorted(vals)
+def chart_series(df: DataFrame, x: str, by: str, y: str, agg: str = "SUM") -> DataFrame:
+    """Two-key aggregate in long form (label, series, value; 2 dp), for any number of series; holes have no row."""
+    return (df.where(F.col(x).isNotNull() & F.col(by).isNotNull()).groupBy(x, by)
+            .agg(F.round(F.coalesce(_agg_expr(agg, _num(y)), F.lit(0.0)), 2).alias("value"))
+            .select(F.col(x).cast("string").alias("label"), F.col(by).cast("string").alias("series"), "value"))
 
 
-def chart_pivot(df: DataFrame, x: str, by: str, y: str, agg: str = "SUM", max_values: int = 1000) -> DataFrame:
-    """Two-key aggregate, one column per ``by`` value; holes are 0 (2 dp)."""
-    vals = pivot_values(df, by, max_values)
+def pivot_values(df: DataFrame, by: str) -> list:
+    """Distinct series names, sorted: the columns of the wide form."""
+    return sorted(r[0] for r in df.where(F.col(by).isNotNull()).select(by).distinct().collect())
+
+
+def chart_pivot(df: DataFrame, x: str, by: str, y: str, agg: str = "SUM") -> DataFrame:
+    """Two-key aggregate, one column per ``by`` value; holes are 0 (2 dp).
+
+    The wide form is for series that fit in a schema; ``chart_series`` has no such bound.
+    """
+    vals = pivot_values(df, by)
     g = (df.where(F.col(x).isNotNull() & F.col(by).isNotNull())
          .groupBy(x).pivot(by, vals).agg(_agg_expr(agg, _num(y))))
     names = [str(v) for v in vals]

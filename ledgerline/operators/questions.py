@@ -50,27 +50,19 @@ def month_over_month(df: DataFrame, metric: str, date: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- BQ1
-# Segment tables up to this many rows are ranked by one plain window.
-RANK_IN_ONE_TASK = 100_000
-
-
 def top_segments(df: DataFrame, metric: str, by: str) -> DataFrame:
     """Totals per segment with share of the grand total, ranked (BQ1 chart).
 
     The per-segment totals are computed once and checkpointed; the grand
-    total is one collected number. Ranks use a plain window when the number
-    of segments is proven small (``RANK_IN_ONE_TASK``), otherwise a
-    distributed consecutive index over (total desc, segment).
+    total is one collected number. Ranks are a distributed consecutive index over
+    (total desc, segment), whatever the number of segments.
     """
     from ledgerline.session import cut_lineage
     g = cut_lineage(df.where(F.col(by).isNotNull()).groupBy(by)
                     .agg(F.coalesce(F.sum(_metric(df, metric)), F.lit(0.0)).alias("total")))
     grand = g.agg(F.sum("total").alias("t")).first()["t"] or 0.0
-    if g.limit(RANK_IN_ONE_TASK + 1).count() <= RANK_IN_ONE_TASK:
-        ranked = g.withColumn("_i", F.row_number().over(Window.orderBy(F.desc("total"), F.asc(by))) - 1)
-    else:
-        keyed = g.withColumn("_k", F.struct((-F.col("total")).alias("a"), F.col(by).alias("b")))
-        ranked = consecutive_index(keyed, "_k", "_i")
+    keyed = g.withColumn("_k", F.struct((-F.col("total")).alias("a"), F.col(by).alias("b")))
+    ranked = consecutive_index(keyed, "_k", "_i")
     share = (F.col("total") / F.lit(grand) * 100) if grand > 0 else F.lit(0.0)
     return ranked.select(
         F.col(by).cast("string").alias("segment"),

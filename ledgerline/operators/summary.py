@@ -6,11 +6,12 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions import columns as C
 from ledgerline.functions.exprs import half_up, skewness_adjusted
 from ledgerline.functions.quantiles import column_quantiles, medians
-from ledgerline.operators.profile import value_counts_long
+from ledgerline.operators.profile import _is_missing, value_counts_long
 
 
 def _clean_num(c: str):
@@ -141,7 +142,7 @@ def correlation_pairwise(df: DataFrame) -> DataFrame:
 def missing_map(df: DataFrame, key: str, max_rows: int = 500) -> DataFrame:
     """For the first ``max_rows`` rows in key order: row position and null column indices."""
     cols = df.columns
-    flags = F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(cols)])
+    flags = F.array(*[F.when(_is_missing(df, c), F.lit(i)) for i, c in enumerate(cols)])
     head = df.orderBy(key).limit(max_rows)  # top-k: bounded per partition
     w = Window.orderBy(key)
     return (head.select(F.col(key), F.filter(flags, lambda x: x.isNotNull()).alias("_cols"))
@@ -169,6 +170,8 @@ def histogram_plan(df: DataFrame, column: str, bins="auto", exact: bool = True)
         sqrt_w = ptp / math.sqrt(n)
         # NumPy 'auto': Sturges vs. Freedman–Diaconis floored at half the sqrt rule.
         width = min(max(fd, sqrt_w / 2), sturges)
+        if width < 1 and isinstance(df.schema[column].dataType, T.IntegralType):
+            width = 1.0 if width else width  # whole numbers get bins of at least one
         nbins = int(math.ceil((last - first) / width)) if width else 1
     else:
         nbins = int(bins)

@@ -52,8 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or _LOCAL_FALLBACK_DIR
+    target = spark.conf.get("spark.checkpoint.dir", None)
+    if not target:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        target = _LOCAL_FALLBACK_DIR
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
 
