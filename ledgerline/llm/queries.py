@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import brown, dartminhash, decontaminate, html, langid, packing, quality, substrings, topk, toxicity
+from ledgerline.llm import brown, dartminhash, decontaminate, html, langid, packing, quality, sql, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +66,5 @@ def op10_lm_scoring(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_top_k, op3_toxicity, op4_quality, op5_language_id, op6_decontamination, op7_html,
     op8_packing, op9_substring_dedup, op10_lm_scoring)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_top_k": sql.TOP_K, "op6_decontamination": sql.DECONTAMINATION,
+                           "op9_substring_dedup": sql.SUBSTRING_DEDUP}

@@ -351,3 +351,15 @@ def test_pipeline_edges(edges, spark):
         empty = stage(spark, edges.limit(0), SF)
         assert empty.columns == edges.columns and empty.count() == 0
     assert frame.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_gives_the_same_rows(spark, name):
+    import duckdb
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    run = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in run.description]
+    want = sorted(run.fetchall())
+    assert sorted(rows(queries.QUERIES[name](spark, SF), *columns)) == want and want
