@@ -34,10 +34,9 @@ def next_version(existing: DataFrame | None, keys: dict) -> int:
 def write_version(df: DataFrame, root: str, dataset: str) -> int:
     """Append ``df`` as the next version of ``dataset`` under a partitioned Parquet root."""
     spark = df.sparkSession
-    try:
-        existing = spark.read.parquet(root).select("dataset", "version")
-    except Exception:  # noqa: BLE001 - first write: the folder does not exist yet
-        existing = None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    written = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    existing = spark.read.parquet(root).select("dataset", "version") if written else None
     version = next_version(existing, {"dataset": dataset})
     (df.withColumn("dataset", F.lit(dataset)).withColumn("version", F.lit(version))
      .write.mode("append").partitionBy("dataset", "version").parquet(root))

@@ -32,9 +32,9 @@ def _head_bytes(paths: pd.Series, n: int = 8) -> pd.Series:
             filesystem, rel = pafs.FileSystem.from_uri(p)
             with filesystem.open_input_stream(rel) as f:
                 out.append(f.read(n))
-        except Exception:  # noqa: BLE001 - unreadable file: no bytes
-            out.append(b"")
-    return pd.Series(out)
+        except OSError:
+            out.append(None)
+    return pd.Series(out, dtype=object)
 
 
 def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,6 +45,8 @@ def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for e, h in zip(ext, heads):
             if e not in ALLOWED_EXTENSIONS:
                 verdict.append("invalid_type")
+            elif h is None:
+                verdict.append("unreadable")
             elif e == ".csv":
                 try:
                     h.decode("utf-8")
@@ -56,7 +58,7 @@ def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 verdict.append("ok" if h.startswith(OLE_SIGNATURE) else "ole_signature_mismatch")
         yield pd.DataFrame({"path": pdf["path"], "extension": ext, "size": pdf["length"],
-                            "head_hex": [h.hex() for h in heads], "verdict": verdict})
+                            "head_hex": [None if h is None else h.hex() for h in heads], "verdict": verdict})
 
 
 def check_files(spark: SparkSession, pattern: str) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 
 from ledgerline.functions.ordering import consecutive_index
 from ledgerline.operators import charts, forecast, summary
 from ledgerline.operators.alerts import retrain_targets
+from ledgerline.operators.catalog import read_version, write_version
+from ledgerline.sources.files import _verdicts
 
 
 def _series(spark):
@@ -58,3 +61,14 @@ def test_retrain_reason_is_the_first_rule(spark):
     models = spark.createDataFrame([(3, 1, 7, "t")], "model_id int, project_id int, dataset_id int, target_column string")
     projects = spark.createDataFrame([(1, None)], "project_id int, auto_retrain_enabled boolean")
     assert [r.reason for r in retrain_targets(quality, monitoring, models, projects).collect()] == ["critical_quality"]
+
+
+def test_unreadable_files_are_not_ok(tmp_path):
+    gone = pd.DataFrame({"path": [f"file://{tmp_path}/gone.csv", f"file://{tmp_path}/gone.txt"], "length": [3, 3]})
+    assert next(_verdicts(iter([gone])))["verdict"].tolist() == ["unreadable", "invalid_type"]
+
+
+def test_versions_count_up_and_other_errors_surface(spark, tmp_path):
+    df, root = spark.range(2), str(tmp_path / "versions")
+    assert [write_version(df, root, "a"), write_version(df, root, "a"), write_version(df, root, "b")] == [1, 2, 1]
+    assert read_version(spark, root, "a").count() == 2
