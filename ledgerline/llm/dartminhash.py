@@ -15,10 +15,12 @@ Equal texts are merged first. Bands of ``rows`` coordinates are the bucket keys.
 In a bucket, documents are compared exactly (whole shingle multisets) with
 pivots: first all with the smallest, then, where a bucket still holds several
 classes, with ``PIVOTS`` more pivots a round (linked documents first), until a
-round finds less than ``MIN_YIELD`` links per comparison. Small buckets are so
-compared in full; in a large one a document whose few partners were never its
-pivots can stay alone. No bucket is held in one task and the comparisons stay
-linear in its size.
+round finds less than ``MIN_YIELD`` links per comparison. What is then left,
+the documents of buckets that were not compared in full and still hold several
+classes, goes through an exact similarity join: two similar sets share one of
+their first strips in any common order, so with rare strips first few pairs
+have to be compared, and every link between two classes is found. No bucket is
+held in one task and no bucket's pairs are all written out.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from ledgerline.llm.common import bound_batches, connected_components, lower, sh
 PIVOTS = 2
 #: Rounds go on while more than this share of the comparisons finds a link.
 MIN_YIELD = 0.001
+#: Cells of the strip frequency table: its size, and the broadcast's, is this many bytes whatever the input.
+CELLS = 1 << 22
 _STRIP = np.uint64(0xD1B54A32D192ED03)
 _GAP = np.uint64(0x8CB92BA72F3D8DD7)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -144,6 +148,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(similar("sa", "sb")).drop("sa", "sb")
 
 
+def _frequency_ranks(sets: DataFrame) -> np.ndarray:
+    """Logarithmic rank of how many sets hold the strips of each cell; 0: one set at most."""
+    def count(batches):
+        total = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            strips = np.frombuffer(b"".join(batch.column("strips").to_pylist()), np.uint32)
+            total += np.bincount(strips % CELLS, minlength=CELLS)
+        cells = np.flatnonzero(total)
+        for at in range(0, len(cells), 1 << 18):
+            some = cells[at:at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["cell", "n"])
+
+    counts = (sets.select("strips").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+              .select("cell", F.least(F.floor(F.log2("n") * 8), F.lit(255)).cast("int").alias("rank"))).toArrow()
+    ranks = np.zeros(CELLS, dtype=np.uint8)
+    ranks[counts["cell"].to_numpy()] = counts["rank"].to_numpy()
+    return ranks
+
+
+def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, la, lb): every pair of sets (node, label, strips) of different labels that can be similar.
+
+    Strips are ordered by frequency. Of n strips the first
+    n - ceil(threshold * n) + 1 are kept, and fewer for the smaller set of a
+    pair; similar sets share one of them, at places that leave enough strips
+    behind. Strips of one set or of one label meet nobody. Sets of a strip's
+    commonest label do not meet each other.
+    """
+    share = threshold / (1 + threshold)
+    held = sets.sparkSession.sparkContext.broadcast(_frequency_ranks(sets))
+
+    def prefixes(batches):
+        for batch in batches:
+            strips = [np.frombuffer(x, np.uint32) for x in batch.column("strips").to_pylist()]
+            if not strips:
+                continue
+            n = np.array([len(x) for x in strips])
+            doc = np.repeat(np.arange(len(n)), n)
+            value = np.concatenate(strips)
+            key = ((doc.astype(np.uint64) << np.uint64(40)) | value
+                   | (held.value[value % CELLS].astype(np.uint64) << np.uint64(32)))
+            key.sort()
+            place = np.arange(len(key)) - (np.cumsum(n) - n)[doc]
+            longest = n - np.ceil(threshold * n - 1e-6).astype(np.int64) + 1
+            smaller = n - np.ceil(2 * share * n - 1e-6).astype(np.int64) + 1
+            keep = (place < longest[doc]) & ((key >> np.uint64(32)) & np.uint64(255) > 0)
+            doc, place = doc[keep], place[keep]
+            owner = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((key[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)), batch.column("node").take(owner),
+                 batch.column("label").take(owner), pa.array(place, pa.int32()), pa.array(n[doc], pa.int32()),
+                 pa.array(place < smaller[doc])], ["strip", "node", "label", "place", "n", "first"])
+
+    rows = store(sets.mapInArrow(prefixes, "strip long, node binary, label binary, place int, n int, first boolean"))
+    commonest = (rows.groupBy("strip", "label").agg(F.count("*").alias("c"))
+                 .groupBy("strip").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("c"))
+                 .where("c > 1").drop("c"))
+    rows = store(rows.join(commonest, "strip").withColumn("rare", F.col("label") != F.col("main")).drop("main"))
+    one = rows.where("first").select("strip", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "place", "n", "rare")))
+    two = rows.select("strip", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "place", "n", "rare")))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.join(y, "strip").where(
+            f"label_a <> label_b and (n_a < n_b or (n_a = n_b and node_a < node_b)) and n_a >= {threshold} * n_b - 1e-6 "
+            f"and least(n_a - place_a, n_b - place_b) >= {share} * (n_a + n_b) - 1e-6")
+
+    return (meet(one, two.where("rare_b")).unionByName(meet(one.where("rare_a"), two.where("not rare_b")))
+            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("label_a").alias("la"),
+                    F.col("label_b").alias("lb")).dropDuplicates(["a", "b"]))
+
+
+def _merged(labels: DataFrame, merges: DataFrame) -> DataFrame:
+    """labels after the classes of each row (a, b) of merges have become one."""
+    onto = connected_components(merges)
+    known = labels.unionByName(onto.select("node", F.col("node").alias("label"))
+                               .join(labels.select("node"), "node", "left_anti"))
+    return store(known.join(onto.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+                 .select("node", F.coalesce("to", "label").alias("label")))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
                            threshold: float = 0.8, bands: int = 20, rows: int = 5) -> DataFrame:
     """(doc_id, class_id, is_kept), one row per input row.
@@ -217,14 +301,19 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         links, tried = merges.count(), pairs.count()
         used += PIVOTS
         if links:
-            onto = connected_components(merges)
-            known = labels.unionByName(onto.select("node", F.col("node").alias("label"))
-                                       .join(labels.select("node"), "node", "left_anti"))
-            labels = store(known.join(onto.select(F.col("node").alias("label"), F.col("label").alias("to")), "label",
-                                      "left").select("node", F.coalesce("to", "label").alias("label")))
+            labels = _merged(labels, merges)
         if links <= MIN_YIELD * tried:
             break
 
+    now = members.where(F.col("n") > used).join(labels, "node", "left").select(
+        "key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    rest = store(now.join(mixed.select("key"), "key", "left_semi").select("node", "label").distinct())
+    pairs = store(_candidates(store(rest.join(sets, "node")), threshold))
+    merges = store(_verified(pairs, sets, threshold).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    if not merges.isEmpty():
+        labels = _merged(labels, merges)
+
     classed = store(nodes.select("node", "first_id").join(labels, "node", "left")
                           .select("node", "first_id", F.coalesce("label", "node").alias("label")))
     smallest = store(classed.groupBy("label").agg(F.min("first_id").alias("class_id")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -53,6 +54,28 @@ def test_near_duplicates_match_all_pairs(docs):
     assert got == brute.near_classes(rows(docs, "doc_id", "text"))
 
 
+def test_near_duplicates_lose_no_link_of_a_large_bucket(spark, monkeypatch):
+    """300 variants of one text, most of them below 0.8 to each other, and 20 far pairs that only match each other."""
+    draw, base, table = random.Random(1), [f"w{i}" for i in range(300)], []
+    for d in range(300):
+        words = list(base)
+        for _ in range(draw.choice(range(2, 14))):
+            words[draw.randrange(300)] = draw.choice([f"u{d}_{draw.random()}", f"v{draw.randrange(40)}"])
+        table.append((d, " ".join(words)))
+    for k in range(20):
+        words = list(base)
+        for _ in range(11):
+            words[draw.randrange(300)] = f"p{k}_{draw.random()}"
+        table.append((1000 + 2 * k, " ".join(words)))
+        words[draw.randrange(300)] = "q"
+        table.append((1001 + 2 * k, " ".join(words)))
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    want = brute.near_classes(table)
+    assert dict(rows(dartminhash.near_duplicate_classes(frame), "doc_id", "class_id")) == want
+    monkeypatch.setattr(dartminhash, "MIN_YIELD", 2.0)   # a single round of pivots: the join finds the others
+    assert dict(rows(dartminhash.near_duplicate_classes(frame), "doc_id", "class_id")) == want
+
+
 def test_near_duplicates_edges(edges, spark):
     got = rows(dartminhash.near_duplicate_classes(edges), "doc_id", "class_id", "is_kept")
     assert len(got) == len(EDGES)
