@@ -102,17 +102,19 @@ def lenient_double(col: str):
     return F.expr(f"try_cast(`{col}` AS DOUBLE)")
 
 
+def constant_as(value, dt: T.DataType):
+    """``value`` as a constant of type ``dt``; null where the type cannot hold it."""
+    return F.expr(f"try_cast({_sql_literal(value)} AS {dt.simpleString()})")
+
+
 def overlay_constants(df: DataFrame, changes: dict) -> DataFrame:
-    """Set columns to constants cast to the column's type (what-if overlay)."""
+    """Set columns to constants of the column's type (what-if overlay); a value it cannot hold gives null."""
     types = {f.name: f.dataType for f in df.schema.fields}
     out = df
     for name, value in changes.items():
         if name not in types:
             continue
-        lit = F.lit(value)
-        try_expr = F.expr(f"try_cast({_sql_literal(value)} AS {types[name].simpleString()})")
-        out = out.withColumn(name, F.coalesce(try_expr, lit.cast(T.StringType()).cast(types[name]))
-                             if not isinstance(types[name], T.StringType) else lit.cast(T.StringType()))
+        out = out.withColumn(name, constant_as(value, types[name]))
     return out
 
 
@@ -123,4 +125,4 @@ def _sql_literal(value) -> str:
         return "TRUE" if value else "FALSE"
     if isinstance(value, (int, float)):
         return repr(value)
-    return "'" + str(value).replace("'", "''") + "'"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -11,8 +11,9 @@ at once, with a fixed small number of distributed passes:
    bracket (plain conditional counts, whole-stage codegen) and checks that
    the wanted rank really falls inside (otherwise the bracket widens to the
    full range);
-3. brackets holding few values are fetched (bounded: targets × limit) and
-   ranked exactly; larger ones (very large tables) are narrowed by
+3. brackets holding few rows are ranked in the cluster, over their value
+   counts in one window group per target (bounded rows), and only the wanted
+   values come back; larger ones (very large tables) are narrowed by
    histogram passes — each one aggregation of ``buckets × targets`` counts,
    map-side combined — until they are small.
 
@@ -23,14 +24,14 @@ pandas, NumPy and DuckDB ``quantile_cont``.
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _ACCURACY = 10000
 _BUCKETS = 2048
-_FETCH_LIMIT = 50000
-_MAX_PASSES = 12
+_FETCH_LIMIT = 50000  # rows of a bracket that one window group may rank
 
 
 def _clean(col: str):
@@ -97,22 +98,21 @@ def order_statistics(df: DataFrame, wants: dict[str, list[int]], stats: dict[str
         else:  # the sketch missed: fall back to the whole range
             t["lo"], t["hi"], t["below"], t["inside"] = stats[t["col"]]["lo"], stats[t["col"]]["hi"], 0, \
                 stats[t["col"]]["n"]
-    # 3. Fetch small brackets, narrow large ones.
+    # 3. Rank small brackets, narrow large ones (a pass puts a bracket's ends in different
+    # buckets, so every bracket shrinks until it is small or a single value).
     pending = targets
-    for _ in range(_MAX_PASSES):
+    while True:
         small = [t for t in pending if t["inside"] <= _FETCH_LIMIT or t["lo"] == t["hi"]]
         if small:
-            _fetch(data, vname, small, out)
+            _pick_ranks(data, vname, small, out)
         pending = [t for t in pending if t not in small]
         if not pending:
             return out
         _narrow(data, vname, pending)
-    _fetch(data, vname, pending, out)  # pragma: no cover - degenerate floating brackets
-    return out
 
 
-def _fetch(data: DataFrame, vname: dict, items: list[dict], out: dict) -> None:
-    """Bring back the (bounded) in-bracket values and pick each wanted rank."""
+def _pick_ranks(data: DataFrame, vname: dict, items: list[dict], out: dict) -> None:
+    """Rank the in-bracket values by running counts; one value per target comes back."""
     settled = [t for t in items if t["lo"] == t["hi"]]
     for t in settled:
         out[t["col"]][t["rank"]] = float(t["lo"])
@@ -126,14 +126,26 @@ def _fetch(data: DataFrame, vname: dict, items: list[dict], out: dict) -> None:
         any_in = any_in | cond
         picks.append(F.when(cond, F.struct(F.lit(i).alias("t"), v.alias("v"))))
     # The row filter runs first (codegen), so only in-bracket rows build the target array.
-    rows = (data.where(any_in).select(F.explode(F.filter(F.array(*picks), lambda s: s.isNotNull())).alias("k"))
-            .select("k.t", "k.v").collect())
-    per: dict[int, list[float]] = {}
-    for r in rows:
-        per.setdefault(r["t"], []).append(r["v"])
-    for i, t in enumerate(items):
-        vals = sorted(per.get(i, []))
-        out[t["col"]][t["rank"]] = float(vals[t["rank"] - t["below"]])
+    counts = (data.where(any_in).select(F.explode(F.filter(F.array(*picks), lambda s: s.isNotNull())).alias("k"))
+              .groupBy("k.t", "k.v").agg(F.count(F.lit(1)).alias("c")))
+    up_to = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = F.element_at(F.array(*[F.lit(t["rank"] - t["below"]) for t in items]), F.col("t") + 1)
+    hit = counts.withColumn("hi", F.sum("c").over(up_to)).where(
+        (wanted < F.col("hi")) & (wanted >= F.col("hi") - F.col("c")))
+    for r in hit.select("t", "v").collect():
+        out[items[r["t"]]["col"]][items[r["t"]]["rank"]] = float(r["v"])
+
+
+def _bucket(v, lo: float, hi: float):
+    """Bucket of ``v`` in [lo, hi], safe for infinite ends and for widths past the double range."""
+    a, b = max(lo, -sys.float_info.max), min(hi, sys.float_info.max)
+    if not a < b:  # an infinite end beside the largest finite value
+        return F.when(v == F.lit(lo), 0).otherwise(1)
+    scale = 1.0 if math.isfinite(b - a) else 0.5
+    share = (F.least(F.greatest(v, F.lit(a)), F.lit(b)) * scale - F.lit(a * scale)) / F.lit(b * scale - a * scale)
+    # The ends have buckets of their own, so the bracket always shrinks.
+    inner = F.least(F.floor(share * F.lit(_BUCKETS)), F.lit(_BUCKETS - 1)).cast("int") + 1
+    return F.when(v == F.lit(lo), 0).when(v == F.lit(hi), _BUCKETS + 1).otherwise(inner)
 
 
 def _narrow(data: DataFrame, vname: dict, items: list[dict]) -> None:
@@ -144,7 +156,7 @@ def _narrow(data: DataFrame, vname: dict, items: list[dict]) -> None:
         lo, hi = t["lo"], t["hi"]
         inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
         any_in = any_in | inside
-        idx = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(_BUCKETS)), F.lit(_BUCKETS - 1)).cast("int")
+        idx = _bucket(v, lo, hi)
         exprs.append(F.when(inside, F.struct(F.lit(i).alias("t"), idx.alias("b"), v.alias("v"))))
     hist = (data.where(any_in).select(F.explode(F.filter(F.array(*exprs), lambda s: s.isNotNull())).alias("k"))
             .groupBy(F.col("k.t").alias("t"), F.col("k.b").alias("b"))

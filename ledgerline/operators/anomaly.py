@@ -1,10 +1,10 @@
 """Anomaly scoring: isolation forest, PCA reconstruction error, ensemble (AN1, AN2, AN4, AN5, DQ6).
 
 Isolation forest on Spark:
-  1. A Bernoulli sample sized for ``trees × 256`` rows (bounded, independent
-     of table size) is tagged with a random tree id; each tree keeps 256
-     rows. Trees are grown per tree id with ``applyInPandas`` (numpy), so
-     tree building runs in parallel on executors.
+  1. Every row joins a random number of distinct trees, so that a tree draws
+     about 512 rows (all rows of a smaller table) and keeps 256 of them: one
+     rule at every table size, with a bounded sample. Trees are grown per
+     tree id with ``applyInPandas`` (numpy), in parallel on executors.
   2. The flat trees (``trees × ≤ 511`` nodes: a fixed bound) are collected
      and broadcast; every partition is scored by a pandas UDF that walks all
      trees with vectorised numpy.
@@ -96,16 +96,14 @@ def fit_isolation_forest(df: DataFrame, features: list[str], trees: int = 100, s
     n = df.count()
     psi = min(sample_size, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    want = trees * psi * 2
-    frac = min(1.0, want / max(n, 1))
-    sampled = df.select(*features).sample(fraction=frac, seed=seed) if frac < 1.0 else df.select(*features)
-    # Each sampled row joins one tree; rows beyond psi per tree are dropped by rank.
-    tagged = sampled.withColumn("_tree", F.floor(F.rand(seed + 1) * trees).cast("int")) \
-                    .withColumn("_u", F.rand(seed + 2))
-    if frac >= 1.0 and n < trees * psi:
-        # Small tables: every tree draws its own psi rows from all rows.
-        tagged = (df.select(*features).withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-                  .withColumn("_u", F.rand(seed + 3)))
+    # Trees a row joins: `joins` on average, its fraction settled by chance; rows beyond psi per tree go by rank.
+    joins = min(float(trees), 2.0 * psi * trees / max(n, 1))
+    whole = math.floor(joins)
+    drawn = (df.select(*features, (F.lit(whole) + (F.rand(seed) < joins - whole).cast("int")).alias("_k"))
+             .where("_k > 0"))
+    mixed = F.shuffle(F.sequence(F.lit(0), F.lit(trees - 1)), seed + 1)
+    tagged = (drawn.withColumn("_tree", F.explode(F.slice(mixed, 1, F.col("_k")))).drop("_k")
+              .withColumn("_u", F.rand(seed + 2)))
     w = Window.partitionBy("_tree").orderBy("_u")
     per_tree = tagged.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u")
     d = len(features)

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
     RandomForestClassifier)
 from pyspark.ml.evaluation import (
     BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator)
@@ -39,10 +39,10 @@ def _estimator(name: str, problem: str, n_features: int, n_classes: int, seed: i
     if name == "Decision Tree":
         return (DecisionTreeClassifier if cls else DecisionTreeRegressor)(seed=seed)
     if name == "Gradient Boosting":
-        if cls and n_classes > 2:
-            raise ValueError("gradient-boosted trees support two classes only")
         # Spark's default boosting schedule: 20 rounds of depth-5 trees.
-        return (GBTClassifier if cls else GBTRegressor)(maxIter=20, maxDepth=5, seed=seed)
+        boosted = (GBTClassifier if cls else GBTRegressor)(maxIter=20, maxDepth=5, seed=seed)
+        # Spark's boosting knows two classes; more are fitted one against the rest.
+        return OneVsRest(classifier=boosted, parallelism=4) if cls and n_classes > 2 else boosted
     if name == "Logistic Regression":
         return LogisticRegression(maxIter=1000)
     if name == "Linear Regression":
@@ -153,7 +153,7 @@ def _importance(model, names: list[str]) -> list[tuple[str, float]]:
 
 LEADERBOARD_SCHEMA = ("rank int, model_name string, score double, accuracy double, precision double, recall double, "
                       "f1_score double, roc_auc double, r2_score double, mse double, mae double, cv_score double, "
-                      "confusion_matrix string, status string, tuned boolean")
+                      "confusion_matrix string, status string, tuned boolean, error string")
 
 
 def train(df: DataFrame, target: str, problem: str | None = None, models: list[str] | None = None,
@@ -226,7 +226,7 @@ def train(df: DataFrame, target: str, problem: str | None = None, models: list[s
     for i, (name, m, status) in enumerate(ranked):
         rows.append((i + 1, name, m.get("score"), m.get("accuracy"), m.get("precision"), m.get("recall"),
                      m.get("f1_score"), m.get("roc_auc"), m.get("r2_score"), m.get("mse"), m.get("mae"),
-                     m.get("cv_score"), m.get("confusion_matrix"), status, tuned and name == best_name))
+                     m.get("cv_score"), m.get("confusion_matrix"), status, tuned and name == best_name, m.get("error")))
     leaderboard = spark.createDataFrame(rows, LEADERBOARD_SCHEMA)
     feature_model = PipelineModel(stages=[s for s in prep.stages if not (
         problem == "classification" and s is prep.stages[-1])])
@@ -280,7 +280,7 @@ def what_if(result: TrainResult, df: DataFrame, changes: dict) -> DataFrame:
     both = df.withColumn("_scenario", F.explode(F.array(F.lit(0), F.lit(1))))
     for c, v in changes.items():
         if c in types:
-            both = both.withColumn(c, F.when(F.col("_scenario") == 1, F.lit(v).cast(types[c])).otherwise(F.col(c)))
+            both = both.withColumn(c, F.when(F.col("_scenario") == 1, C.constant_as(v, types[c])).otherwise(F.col(c)))
     scored = result.model.transform(both)
     if result.problem == "regression":
         g = scored.groupBy("_scenario").agg(F.avg("prediction").alias("avg"), F.stddev_pop("prediction").alias("sd"),

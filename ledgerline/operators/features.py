@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions import columns as C
+from ledgerline.functions.joins import fits
 
 # Label maps larger than this are joined with a shuffle instead of broadcast.
 BROADCAST_LABELS = 100_000
@@ -39,12 +40,11 @@ def encode_with_map(df: DataFrame, col: str, mapping: DataFrame, unseen: str = "
     """Replace ``col`` by its code; unseen labels → code 0 (``'zero'``) or the first class.
 
     Both fallbacks map to code 0 because codes follow sorted order, so the
-    first class is code 0. The label map is broadcast only when its size,
-    counted once, stays under ``BROADCAST_LABELS``.
+    first class is code 0. The label map is broadcast only when its rows
+    (``BROADCAST_LABELS``) and bytes, measured once, are few.
     """
-    n = mapping.count()
     m = mapping.withColumnRenamed("label", "_label").withColumnRenamed("code", "_code")
-    side = F.broadcast(m) if n <= BROADCAST_LABELS else m
+    side = F.broadcast(m) if fits(m, BROADCAST_LABELS) else m
     joined = df.join(side, df[col].cast("string") == side["_label"], "left")
     return joined.withColumn(col, F.coalesce(F.col("_code"), F.lit(0.0))).drop("_label", "_code")
 

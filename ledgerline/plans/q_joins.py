@@ -100,22 +100,21 @@ _SEARCH_PATTERN = "secret|password|token|api[_ ]?key|licen[cs]e"
 
 
 @register("SET1", sql=f"""
-SELECT 'documents' AS source, doc_id AS id, 'text' AS field FROM documents
+SELECT 'documents' AS source, doc_id AS id, CAST(NULL AS BIGINT) AS part, 'text' AS field FROM documents
   WHERE regexp_matches(text, '{_SEARCH_PATTERN}', 'i')
-UNION ALL SELECT 'documents', doc_id, 'source' FROM documents WHERE regexp_matches(source, '{_SEARCH_PATTERN}', 'i')
-UNION ALL SELECT 'conversations', conv_id * 1000 + turn, 'text' FROM conversations
+UNION ALL SELECT 'documents', doc_id, NULL, 'source' FROM documents WHERE regexp_matches(source, '{_SEARCH_PATTERN}', 'i')
+UNION ALL SELECT 'conversations', conv_id, CAST(turn AS BIGINT), 'text' FROM conversations
   WHERE regexp_matches(text, '{_SEARCH_PATTERN}', 'i')
-UNION ALL SELECT 'pages', page_id, 'url' FROM pages WHERE regexp_matches(url, '{_SEARCH_PATTERN}', 'i')
-UNION ALL SELECT 'pages', page_id, 'html' FROM pages WHERE regexp_matches(html, '{_SEARCH_PATTERN}', 'i')
-UNION ALL SELECT 'benchmark', item_id, 'text' FROM benchmark WHERE regexp_matches(text, '{_SEARCH_PATTERN}', 'i')
+UNION ALL SELECT 'pages', page_id, NULL, 'url' FROM pages WHERE regexp_matches(url, '{_SEARCH_PATTERN}', 'i')
+UNION ALL SELECT 'pages', page_id, NULL, 'html' FROM pages WHERE regexp_matches(html, '{_SEARCH_PATTERN}', 'i')
+UNION ALL SELECT 'benchmark', item_id, NULL, 'text' FROM benchmark WHERE regexp_matches(text, '{_SEARCH_PATTERN}', 'i')
 """)
 def set1(spark, sf):
-    conv = table(spark, sf, "conversations").withColumn("hit_id", F.col("conv_id") * 1000 + F.col("turn"))
     tables = {
-        "documents": (table(spark, sf, "documents"), "doc_id", ["text", "source"]),
-        "conversations": (conv, "hit_id", ["text"]),
-        "pages": (table(spark, sf, "pages"), "page_id", ["url", "html"]),
-        "benchmark": (table(spark, sf, "benchmark"), "item_id", ["text"]),
+        "documents": (table(spark, sf, "documents"), ["doc_id"], ["text", "source"]),
+        "conversations": (table(spark, sf, "conversations"), ["conv_id", "turn"], ["text"]),
+        "pages": (table(spark, sf, "pages"), ["page_id"], ["url", "html"]),
+        "benchmark": (table(spark, sf, "benchmark"), ["item_id"], ["text"]),
     }
     return search.search(tables, _SEARCH_PATTERN)
 
