@@ -7,6 +7,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.session import folder_exists
+
 LINEAGE_SCHEMA = "dataset_id string, operation string, details string, timestamp timestamp_ntz"
 
 
@@ -34,9 +36,7 @@ def next_version(existing: DataFrame | None, keys: dict) -> int:
 def write_version(df: DataFrame, root: str, dataset: str) -> int:
     """Append ``df`` as the next version of ``dataset`` under a partitioned Parquet root."""
     spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    written = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    existing = spark.read.parquet(root).select("dataset", "version") if written else None
+    existing = spark.read.parquet(root).select("dataset", "version") if folder_exists(spark, root) else None
     version = next_version(existing, {"dataset": dataset})
     (df.withColumn("dataset", F.lit(dataset)).withColumn("version", F.lit(version))
      .write.mode("append").partitionBy("dataset", "version").parquet(root))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.plans.registry import register
-from ledgerline.session import scratch_path
+from ledgerline.session import folder_exists, scratch_path
 from ledgerline.sources.tables import table
 from ledgerline.streaming import alerts_stream, rate_limit
 
@@ -56,10 +56,10 @@ def st2(spark, sf):
     metrics = alerts_stream.window_metrics(_event_stream(spark, sf), "ts", "event_type", "value", threshold=110.0)
     out, ckpt = scratch_path(spark, "st2-out"), scratch_path(spark, "st2-ckpt")
     alerts_stream.run_to_table(alerts_stream.stream_alerts(metrics), out, ckpt)
-    try:
+    if folder_exists(spark, out):
         return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no alert fired: empty result with the alert schema
-        return spark.createDataFrame([], "project_id string, window_start timestamp, window_end timestamp, "
+    # No batch came: an empty result with the alert schema.
+    return spark.createDataFrame([], "project_id string, window_start timestamp, window_end timestamp, "
                                          "event string, severity string, metric string, anomaly_count bigint, "
                                          "anomaly_percentage double, action_recommended string, is_read boolean, "
                                          "batch_id int")

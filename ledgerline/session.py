@@ -67,6 +67,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/ledgerline-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists in its own file system (any other failure to look is raised)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

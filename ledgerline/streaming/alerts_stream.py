@@ -41,18 +41,18 @@ def run_to_table(alerts: DataFrame, table_path: str, checkpoint: str) -> None:
     """Drain the available input once (availableNow) and append every batch to ``table_path``."""
     from pyspark.sql import Window
 
+    from ledgerline.session import folder_exists
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         key = ["project_id", "event", "metric"]
         first = Window.partitionBy(*key).orderBy("window_end")
         new = batch.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-        try:
-            unread = spark.read.parquet(table_path).where(~F.col("is_read")).select(*key)
-            new = new.join(unread, key, "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: the alert table does not exist yet
-            pass
-        (new.withColumn("is_read", F.lit(False)).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("append").parquet(table_path))
+        rows = new.withColumn("is_read", F.lit(False)).withColumn("batch_id", F.lit(batch_id))
+        if folder_exists(spark, table_path):  # not yet there at the first batch
+            stored = spark.read.schema(rows.schema).parquet(table_path)
+            rows = rows.join(stored.where(~F.col("is_read")).select(*key), key, "left_anti")
+        rows.write.mode("append").parquet(table_path)
 
     q = (alerts.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
          .foreachBatch(sink).trigger(availableNow=True).start())
