@@ -178,6 +178,13 @@ def test_packing_edges(edges):
     assert packing.pack(edges.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_finds_added_tokens(spark):
+    end = "<|endoftext|>"
+    table = [(1, f"hello {end} world"), (2, end), (3, f"{end}{end} a{end}b <|endoftext| > é{end}"), (4, f"x {end} " * 900)]
+    assert packing.token_ids(table[0][1], queries.tokenizer_path()).tolist() == [31373, 220, 50256, 995, packing.END]
+    _check_packing(packing.pack(spark.createDataFrame(table, "doc_id long, text string"), queries.tokenizer_path()), table)
+
+
 def test_best_two_fit_uses_every_item_once():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 101, 500).tolist()
