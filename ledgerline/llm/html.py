@@ -2,10 +2,11 @@
 
 Each page is read into containers (body, div, article, ...) without the parts
 that are never article text. A page's candidate is the deepest container that
-still holds most of the page's plain text; its path of tags and classes, digits
-taken out, is the page's vote. Spark counts the votes per host, and every page
-is extracted again from the containers on the winning path; a page that has
-none of its host's winning paths uses its own candidate.
+holds all of the page's plain text (text outside links); its path of tags and
+classes, digits taken out, is the page's vote. Spark counts the votes per host,
+and every page is extracted again from the containers on the first winning path
+that hold all of its plain text; a page without such a path uses its own
+candidate.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from ledgerline.llm.common import bound_batches, store
 
 #: A path wins on a host with at least this share of its votes.
 SHARE = 0.1
-#: A container stands for its parent if it holds at least this share of the parent's plain text.
-MOST = 0.6
 
 # HTML element groups and the class, id and role words of parts that are not article text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -129,14 +128,14 @@ class Page:
         return size
 
     def candidate(self) -> int:
-        """The deepest container that is reached by steps which each keep most of the plain text."""
+        """The deepest container that holds all of the plain text; only links may stand beside it."""
         size, children = self.plain(), {}
         for node in range(1, len(self.nodes)):
             children.setdefault(self.nodes[node][0], []).append(node)
         at = 0
         while at in children:
             best = max(children[at], key=lambda n: (size[n], -n))
-            if size[best] == 0 or size[best] < MOST * size[at]:
+            if size[best] == 0 or size[best] < size[at]:
                 break
             at = best
         return at
@@ -214,12 +213,15 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for html, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist()):
-                page, roots = Page(html), []
+                page = Page(html)
+                size = page.plain()
                 for path in paths or []:
                     roots = [i for i, n in enumerate(page.nodes) if n[1] == path and not n[2]]
-                    if roots:
+                    if roots and sum(size[i] for i in roots) == size[0]:
                         break
-                out.append(page.text(roots or [page.candidate()]))
+                else:
+                    roots = [page.candidate()]
+                out.append(page.text(roots))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 

@@ -334,6 +334,21 @@ def test_html_extraction(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_what_stands_beside_the_body(spark):
+    """Title, lead, body and closing section in containers of their own; one page of the host has no lead."""
+    body = "<div class='body'><p>" + "Body text. " * 30 + "</p></div>"
+    links = "<div class='more'><a href='/a'>Other</a></div>"
+    page = ("<body><div class='page'><article><h1>Title</h1><div class='lead'>Lead words.</div>" + body
+            + "<section class='end'>The end.</section></article></div>" + links)
+    bare = "<body><div class='page'><article>" + body + "</article></div>" + links
+    long = " ".join(["Body text."] * 30)
+    for pages in ([page] * 3, [page] + [bare] * 20):
+        table = [(i, "http://h.example/x", x) for i, x in enumerate(pages)]
+        got = dict(rows(html.extract(spark.createDataFrame(table, "page_id long, url string, html string")),
+                        "page_id", "text"))
+        assert got == {i: f"Title Lead words. {long} The end." if x == page else long for i, x in enumerate(pages)}
+
+
 def test_html_articles_of_the_pages(spark):
     import re
     from html import unescape
