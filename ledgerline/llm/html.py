@@ -29,6 +29,7 @@ SHARE = 0.1
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp svg math".split())
 CONTAINERS = set("body div article section main td".split())
+MARKS = set("article main h1".split())
 BLOCKS = CONTAINERS | set(
     "html head p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption blockquote pre address "
     "figure figcaption header footer nav aside form fieldset hr details summary center menu dialog hgroup".split())
@@ -43,6 +44,8 @@ JUNK = set(
     "recommended breadcrumb breadcrumbs comment comments commentlist respond reply replies discussion disqus form "
     "login search widget widgets pagination pager toolbar alert disclaimer contentinfo complementary".split())
 OWN = set("article post entry story content text title headline".split())
+# A class word that begins so tells the layout, not what the element is.
+FLAGS = set("has have no not with without".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -53,19 +56,33 @@ class Page:
     """Containers of a page and its text pieces.
 
     nodes: (parent container, path, dropped); pieces: (container, block, text, in link).
+    An element with a word of JUNK is dropped once the page is read, and only if it is not the article (``_keeps``).
     """
 
     def __init__(self, html: str):
         self.nodes = [(-1, "", False)]
         self.pieces: list[tuple[int, int, str, bool]] = []
-        stack = [("", 0, False)]               # (tag, container, dropped)
+        stack = [("", 0, False, 0, None)]      # (tag, container, dropped, suspect, range of pieces)
+        suspects, marks = [(0, [0, 0])], []    # (suspect around it, range), (tag, suspect, range); suspect 0 is none
+        held = [0]                             # suspect of each container
+        owner = []                             # suspect of each piece
         block, links, at = 0, 0, 0
         size = len(html)
         low = None
 
+        def add(piece: str) -> None:
+            self.pieces.append((stack[-1][1], block, piece, links > 0))
+            owner.append(stack[-1][3])
+
         def text(end: int) -> None:
             if end > at and not stack[-1][2]:
-                self.pieces.append((stack[-1][1], block, html[at:end], links > 0))
+                add(html[at:end])
+
+        def close(depth: int) -> None:
+            for entry in stack[depth:]:
+                if entry[4]:
+                    entry[4][1] = len(self.pieces)
+            del stack[depth:]
 
         for m in _TAG.finditer(html):
             if m.start() < at:
@@ -81,11 +98,11 @@ class Page:
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
                 if depth and not (tag not in BLOCKS and any(s[0] in CONTAINERS for s in stack[depth + 1:])):
                     links -= sum(s[0] == "a" for s in stack[depth:])
-                    del stack[depth:]
+                    close(depth)
                 continue
             if tag == "br":
                 if not stack[-1][2]:
-                    self.pieces.append((stack[-1][1], block, " ", links > 0))
+                    add(" ")
                 continue
             if tag in BLOCKS:
                 block += 1
@@ -93,7 +110,7 @@ class Page:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in shut:
                         links -= sum(s[0] == "a" for s in stack[i:])
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in CONTAINERS or stack[i][0] in ("ul", "ol", "table", "dl"):
                         break
@@ -106,16 +123,35 @@ class Page:
                 continue
             given = m.group(3) or m.group(6) or ""
             attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(given)} if given.strip() else {}
-            gone = stack[-1][2] or tag in DROPPED or tag not in ("html", "body") and _junk(attributes, given)
-            node = stack[-1][1]
+            own = tag not in ("html", "body")
+            gone = stack[-1][2] or tag in DROPPED or own and _hidden(attributes, given)
+            node, suspect, span = stack[-1][1], stack[-1][3], None
+            if not gone and own and (tag in MARKS or attributes):
+                junk = _junk(attributes)
+                if junk or tag in MARKS:
+                    span = [len(self.pieces), -1]
+                if junk:
+                    suspects.append((suspect, span))
+                    suspect = len(suspects) - 1
+                if tag in MARKS:
+                    marks.append((tag, suspect, span))
             if tag in CONTAINERS:
                 label = ".".join([tag, *sorted(re.sub(r"\d+", "", attributes.get("class", "")).split())])
                 self.nodes.append((node, f"{self.nodes[node][1]}/{label}", gone))
+                held.append(suspect)
                 node = len(self.nodes) - 1
             if tag == "a":
                 links += 1
-            stack.append((tag, node, gone))
+            stack.append((tag, node, gone, suspect, span))
         text(size)
+        close(1)
+        if len(suspects) > 1:
+            keeps = _keeps([0 if linked else len(piece.strip()) for _, _, piece, linked in self.pieces], suspects, marks)
+            lost = [False]
+            for number, (around, _) in enumerate(suspects[1:], 1):
+                lost.append(lost[around] or not keeps[number])
+            self.nodes = [(a, path, gone or lost[held[i]]) for i, (a, path, gone) in enumerate(self.nodes)]
+            self.pieces = [piece for piece, number in zip(self.pieces, owner) if not lost[number]]
 
     def plain(self) -> list[int]:
         """Characters of text outside links per container, those inside it included."""
@@ -156,20 +192,45 @@ class Page:
         return " ".join(x for x in (" ".join(unescape(b).split()) for b in out) if x)
 
 
-def _junk(attributes: dict[str, str], given: str) -> bool:
+def _hidden(attributes: dict[str, str], given: str) -> bool:
     if "hidden" in given.lower() and (re.search(r"(^|\s)hidden(\s|=|/|$)", given.lower())
                                       or attributes.get("aria-hidden", "").lower() == "true"):
         return True
-    if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
+    return bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I))
+
+
+def _junk(attributes: dict[str, str]) -> bool:
     for name in ("class", "id", "role"):
         for word in attributes.get(name, "").split():
-            parts = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", word).lower()))
-            if parts & JUNK and not (parts & OWN and parts & JUNK <= {"header", "text", "side"}):
+            parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", word).lower())
+            found = JUNK.intersection(parts)
+            if found and parts[0] not in FLAGS and not (OWN.intersection(parts) and found <= {"header", "text", "side"}):
                 return True
     return False
 
 
+def _keeps(sizes: list[int], suspects: list, marks: list) -> list[bool]:
+    """Whether each suspect is the article and not junk.
+
+    It is if it holds the page's article, main or first-rank heading (of several, one outside all suspects, then the
+    longest), or most of the page's plain text while no article or main of the page stands beside it.
+    """
+    upto = [0]
+    for n in sizes:
+        upto.append(upto[-1] + n)
+    chief = {}
+    for tag, suspect, (a, b) in marks:
+        rank = (suspect == 0, upto[b] - upto[a])
+        if rank[1] and (tag not in chief or rank > chief[tag][0]):
+            chief[tag] = (rank, a, b)
+    keeps = [True]
+    for _, (a, b) in suspects[1:]:
+        holds = any(a <= c and d <= b for _, c, d in chief.values())
+        beside = any(d <= a or b <= c for tag, (_, c, d) in chief.items() if tag != "h1")
+        keeps.append(holds or 2 * (upto[b] - upto[a]) > upto[-1] and not beside)
+    return keeps
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of (page_id, url, html).
 

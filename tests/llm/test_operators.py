@@ -349,6 +349,27 @@ def test_html_keeps_what_stands_beside_the_body(spark):
         assert got == {i: f"Title Lead words. {long} The end." if x == page else long for i, x in enumerate(pages)}
 
 
+@pytest.mark.parametrize("wrapper", [
+    "<div class='site has-sidebar'>%s</div>", "<div class='no-sidebar'>%s</div>", "<div class='with-menu'>%s</div>",
+    "<div class='post-list search'>%s</div>", "<main id='social-policy'>%s</main>"])
+@pytest.mark.parametrize("inside", ["<h1>Title</h1><p>%s</p>", "<article><p>Title</p><p>%s</p></article>",
+                                    "<p>Title</p><p>%s</p>"])
+def test_html_wrappers_with_junk_words_keep_the_article(wrapper, inside):
+    text = " ".join(["Body text."] * 20)
+    card = "<article>Card.</article>" if "article" in inside else "<p>Card.</p>"
+    junk = (f"<div class='related search'><h2>More</h2>{card}</div>"
+            "<div class='comments'><p>Nice post!</p></div><div class='menu'>Menu</div>")
+    for page in (wrapper % (inside % text + junk), wrapper % (inside % text) + junk):
+        page = html.Page(f"<body><div class='ad'>Buy.</div>{page}</body>")
+        assert page.text([page.candidate()]) == f"Title {text}"
+
+
+def test_html_long_comments_beside_an_article_go():
+    page = html.Page("<body><main><article class='post'><h1>T</h1><p>Short.</p></article><div class='comments'>"
+                     + "<article class='comment'><p>Long comment. </p></article>" * 20 + "</div></main>")
+    assert page.text([page.candidate()]) == "T Short."
+
+
 def test_html_articles_of_the_pages(spark):
     import re
     from html import unescape
