@@ -32,15 +32,27 @@ CLASSIFIERS = ["Random Forest", "Decision Tree", "Gradient Boosting", "Logistic
 REGRESSORS = ["Random Forest", "Decision Tree", "Gradient Boosting", "Linear Regression"]
 
 
-def _estimator(name: str, problem: str, n_features: int, n_classes: int, seed: int):
+@dataclass(frozen=True)
+class Budget:
+    """Size of the fits. The defaults are the reference's; 30 is Spark's deepest tree and stands for unlimited."""
+
+    tree_depth: int = 30
+    boosting_rounds: int = 100
+    boosting_depth: int = 3
+    net_iterations: int = 500
+    grid_depths: tuple[int, ...] = (5, 10, 30)
+
+
+def _estimator(name: str, problem: str, n_features: int, n_classes: int, seed: int, budget: Budget = Budget()):
     cls = problem == "classification"
     if name == "Random Forest":
-        return (RandomForestClassifier if cls else RandomForestRegressor)(numTrees=100, seed=seed)
+        return (RandomForestClassifier if cls else RandomForestRegressor)(
+            numTrees=100, maxDepth=budget.tree_depth, seed=seed)
     if name == "Decision Tree":
-        return (DecisionTreeClassifier if cls else DecisionTreeRegressor)(seed=seed)
+        return (DecisionTreeClassifier if cls else DecisionTreeRegressor)(maxDepth=budget.tree_depth, seed=seed)
     if name == "Gradient Boosting":
-        # Spark's default boosting schedule: 20 rounds of depth-5 trees.
-        boosted = (GBTClassifier if cls else GBTRegressor)(maxIter=20, maxDepth=5, seed=seed)
+        boosted = (GBTClassifier if cls else GBTRegressor)(
+            maxIter=budget.boosting_rounds, maxDepth=budget.boosting_depth, seed=seed)
         # Spark's boosting knows two classes; more are fitted one against the rest.
         return OneVsRest(classifier=boosted, parallelism=4) if cls and n_classes > 2 else boosted
     if name == "Logistic Regression":
@@ -48,8 +60,8 @@ def _estimator(name: str, problem: str, n_features: int, n_classes: int, seed: i
     if name == "Linear Regression":
         return LinearRegression()
     if name == "Neural Network":
-        return MultilayerPerceptronClassifier(layers=[n_features, 100, 50, n_classes], maxIter=200, tol=1e-4,
-                                              seed=seed)
+        return MultilayerPerceptronClassifier(layers=[n_features, 100, 50, n_classes],
+                                              maxIter=budget.net_iterations, tol=1e-4, seed=seed)
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -157,8 +169,12 @@ LEADERBOARD_SCHEMA = ("rank int, model_name string, score double, accuracy doubl
 
 
 def train(df: DataFrame, target: str, problem: str | None = None, models: list[str] | None = None,
-          cv_folds: int = 5, tune: bool = True, seed: int = 42, key: str | None = None) -> TrainResult:
-    """ML2–ML11: split, fit every candidate, score on the holdout, CV, tune the winner."""
+          cv_folds: int = 5, tune: bool = True, seed: int = 42, key: str | None = None,
+          budget: Budget = Budget()) -> TrainResult:
+    """ML2–ML11: split, fit every candidate, score on the holdout, CV, tune the winner.
+
+    The fits have the reference's budgets unless the caller gives a smaller ``budget``.
+    """
     from ledgerline.session import cut_lineage
     spark = df.sparkSession
     problem = problem or problem_type(df, target)
@@ -189,7 +205,7 @@ def train(df: DataFrame, target: str, problem: str | None = None, models: list[s
 
     def run(name):
         try:
-            est = _estimator(name, problem, len(names), n_classes, seed)
+            est = _estimator(name, problem, len(names), n_classes, seed, budget)
             model = est.fit(tr)
             m = _metrics(model.transform(te), problem, n_classes)
             cv = CrossValidator(estimator=est, estimatorParamMaps=[{}], evaluator=evaluator, foldCol="_fold",
@@ -216,7 +232,7 @@ def train(df: DataFrame, target: str, problem: str | None = None, models: list[s
         tuned = False
         if tune and best_name == "Random Forest":
             grid = (ParamGridBuilder().addGrid(best_est.numTrees, [50, 100])
-                    .addGrid(best_est.maxDepth, [5, 10, 20]).build())  # 20 stands in for "unlimited"
+                    .addGrid(best_est.maxDepth, list(budget.grid_depths)).build())
             cv = CrossValidator(estimator=best_est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=3,
                                 parallelism=4, seed=seed)
             best_model = cv.fit(tr.drop("_fold")).bestModel
