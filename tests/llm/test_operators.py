@@ -308,6 +308,24 @@ def test_exchange_never_lowers_the_likelihood_and_separates_patterns():
     assert len(set(of[:4])) == 1 and len(set(of[4:8])) == 1 and of[0] != of[4] and of[8] == 2
 
 
+def test_lm_words_outside_the_units_get_the_class_of_their_contexts(spark, monkeypatch):
+    """Two kinds of rare words share their last two bytes; only their contexts tell them apart."""
+    monkeypatch.setattr(brown, "HEAD", 600)
+    draw, table = random.Random(3), []
+    for d in range(600):
+        line = []
+        for _ in range(40):
+            line += [f"l{draw.randrange(250)}", f"a{draw.randrange(400)}xx", f"r{draw.randrange(250)}",
+                     f"b{draw.randrange(400)}xx"]
+        table.append((d, " ".join(line)))
+    learned = sum(r.score for r in brown.score(spark.createDataFrame(table, "doc_id long, text string")).collect()
+                  if r.held_out)
+    held = sum(zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in table)
+    # the kinds alternate: a word costs its choice among its kind only, with little for the classes
+    ideal = held * 80 * (math.log10(1 / 250) + math.log10(1 / 400))
+    assert learned > ideal + held * 160 * math.log10(0.9)
+
+
 def test_lm_edges(edges):
     got = brown.score(edges).collect()
     assert len(got) == len(EDGES) and all(math.isfinite(r.score) and r.n_tokens >= 1 for r in got)
