@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import brown, dartminhash, decontaminate, html, langid, packing, quality, sql, substrings, topk, toxicity
+from ledgerline.llm import (
+    brown, dartminhash, decontaminate, html, langid, merkle, packing, phrases, quality, rans, sql, substrings, topk,
+    toxicity)
+from ledgerline.llm.common import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path(name)
 
 
 def op1_near_duplicates(spark, sf_dir):
@@ -63,8 +66,21 @@ def op10_lm_scoring(spark, sf_dir):
     return brown.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark, sf_dir):
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=fold(F.col("doc_id"), 5) == 0)
+
+
+def op13_token_ids(spark, sf_dir):
+    return rans.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_top_k, op3_toxicity, op4_quality, op5_language_id, op6_decontamination, op7_html,
-    op8_packing, op9_substring_dedup, op10_lm_scoring)}
+    op8_packing, op9_substring_dedup, op10_lm_scoring, op11_phrases, op12_merkle_manifest, op13_token_ids)}
 ORACLES: dict[str, str] = {"op2_top_k": sql.TOP_K, "op6_decontamination": sql.DECONTAMINATION,
-                           "op9_substring_dedup": sql.SUBSTRING_DEDUP}
+                           "op9_substring_dedup": sql.SUBSTRING_DEDUP, "op11_phrases": sql.PHRASES,
+                           "op12_merkle_manifest": sql.MERKLE}
