@@ -16,7 +16,7 @@ BATCH_BYTES = 8 << 20
 _STORED: list[tuple[str, str]] = []
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back.
 
     This cuts the lineage (plans, statistics and constraints) and survives the
@@ -24,7 +24,7 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "llm")
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _STORED.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -289,7 +289,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     doc.slice(lo, hi - lo), pa.array(np.diff(first)),
                     pa.array([raw[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], schema.names)
 
-    return store(source.mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()))
+    return store(source.mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), codec="zstd")
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:

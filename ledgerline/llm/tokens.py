@@ -1,9 +1,10 @@
 """Token ids by the ``tokenizers`` library, each distinct chunk of a slice encoded once.
 
 A text is cut before every white-space byte that follows a character which is
-no white space. No token of a byte-level BPE with the usual splitting pattern
-spans such a place and the pattern looks at nothing before it, so the ids of the
-chunks, joined, are the ids of the text (tests hold them equal). Equal chunks
+no white space, and before a punctuation mark that follows an ASCII letter. No
+token of a byte-level BPE with the usual splitting pattern spans such a place
+and the pattern looks at nothing before it, so the ids of the chunks, joined,
+are the ids of the text (tests hold them equal). Equal chunks
 repeat often, so a slice's distinct chunks are found by a dictionary encoding,
 and only those a worker has not met lately go through the library.
 """
@@ -15,16 +16,25 @@ import pyarrow as pa
 
 from ledgerline.llm import words as W
 
-KNOWN = 1_000_000        # chunks a worker remembers (about 200 MB); a memory bound without effect on the ids
+KNOWN = 500_000        # chunks a worker remembers (about 200 MB); a memory bound without effect on the ids
 END = 0
 
 # Last bytes of the white-space characters outside ASCII; a cut after any character that ends so is left out.
 _AFTER = np.ones(256, dtype=bool)
 _AFTER[:0x21] = False
 _AFTER[[0x7F, 0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = False
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[*b",.;:!?"]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 _SPACES, _ENDS = frozenset(np.flatnonzero(W.SPACE).tolist()), frozenset(np.flatnonzero(_AFTER).tolist())
 
 
+def _cuts(buf: np.ndarray) -> np.ndarray:
+    """Whether a chunk begins at each byte but the first."""
+    return W.SPACE[buf[1:]] & _AFTER[buf[:-1]] | _MARK[buf[1:]] & _LETTER[buf[:-1]]
+
+
 class Chunks:
     """Ids of the chunks met lately, in one flat array."""
 
@@ -39,7 +49,10 @@ class Chunks:
         self.width = np.zeros(self.size, dtype=np.int64)
         self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
         for token_id, token in self.tokenizer.get_added_tokens_decoder().items():
-            self.width[token_id] = len(token.content.encode())
+            raw = np.frombuffer(token.content.encode(), dtype=np.uint8)
+            if _cuts(raw).any():
+                raise ValueError(f"added token {token.content!r} could lie across two chunks")
+            self.width[token_id] = len(raw)
         self.clear()
 
     def clear(self) -> None:
@@ -101,7 +114,7 @@ def encode_slice(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     buf, off = W.string_bytes(texts)
     n = len(buf)
     cut = np.zeros(n + 1, dtype=bool)
-    cut[1:n] = W.SPACE[buf[1:]] & _AFTER[buf[:-1]]
+    cut[1:n] = _cuts(buf)
     cut[off[:-1][np.diff(off) > 0]] = True
     at = np.flatnonzero(cut)
     chunks = pa.Array.from_buffers(pa.large_binary(), len(at), [
