@@ -21,6 +21,9 @@ least as frequent, so extensions by one word decide.)
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -121,7 +124,8 @@ def phrase_counts(stream, min_count: int):
     """Batches (lang, key, words, n, edge) of the runs in a sorted stream of (lang, window, n) batches.
 
     A run at either end of the stream has edge set and any count; others have
-    min_count at least. key: the words, each followed by a blank.
+    min_count at least. key: the words, each followed by a blank. Rows of no
+    words count all words of a language.
     """
     last, carry, edge = None, np.zeros(LONGEST, np.int64), np.ones(LONGEST, dtype=bool)
 
@@ -145,6 +149,11 @@ def phrase_counts(stream, min_count: int):
             lang, keys, n = pa.concat_arrays([last[0], lang]), pa.concat_arrays([last[1], keys]), np.append(0, n)
         same = pc.equal(lang.slice(1), lang.slice(0, len(lang) - 1)).to_numpy(zero_copy_only=False)
         common, buf, off, ends = shared_words(keys, same)
+        tongue = np.flatnonzero(np.append(True, ~same))          # all words of each language
+        yield pa.RecordBatch.from_arrays(
+            [lang.take(pa.array(tongue)), pa.array([""] * len(tongue)), pa.array(np.zeros(len(tongue), np.int32)),
+             pa.array(np.add.reduceat(n, tongue)), pa.array(np.zeros(len(tongue), bool))],
+            ["lang", "key", "words", "n", "edge"])
         for level in range(LONGEST):
             begin = np.flatnonzero(common <= level)
             mine = n if last is None else np.append(carry[level], n[1:])
@@ -161,9 +170,65 @@ def phrase_counts(stream, min_count: int):
                       np.ones(1, dtype=bool))
 
 
+def _range_bounds(docs: DataFrame, ranges: int) -> list[tuple[str, bytes]]:
+    """Windows that part the count stream into about equal ranges.
+
+    They come from a sample of 20 documents per range, which only decides where
+    the stream is cut: every window goes into some range whatever the bounds are.
+    """
+    n = docs.count()
+    share = min(1.0, 20 * ranges / n) if n else 1.0
+    picked = docs.where(F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
+
+    def some(batches):
+        for batch in batches:
+            for lo in range(batch.num_rows):
+                for part in _parts(batch.column("text").slice(lo, 1)):
+                    _, n, keys = windows(part, np.zeros(1, np.int64))
+                    if len(keys):
+                        step = min(max(len(keys) // 10, 1), 30)
+                        at = np.arange(step // 2, len(keys), step)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([batch.column("lang")[lo].as_py()] * len(at), pa.string()),
+                             keys.take(pa.array(at)), pa.array(np.full(len(at), float(n.sum()) / len(at)))],
+                            ["lang", "window", "weight"])
+
+    rows = sorted((r.lang.encode(), bytes(r.window), r.weight) for r in
+                  picked.mapInArrow(some, "lang string, window binary, weight double").collect())
+    if not rows:
+        return []
+    upto = np.cumsum([w for _, _, w in rows])
+    at = np.searchsorted(upto, np.arange(1, ranges) * upto[-1] / ranges)
+    return [rows[i][:2] for i in np.minimum(at, len(rows) - 1)]
+
+
+def _ranges(lang: list[bytes], own: np.ndarray, keys: pa.Array, bounds: list[tuple[bytes, bytes]], salt: int) -> np.ndarray:
+    """The range of each window (sorted within its language own[i]); a window that is a bound goes to one of its ranges."""
+    out = np.zeros(len(own), dtype=np.int32)
+    edge = np.searchsorted(own, np.arange(len(lang) + 1))
+    for k, name in enumerate(lang):
+        a, b = int(edge[k]), int(edge[k + 1])
+        if a == b:
+            continue
+        first = bisect_left(bounds, name, key=lambda x: x[0])
+        mine = [w for _, w in bounds[first:bisect_right(bounds, name, key=lambda x: x[0])]]
+        at_least = [bisect_left(range(a, b), w, key=lambda i: keys[i].as_py()) for w in mine]
+        above = [bisect_right(range(a, b), w, key=lambda i: keys[i].as_py()) for w in mine]
+        place = np.arange(b - a)
+        low = first + np.searchsorted(above, place, side="right")
+        high = first + np.searchsorted(at_least, place, side="right")
+        out[a:b] = low + salt % (high - low + 1)
+    return out
+
+
 def counted(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """Phrases (lang, key, words, n) of 1 to 4 words with n >= min_count, and (lang, n) of all words."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
+    docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+                       F.col("text").cast("string").alias("text"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = spark.sparkContext.broadcast(_range_bounds(docs, ranges))
 
     def count(batches):
         for batch in batches:
@@ -171,23 +236,22 @@ def counted(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, Dat
             for lo, hi in W.slices(text):
                 codes = lang.slice(lo, hi - lo).dictionary_encode()
                 group = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                names = [x.encode() for x in codes.dictionary.to_pylist()]
                 for part in _parts(text.slice(lo, hi - lo)):
                     own, n, keys = windows(part, group)
+                    salt = crc32(W.string_bytes(part)[0][:4096].tobytes())
                     yield pa.RecordBatch.from_arrays(
                         [codes.dictionary.take(pa.array(own)).cast(pa.string()), keys.cast(pa.binary()).cast(pa.string()),
-                         pa.array(n)], ["lang", "window", "n"])
-
-    stream = store(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-                               F.col("text").cast("string").alias("text"))
-                   .mapInArrow(count, "lang string, window string, n long"))
-    # The hash of the count spreads a window that is in every slice over several ranges.
-    ranged = (stream.repartitionByRange("lang", "window", F.xxhash64("n", F.monotonically_increasing_id()))
-              .sortWithinPartitions("lang", "window"))
-    runs = store(ranged.mapInArrow(lambda batches: phrase_counts(batches, min_count),
+                         pa.array(n), pa.array(_ranges(names, own, keys, bounds.value, salt))],
+                        ["lang", "window", "n", "range"])
+
+    stream = (docs.mapInArrow(count, "lang string, window string, n long, range int")
+              .repartitionById(ranges, "range").sortWithinPartitions("lang", "window").drop("range"))
+    runs = store(stream.mapInArrow(lambda batches: phrase_counts(batches, min_count),
                                    "lang string, key string, words int, n long, edge boolean"))
     parts = runs.where("edge").groupBy("lang", "key", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    phrases = store(runs.where("not edge").drop("edge").unionByName(parts))
-    return phrases, stream.groupBy("lang").agg(F.sum("n").alias("n"))
+    phrases = store(runs.where("not edge and words > 0").drop("edge").unionByName(parts))
+    return phrases, runs.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def with_begins(phrases: DataFrame) -> DataFrame:

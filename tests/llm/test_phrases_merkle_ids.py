@@ -58,6 +58,7 @@ def test_phrase_counts_do_not_depend_on_batches():
         for batch in phrases.phrase_counts((whole.slice(a, size) for a in range(0, len(n), size)), 1):
             for r in batch.to_pylist():
                 total[r["key"], r["words"]] += r["n"]
+        assert total["", 0] == 19
         return total
     assert counts(1) == counts(2) == counts(3) == counts(len(n))
 
