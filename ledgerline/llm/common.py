@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,15 +32,54 @@ def store(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what ``store`` has written in this session; results that still read it must be saved before."""
-    jvm, app = spark._jvm, spark.sparkContext.applicationId
-    for entry in [e for e in _STORED if e[0] == app]:
+def stored_paths(spark: SparkSession) -> list[str]:
+    """The tables that ``store`` has written in this session and that are still there."""
+    return [path for app, path in _STORED if app == spark.sparkContext.applicationId]
+
+
+def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Delete what ``store`` has written in this session, but for the paths in ``keep``.
+
+    Results that still read a deleted table must be saved before.
+    """
+    jvm, app, keep = spark._jvm, spark.sparkContext.applicationId, set(keep)
+    for entry in [e for e in _STORED if e[0] == app and e[1] not in keep]:
         path = jvm.org.apache.hadoop.fs.Path(entry[1])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         _STORED.remove(entry)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a 16-byte key per row that stays the same whenever the table is read.
+
+    Rows read from files are known by their file and place in it; other rows
+    are stored once with a number.
+    """
+    try:
+        place = docs.select(F.md5(F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").cast("binary")))
+    except AnalysisException:
+        place = None
+    if place is not None and "_metadata" not in docs.columns:
+        return docs.withColumn(name, F.unhex(F.md5(F.concat_ws(
+            ":", "_metadata.file_path", "_metadata.row_index").cast("binary"))))
+    return store(docs.withColumn(name, F.unhex(F.md5(F.monotonically_increasing_id().cast("string").cast("binary")))))
+
+
+def ordered_key(doc_id: Column, key: Column) -> Column:
+    """Bytes that sort by the integer id (null last), then by the key."""
+    number = F.hex(doc_id.cast("long").bitwiseXOR(F.lit(-(1 << 63))))
+    return F.unhex(F.concat(F.when(doc_id.isNull(), F.lit("01" + "0" * 16)).otherwise(
+        F.concat(F.lit("00"), F.lpad(number, 16, "0"))), F.hex(key)))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Limit Arrow batches by bytes as well as rows, so that long texts cannot pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

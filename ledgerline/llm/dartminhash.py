@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerline.llm import words as W
-from ledgerline.llm.common import bound_batches, connected_components, lower, shingles, store, text_node
+from ledgerline.llm.common import (
+    bound_batches, connected_components, free_name, lower, ordered_key, shingles, store, text_node, with_row_key)
 
 PIVOTS = 2
 #: Rounds go on while more than this share of the comparisons finds a link.
@@ -327,13 +328,16 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         "is_kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of one document of each class; all columns of ``docs``.
 
-    Rows with a null id stay. If the kept id occurs in several rows, one of
-    them stays (the one that sorts first over all columns' hash).
+    Every row is a document of its own, whatever its id: of a class the row
+    with the smallest id stays (null last; of equal ids, the first by the row's
+    key). Texts without a word are alone in their class and stay, but equal
+    rows of them, as others, stay each; an empty table gives an empty result.
     """
-    keep = near_duplicate_classes(docs, **options).where("is_kept and doc_id is not null").select(
-        F.col("doc_id")).distinct()
-    kept = docs.join(store(keep), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    key = free_name(docs, "_row_key")
+    keyed = with_row_key(docs, key)
+    keyed = keyed.withColumn(key, ordered_key(F.col(id_col), F.col(key)))
+    keep = near_duplicate_classes(keyed, key, text_col, **options).where("is_kept").select(F.col("doc_id").alias(key))
+    return keyed.join(store(keep), key, "left_semi").select(*docs.columns)

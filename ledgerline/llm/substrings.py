@@ -194,10 +194,12 @@ def _positions(marks: bytes | None) -> np.ndarray:
     return np.frombuffer(marks or b"", np.uint32).astype(np.int64)
 
 
-def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_id",
-                            text_col: str = "text") -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text",
+                            carry: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the remaining words joined by one space.
 
+    carry: a column of docs to return beside them (a row key, say).
+
     Words are runs without ASCII white space. "Earlier" is a smaller id, or an
     earlier start in the same document. Defined cases: null texts have no
     words; a null id is later than every other id; rows of one id are one
@@ -206,7 +208,10 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
     columns are ignored.
     """
     bound_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+    if carry in ("doc_id", "n_words", "n_removed", "kept", "ord", "node", "text", "first_ord", "marks", "copy"):
+        raise ValueError(f"carry under another name than {carry}")
+    more = [carry] if carry else []
+    source = docs.select(*more, F.col(id_col).cast("long").alias("doc_id"),
                          F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"),
                          text_node(F.col(text_col)).alias("node"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -292,11 +297,12 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
                     kept.append(b" ".join(buf[x:y] for x, y in zip(words.start[a:b][s].tolist(),
                                                                    words.end[a:b][s].tolist())).decode())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                    [*(batch.column(c).slice(lo, hi - lo) for c in [*more, "doc_id"]), pa.array(n, pa.int64()),
+                     pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                    [*more, "doc_id", "n_words", "n_removed", "kept"])
 
     return (source.join(marked, "node")
-            .select("doc_id", "text", "marks", (F.col("ord") > F.col("first_ord")).alias("copy"))
-            .mapInArrow(cut, T.StructType([
+            .select(*more, "doc_id", "text", "marks", (F.col("ord") > F.col("first_ord")).alias("copy"))
+            .mapInArrow(cut, T.StructType([*(source.schema[c] for c in more),
                 T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()),
                 T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])))

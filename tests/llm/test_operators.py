@@ -427,6 +427,91 @@ def test_pipeline_stages(spark, docs):
         frame, now = spark.createDataFrame(list(after.values()), docs.schema), after
 
 
+def test_pipeline_decides_by_row(spark):
+    """Two texts under one id, a contaminated row without an id, shortened texts of one id, rows of no id."""
+    items = rows(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text")
+    first = " ".join(f"alpha{i}" for i in range(60))
+    other = " ".join(f"beta{i}" for i in range(60))
+    repeat = " ".join(f"gamma{i}" for i in range(25))
+    table = [(1, first), (1, other), (2, first), (3, other + " x"), (None, other), (4, "one " + repeat),
+             (7, "two " + repeat + " end"), (7, "three four " + repeat + " stop"), (None, "five " + repeat + " last"),
+             (None, "before " + items[0][1] + " after"), (9, None), (9, None)]
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in table], SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    some = [r for i, r in enumerate(table) if i < 5 or i > 9]
+    part = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in some], SCHEMA)
+    got = rows(stages["near_dedup"](spark, part, SF), "doc_id", "text")
+    assert ordered(got) == ordered([(1, first), (1, other), (9, None), (9, None)])
+    got = rows(stages["decontamination"](spark, frame, SF), "doc_id", "text")
+    assert ordered(got) == ordered([r for i, r in enumerate(table) if i != 9])
+    got = rows(stages["substring_dedup"](spark, frame, SF), "doc_id", "text", "n_chars")
+    texts = sorted(t or "" for _, t, _ in got)
+    assert {"two end", "three four stop", "five last", "one " + repeat} <= set(texts) and len(got) == len(table)
+    assert all(n == len(t or "") for _, t, n in got)
+
+
+def test_pipeline_run_leaves_only_its_result(spark):
+    from ledgerline.llm import common
+    before = common.stored_paths(spark)
+    result = corpus_pipeline.run(spark, SF)
+    assert result.count() and len(common.stored_paths(spark)) <= len(before) + 2
+
+
+def test_language_stage_rejects_what_is_far_from_every_language(docs, spark):
+    draw = random.Random(4)
+    odd = [(10**9 + i, " ".join("".join(draw.choice("xqzjwvkðþ") for _ in range(9)) for _ in range(80))) for i in range(5)]
+    short = docs.where("lang is not null and length(text) > 200").select(
+        (F.col("doc_id") + 2 * 10**9).alias("doc_id"), F.expr("substring(text, 1, 80)").alias("text"), "lang", "source",
+        "n_chars")
+    frame = docs.unionByName(spark.createDataFrame([(d, t, None, None, 0) for d, t in odd], docs.schema)).unionByName(short)
+    kept = {r[0] for r in rows(langid.accepted(frame), "doc_id")}
+    assert not kept & {d for d, _ in odd}
+    clean = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert len(clean - kept) <= 0.01 * len(clean)
+    brief = {r[0] for r in rows(short, "doc_id")}
+    assert len(brief - kept) <= 0.05 * len(brief)
+
+
+def test_language_counts_of_a_long_text_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    one = " ".join(f"wörter{i % 7919} name{i % 31}" for i in range(560_000))        # about 10 MB
+    texts = pa.array([one], pa.large_string())
+    langid.ngrams(texts.slice(0, 0))
+    langid._is_letter()
+    tracemalloc.start()
+    gram, _, count = langid.ngrams(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    want = {}
+    for w in one.split():
+        word = "".join(c for c in w if c.isalpha())
+        for g in [*word, *(f" {word} "[i:i + 2] for i in range(len(word) + 1)), *(f" {word} "[i:i + 3] for i in range(len(word)))]:
+            want[_packed(g)] = want.get(_packed(g), 0) + 1
+    assert dict(zip(gram.tolist(), count.tolist())) == want
+
+
+def test_language_counts_do_not_depend_on_pieces(monkeypatch):
+    import pyarrow as pa
+    texts = pa.array(["Straße ÉTÉ 名前 aab a", "", None, "x", "né" * 9, " \U00030000\U0002b820 𝔘𝕟 ab"])
+    whole = langid.ngrams(texts)
+    assert any(g == 0x30000 for g in whole[0])
+    for size in (1, 7, 20):
+        monkeypatch.setattr(langid, "PIECE_BYTES", size)
+        assert all((a == b).all() for a, b in zip(langid.ngrams(texts), whole))
+
+
+def test_training_rows_are_bounded(spark):
+    from ledgerline.llm.labelled import training_rows
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(1500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, toxic int")
+    got = rows(training_rows(docs, labels, "toxic", 5, 9, 2), "label", "doc_id", "text")
+    assert len(got) == 2
+    assert got == rows(training_rows(docs.repartition(7), labels, "toxic", 5, 9, 2), "label", "doc_id", "text")
+
+
 def test_pipeline_edges(edges, spark):
     frame = edges
     for _, stage in corpus_pipeline.STAGES[:-1]:
