@@ -49,6 +49,13 @@ def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
         _STORED.remove(entry)
 
 
+def store_last(df: DataFrame, before: list[str]) -> DataFrame:
+    """``store`` the outcome of a computation and delete its other tables: all but those in ``before``."""
+    out = store(df)
+    release(df.sparkSession, keep=[*before, _STORED[-1][1]])
+    return out
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column is called so (in any case)."""
     taken = {c.lower() for c in df.columns}

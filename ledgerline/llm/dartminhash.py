@@ -35,7 +35,8 @@ from pyspark.sql.window import Window
 
 from ledgerline.llm import words as W
 from ledgerline.llm.common import (
-    bound_batches, connected_components, free_name, lower, ordered_key, shingles, store, text_node, with_row_key)
+    bound_batches, connected_components, free_name, lower, ordered_key, shingles, store, store_last, stored_paths,
+    text_node, with_row_key)
 
 PIVOTS = 2
 #: Rounds go on while more than this share of the comparisons finds a link.
@@ -338,6 +339,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     key = free_name(docs, "_row_key")
     keyed = with_row_key(docs, key)
+    before = stored_paths(docs.sparkSession)
     keyed = keyed.withColumn(key, ordered_key(F.col(id_col), F.col(key)))
     keep = near_duplicate_classes(keyed, key, text_col, **options).where("is_kept").select(F.col("doc_id").alias(key))
-    return keyed.join(store(keep), key, "left_semi").select(*docs.columns)
+    return keyed.join(store_last(keep, before), key, "left_semi").select(*docs.columns)

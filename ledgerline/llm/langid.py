@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerline.llm import words as W
-from ledgerline.llm.common import bound_batches, fold, free_name, lower, store
+from ledgerline.llm.common import (
+    bound_batches, fold, free_name, lower, store, store_last, stored_paths, with_row_key)
 
 PROFILE = 300
 PIECE_BYTES = 1 << 18   # text counted at once; memory is about 150 bytes per byte of it
@@ -284,13 +285,17 @@ def accepted(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     repeated rows and rows without an id are judged one by one; an empty table
     gives an empty result.
     """
+    key = free_name(docs, "_row_key")
+    keyed = with_row_key(docs, key)
+    before = stored_paths(docs.sparkSession)
     training = F.coalesce(fold(F.col("doc_id"), folds) != held, F.lit(False))
-    guess, close = free_name(docs, "_guess"), free_name(docs, "_close")
-    scored = store(_predicted(docs, docs.where(training), docs.columns, guess, close))
-    floors = (scored.where(training & (F.col("lang") == F.col(guess))).groupBy(F.col(guess).alias("language"))
-              .agg((F.percentile_approx(close, QUANTILE, 10_000) * SLACK).alias("floor")))      # one row per profile
-    floors = {r["language"]: r["floor"] for r in floors.collect()}
-    enough = F.col(guess) != "und"
-    for language, floor in floors.items():
-        enough = enough & ((F.col(guess) != language) | (F.col(close) >= floor))
-    return scored.where(enough).select(*docs.columns)
+    rows = keyed.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"),
+                        F.col("lang").cast("string").alias("lang"), training.alias("training"))
+    scored = store(_predicted(rows, rows.where("training"), ["key", "lang", "training"], "guess", "close")
+                   .select("key", "guess", "close", (F.col("training") & (F.col("lang") == F.col("guess"))).alias("own")))
+    floors = scored.where("own").groupBy("guess").agg(
+        (F.percentile_approx("close", QUANTILE, 10_000) * SLACK).alias("floor"))      # one row per profile
+    # Few rows are rejected, so their keys, not those of the others, are looked up.
+    near = (F.col("guess") != "und") & (F.col("close") >= F.coalesce("floor", F.lit(0.0)))
+    rejected = scored.join(F.broadcast(floors), "guess", "left").where(~near).select(F.col("key").alias(key))
+    return keyed.join(store_last(rejected, before), key, "left_anti").select(*docs.columns)

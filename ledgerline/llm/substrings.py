@@ -33,7 +33,7 @@ _LAST = 2 ** 63 - 1              # a null id is later than every other
 _ENTRY = "part int, own boolean, hash binary, pos binary, doc binary, node binary, ord binary"
 _MARK = "part int, node binary, pos binary"
 _DOC = "node binary, marks binary"
-_GATHER = 1_500_000              # entries that a task gathers before it settles and sends them
+_GATHER = 800_000                # entries that a task gathers before it settles and sends them
 
 
 def _anchors(words: W.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
