@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import dartminhash, decontaminate, langid, packing, substrings
-from ledgerline.llm.common import free_name, release, store, stored_paths, with_row_key
+from ledgerline.llm.common import free_name, release, store, store_last, stored_paths, with_row_key
 from ledgerline.llm.queries import tokenizer_path
 
 #: SQL cannot express these methods; tests/llm compares every stage with a brute-force version.
@@ -51,9 +51,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     key = free_name(docs, "_row_key")
     keyed = with_row_key(docs, key)
+    before = stored_paths(spark)
     cut = substrings.remove_repeated_windows(keyed, carry=key).where("n_removed > 0")
     kept = free_name(docs, "_kept")
-    cut = store(cut.select(key, F.col("kept").alias(kept)))
+    cut = store_last(cut.select(key, F.col("kept").alias(kept)), before)
     return keyed.join(cut, key, "left").withColumns(
         {"n_chars": F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast("long")),
          "text": F.coalesce(kept, "text")}).select(*docs.columns)
@@ -63,9 +64,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that contain no benchmark item; rows are judged one by one, with or without an id."""
     key = free_name(docs, "_row_key")
     keyed = with_row_key(docs, key)
+    before = stored_paths(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hits = decontaminate.contaminated(keyed, benchmark, id_col=key)
-    hits = store(hits.select(F.col("doc_id").alias(key)).distinct())
+    hits = store_last(hits.select(F.col("doc_id").alias(key)).distinct(), before)
     return keyed.join(hits, key, "left_anti").select(*docs.columns)
 
 
