@@ -1,6 +1,7 @@
 """Model training with a leaderboard, scoring, what-if and explanations (ML1–ML15, ML19).
 
-Every fit is a Spark ML job over the table. Features go through one fitted
+Linear models and the neural net are Spark ML fits; forests, trees and boosting
+are grown by ``operators.trees``. Features go through one fitted
 pipeline (impute → date parts → label codes → assemble → standardise) that
 is fitted on the training split only and stored with the model, so scoring
 data takes exactly the same steps.
@@ -11,20 +12,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-    RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.evaluation import (
     BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator)
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions import columns as C
+from ledgerline.operators import nets, trees
 from ledgerline.operators.features import feature_pipeline
 
 # Candidate model names, as shown on the leaderboard.
@@ -34,26 +34,23 @@ REGRESSORS = ["Random Forest", "Decision Tree", "Gradient Boosting", "Linear Reg
 
 @dataclass(frozen=True)
 class Budget:
-    """Size of the fits. The defaults are the reference's; 30 is Spark's deepest tree and stands for unlimited."""
+    """Size of the fits. The defaults are the reference's; a depth of None is unlimited."""
 
-    tree_depth: int = 30
+    trees: int = 100
+    tree_depth: int | None = None
     boosting_rounds: int = 100
     boosting_depth: int = 3
     net_iterations: int = 500
-    grid_depths: tuple[int, ...] = (5, 10, 30)
+    grid_depths: tuple[int | None, ...] = (5, 10, None)
+    grid_trees: tuple[int, ...] = (50, 100)
 
 
 def _estimator(name: str, problem: str, n_features: int, n_classes: int, seed: int, budget: Budget = Budget()):
     cls = problem == "classification"
-    if name == "Random Forest":
-        return (RandomForestClassifier if cls else RandomForestRegressor)(
-            numTrees=100, maxDepth=budget.tree_depth, seed=seed)
-    if name == "Decision Tree":
-        return (DecisionTreeClassifier if cls else DecisionTreeRegressor)(maxDepth=budget.tree_depth, seed=seed)
     if name == "Gradient Boosting":
         boosted = (GBTClassifier if cls else GBTRegressor)(
             maxIter=budget.boosting_rounds, maxDepth=budget.boosting_depth, seed=seed)
-        # Spark's boosting knows two classes; more are fitted one against the rest.
+        # For more rows than one task takes. Spark's boosting knows two classes; more are fitted one against the rest.
         return OneVsRest(classifier=boosted, parallelism=4) if cls and n_classes > 2 else boosted
     if name == "Logistic Regression":
         return LogisticRegression(maxIter=1000)
@@ -103,12 +100,12 @@ def select_models(problem: str, selected: list[str] | None) -> list[str]:
     return chosen or list(pool)
 
 
-def split_column(df: DataFrame, key: str | None = None, seed: int = 42) -> DataFrame:
-    """ML2: stable 80/20 split by a hash of the key (or of the whole row)."""
+def split_column(df: DataFrame, key: str | None = None, seed: int = 42, folds: int = 5) -> DataFrame:
+    """ML2: stable 80/20 split by a hash of the key (or of the whole row), and folds for cross-validation."""
     cols = [key] if key else df.columns
     h = F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), F.lit(100))
     return df.withColumn("_is_train", h < 80).withColumn("_fold", F.pmod(F.xxhash64(*[F.col(c) for c in cols],
-                                                                                  F.lit(seed + 1)), F.lit(5)).cast("int"))
+                                                                                  F.lit(seed + 1)), F.lit(folds)).cast("int"))
 
 
 @dataclass
@@ -151,8 +148,148 @@ def _metrics(pred: DataFrame, problem: str, n_classes: int) -> dict:
     return m
 
 
+def _from_counts(counts: dict, n_classes: int) -> dict:
+    """Class metrics from {(label, prediction): rows}."""
+    total = sum(counts.values())
+    matrix = [[counts.get((a, b), 0) for b in range(n_classes)] for a in range(n_classes)]
+    real, said = [sum(r) for r in matrix], [sum(r[j] for r in matrix) for j in range(n_classes)]
+    right = [matrix[j][j] for j in range(n_classes)]
+    precision = [right[j] / said[j] if said[j] else 0.0 for j in range(n_classes)]
+    recall = [right[j] / real[j] if real[j] else 0.0 for j in range(n_classes)]
+    f1 = [2 * p * r / (p + r) if p + r else 0.0 for p, r in zip(precision, recall)]
+
+    def weighted(x):
+        return sum(n * v for n, v in zip(real, x)) / total
+    return {"accuracy": sum(right) / total, "precision": weighted(precision), "recall": weighted(recall),
+            "f1_score": weighted(f1), "confusion_matrix": ";".join(",".join(map(str, r)) for r in matrix)}
+
+
+def _judged(predictions: DataFrame, problem: str, n_classes: int) -> dict:
+    """{(fit, setting): metrics} of all fits in one pass over (fit, setting, label, prediction)."""
+    out: dict = {}
+    if problem == "classification":
+        for r in predictions.groupBy("fit", "setting", "label", "prediction").count().collect():
+            out.setdefault((r["fit"], r["setting"]), {})[int(r["label"]), int(r["prediction"])] = r["count"]
+        return {k: (lambda m: {**m, "score": m["accuracy"]})(_from_counts(c, n_classes)) for k, c in out.items()}
+    e = F.col("label") - F.col("prediction")
+    for r in predictions.groupBy("fit", "setting").agg(
+            F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop("label").alias("v")).collect():
+        r2 = 1 - r["mse"] / r["v"] if r["v"] else 0.0
+        out[r["fit"], r["setting"]] = {"r2_score": r2, "mse": r["mse"], "mae": r["mae"], "score": r2}
+    return out
+
+
+def _rounded(m: dict) -> dict:
+    return {k: round(float(v), 4) if isinstance(v, float) else v for k, v in m.items()}
+
+
+class FittedTrees:
+    """Feature steps and a tree model, with the parts of a pipeline model that scoring uses."""
+
+    def __init__(self, stages: list, model, labels: list[str]):
+        self.stages, self.model, self.labels = stages, model, labels
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(PipelineModel(stages=self.stages).transform(df))
+        if not self.labels:
+            return out
+        names = F.array(*map(F.lit, self.labels))
+        return out.withColumn("predicted_label", F.element_at(names, F.col("prediction").cast("int") + 1))
+
+
+class TreeFits:
+    """The models of one training run that are grown inside tasks, over one binned table."""
+
+    def __init__(self, prepared: DataFrame, problem: str, n_features: int, n_classes: int, seed: int, cv_folds: int,
+                 budget: Budget):
+        self.n_classes = n_classes if problem == "classification" else 0
+        self.problem, self.n_features, self.seed, self.budget = problem, n_features, seed, budget
+        self.folds = range(cv_folds)
+        train = prepared.where("_is_train").select(vector_to_array("features").alias("features"))
+        self.cuts = trees.quantile_cuts(train, n_features)
+        self.rows = trees.binned(prepared, self.cuts)
+        self.spark = prepared.sparkSession
+        self.fits: list[trees.Fit] = []
+
+    def _depth(self, depth: int | None) -> int:
+        return trees.NO_LIMIT if depth is None else depth
+
+    def _fit(self, name: str, by: str = "", value: int = 0) -> trees.Fit:
+        forest = name == "Random Forest"
+        # As many features per node as the reference's forests: the root of their number for classes, all for numbers.
+        k = max(1, int(self.n_features ** 0.5)) if forest and self.n_classes else self.n_features
+        return trees.Fit(name, by, value, self.budget.trees if forest else 1, forest, k)
+
+    def _metrics(self, predictions: DataFrame, first: int = 0) -> dict:
+        """Holdout metrics of fit ``first`` and the mean score of the following folds."""
+        found = _judged(predictions, self.problem, self.n_classes)
+        out = dict(found[first, 0])
+        folds = [found[first + 1 + i, 0]["score"] for i in self.folds if (first + 1 + i, 0) in found]
+        out["cv_score"] = sum(folds) / len(folds) if folds else None
+        if self.n_classes == 2:
+            held = predictions.where((F.col("fit") == first) & (F.col("setting") == 0))
+            out["roc_auc"] = BinaryClassificationEvaluator(rawPredictionCol="share").evaluate(
+                held.select("label", F.col("shares")[1].alias("share")))
+        return _rounded(out)
+
+    def forest(self, name: str):
+        """(metrics, model) of a forest or a single tree, holdout and folds in one job."""
+        fits = [self._fit(name), *(self._fit(name, "fold", i) for i in self.folds)]
+        depth = self._depth(self.budget.tree_depth)
+        made, kept, tops = trees.forests(self.rows, fits, self.n_features, self.n_classes, self.seed, (depth,), keep=0)
+        said = trees.judgements(made, fits, (fits[0].n_trees,), 1, self.n_classes)
+        return self._metrics(said), self._model(kept, tops, fits[0].n_trees, depth)
+
+    def _model(self, kept: DataFrame, tops, n_trees: int, depth: int) -> trees.ForestModel:
+        import numpy as np
+        # One row of as many sums as features for each tree.
+        own = kept.where(F.col("tree") < n_trees).select("gains").collect()
+        gains = sum((np.frombuffer(bytes(r["gains"])) for r in own), np.zeros(self.n_features))
+        for t in range(n_trees):
+            for node in tops.nodes[(0, t)]:
+                if node["feature"] >= 0:
+                    gains[node["feature"]] += node["gain"]
+        return trees.ForestModel(self.spark, kept.inputFiles()[0].rsplit("/", 1)[0], tops, self.cuts, self.n_classes,
+                                 n_trees, depth, gains)
+
+    def tuned(self, model: trees.ForestModel):
+        """(holdout metrics, model) of the best grid setting; one fit for each of three folds judges all settings.
+
+        The chosen forest is the fitted one, cut to the setting's depth and trees.
+        """
+        fits = [self._fit("Random Forest", "grid_fold", i) for i in range(3)]
+        depths = tuple(map(self._depth, self.budget.grid_depths))
+        prefixes = self.budget.grid_trees
+        made, _, _ = trees.forests(self.rows, fits, self.n_features, self.n_classes, self.seed, depths)
+        found = _judged(trees.judgements(made, fits, prefixes, len(depths), self.n_classes), self.problem, self.n_classes)
+        means = {s: sum(found[i, s]["score"] for i in range(3)) / 3 for s in range(len(depths) * len(prefixes))}
+        best = max(means, key=lambda s: (means[s], -s))
+        depth, upto = depths[best // len(prefixes)], min(prefixes[best % len(prefixes)], self.budget.trees)
+        chosen = trees.ForestModel(self.spark, model.path, model.tops, self.cuts, self.n_classes, upto, depth, model.gains)
+        return chosen, {"max_depth": None if depth == trees.NO_LIMIT else depth, "n_estimators": upto}
+
+    def net(self, prepared: DataFrame):
+        fits = [self._fit("Neural Network"), *(self._fit("Neural Network", "fold", i) for i in self.folds)]
+        said, model = nets.nets(prepared, fits, self.n_features, self.n_classes, self.budget.net_iterations, self.seed)
+        return self._metrics(said), model
+
+    def boosting(self):
+        fits = [self._fit("Gradient Boosting"), *(self._fit("Gradient Boosting", "fold", i) for i in self.folds)]
+        said, stored = trees.boosted(self.rows, fits, self.n_features, self.n_classes, self.budget.boosting_rounds,
+                                     self.budget.boosting_depth)
+        import numpy as np
+        rows = stored.orderBy("setting").collect()          # the trees: as many as rounds times classes
+        model = trees.BoostedModel(self.spark, [trees.Tree.unpack(bytes(r["data"])) for r in rows],
+                                   np.array(rows[0]["shares"]), self.cuts, self.n_classes,
+                                   np.frombuffer(bytes(rows[0]["gains"])).copy())
+        return self._metrics(said), model
+
+
 def _importance(model, names: list[str]) -> list[tuple[str, float]]:
-    if hasattr(model, "featureImportances"):
+    if hasattr(model, "gains"):
+        total = model.gains.sum()
+        vals = model.gains / total if total else model.gains
+    elif hasattr(model, "featureImportances"):
         vals = model.featureImportances.toArray()
     elif hasattr(model, "coefficientMatrix"):
         vals = abs(model.coefficientMatrix.toArray()[0])
@@ -185,7 +322,7 @@ def train(df: DataFrame, target: str, problem: str | None = None, models: list[s
     stages = list(feats_pipe.getStages())
     if problem == "classification":
         stages.append(StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc"))
-    split = split_column(data, key, seed)
+    split = split_column(data, key, seed, cv_folds)
     train_part = split.where("_is_train")
     if problem == "classification":
         # The label list is that of all rows: a class that only the holdout has is scored (wrong), not thrown.
@@ -202,16 +339,25 @@ def train(df: DataFrame, target: str, problem: str | None = None, models: list[s
     evaluator = (MulticlassClassificationEvaluator(metricName="accuracy") if problem == "classification"
                  else RegressionEvaluator(metricName="r2"))
     tr, te = tr.cache(), te.cache()
+    names_to_fit = select_models(problem, models)
+    small = tr.count() <= trees.LIMIT
+    grown = [n for n in names_to_fit if n in ("Random Forest", "Decision Tree")
+             or small and n in ("Gradient Boosting", "Neural Network")]
+    fits = TreeFits(prepared, problem, len(names), n_classes, seed, cv_folds, budget) if grown else None
 
     def run(name):
         try:
+            if name in grown:
+                m, model = (fits.boosting() if name == "Gradient Boosting" else fits.net(prepared)
+                            if name == "Neural Network" else fits.forest(name))
+                return name, m, "ok", model
             est = _estimator(name, problem, len(names), n_classes, seed, budget)
             model = est.fit(tr)
             m = _metrics(model.transform(te), problem, n_classes)
             cv = CrossValidator(estimator=est, estimatorParamMaps=[{}], evaluator=evaluator, foldCol="_fold",
                                 numFolds=cv_folds, seed=seed, parallelism=cv_folds)
-            m["cv_score"] = round(float(cv.fit(tr.withColumn("_fold", F.col("_fold") % cv_folds)).avgMetrics[0]), 4)
-            return name, m, "ok", (est, model)
+            m["cv_score"] = round(float(cv.fit(tr).avgMetrics[0]), 4)
+            return name, m, "ok", model
         except Exception as ex:  # noqa: BLE001 - a candidate that fails is skipped
             return name, {"score": None, "error": str(ex)[:200]}, "failed", None
 
@@ -219,7 +365,6 @@ def train(df: DataFrame, target: str, problem: str | None = None, models: list[s
         # Candidates are independent Spark jobs; submitting them from threads lets
         # the scheduler run them side by side instead of one after another.
         from concurrent.futures import ThreadPoolExecutor
-        names_to_fit = select_models(problem, models)
         with ThreadPoolExecutor(max_workers=len(names_to_fit)) as pool:
             results = list(pool.map(run, names_to_fit))
         board = [(n, m, st) for n, m, st, _ in results]
@@ -228,15 +373,11 @@ def train(df: DataFrame, target: str, problem: str | None = None, models: list[s
         if not ok:
             raise RuntimeError("no candidate model could be trained")
         best_name, best_metrics = max(ok, key=lambda t: t[1]["score"])
-        best_est, best_model = fitted[best_name]
+        best_model = fitted[best_name]
         tuned = False
         if tune and best_name == "Random Forest":
-            grid = (ParamGridBuilder().addGrid(best_est.numTrees, [50, 100])
-                    .addGrid(best_est.maxDepth, list(budget.grid_depths)).build())
-            cv = CrossValidator(estimator=best_est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=3,
-                                parallelism=4, seed=seed)
-            best_model = cv.fit(tr.drop("_fold")).bestModel
-            best_metrics = {**best_metrics, **_metrics(best_model.transform(te), problem, n_classes)}
+            best_model, setting = fits.tuned(best_model)
+            best_metrics = {**best_metrics, **_metrics(best_model.transform(te), problem, n_classes), **setting}
             tuned = True
     finally:
         tr.unpersist()
@@ -250,11 +391,13 @@ def train(df: DataFrame, target: str, problem: str | None = None, models: list[s
     leaderboard = spark.createDataFrame(rows, LEADERBOARD_SCHEMA)
     feature_model = PipelineModel(stages=[s for s in prep.stages if not (
         problem == "classification" and s is prep.stages[-1])])
-    final_stages = list(feature_model.stages) + [best_model]
-    if problem == "classification":
-        final_stages.append(IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels))
+    if best_name in grown:
+        final = FittedTrees(list(feature_model.stages), best_model, labels)
+    else:
+        final = PipelineModel(stages=[*feature_model.stages, best_model, *(
+            [IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)] if labels else [])])
     importance = spark.createDataFrame(_importance(best_model, names), "feature string, importance double")
-    return TrainResult(problem, target, leaderboard, PipelineModel(stages=final_stages), best_name, best_metrics,
+    return TrainResult(problem, target, leaderboard, final, best_name, best_metrics,
                        importance, names, labels, raw_cols)
 
 
@@ -270,11 +413,30 @@ def score(result: TrainResult, df: DataFrame) -> DataFrame:
 
 
 def save_model(result: TrainResult, path: str) -> None:
-    result.model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    """The model package: steps and model, with target, problem type, feature order and labels."""
+    spark = result.leaderboard.sparkSession
+    own = isinstance(result.model, FittedTrees)
+    steps = PipelineModel(stages=result.model.stages) if own else result.model
+    steps.write().overwrite().save(f"{path}/steps")
+    if own:
+        (nets if isinstance(result.model.model, nets.NetModel) else trees).save(result.model.model, f"{path}/model")
+    about = [(result.problem, result.target, result.best_name, result.feature_names, result.raw_columns, result.labels, own)]
+    spark.createDataFrame(about, "problem string, target string, model_name string, features array<string>, "
+                                 "columns array<string>, labels array<string>, own boolean").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/about")
+
+
+def load_model(path: str, spark=None):
+    """The saved model with ``transform`` and, as ``about``, the row saved beside it."""
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
+    about = spark.read.parquet(f"{path}/about").first()
+    model = PipelineModel.load(f"{path}/steps")
+    if about["own"]:
+        kind = nets if about["model_name"] == "Neural Network" else trees
+        model = FittedTrees(model.stages, kind.load(spark, f"{path}/model"), list(about["labels"]))
+    model.about = about
+    return model
 
 
 # ---------------------------------------------------------------- ML13

@@ -99,22 +99,13 @@ def test_boosting_of_three_classes(spark):
     assert est.fit(df).transform(df).where("prediction <> label").count() == 0
 
 
-def test_model_fits_have_the_references_budgets_by_default(spark):
-    from pyspark.ml.feature import VectorAssembler
-
+def test_model_fits_have_the_references_budgets_by_default():
     from ledgerline.operators.automl import Budget
 
-    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(
-        spark.createDataFrame([(float(i), float(i % 2)) for i in range(20)], "x double, label double"))
-
-    def wrong(*budget):
-        est = _estimator("Decision Tree", "classification", 1, 2, 42, *budget)
-        return est.fit(df).transform(df).where("prediction <> label").count()
-
-    assert wrong() == 0 and wrong(Budget(tree_depth=5)) > 0
+    budget = Budget()
+    assert (budget.trees, budget.tree_depth, budget.boosting_rounds, budget.boosting_depth) == (100, None, 100, 3)
+    assert budget.net_iterations == 500 and budget.grid_depths == (5, 10, None) and budget.grid_trees == (50, 100)
     for problem in ("classification", "regression"):
-        assert _estimator("Random Forest", problem, 1, 2, 42).getMaxDepth() == 30
         boosted = _estimator("Gradient Boosting", problem, 1, 2, 42)
         assert (boosted.getMaxIter(), boosted.getMaxDepth()) == (100, 3)
     assert _estimator("Neural Network", "classification", 1, 2, 42).getMaxIter() == 500
-    assert Budget().grid_depths == (5, 10, 30)
