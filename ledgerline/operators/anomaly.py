@@ -1,4 +1,4 @@
-"""Anomaly scoring: isolation forest, PCA reconstruction error, ensemble (AN1, AN2, AN4, AN5, DQ6).
+"""Anomaly scoring: isolation forest, local outlier factor, PCA reconstruction error, ensemble (AN1–AN5, DQ6).
 
 Isolation forest on Spark:
   1. Every row joins a random number of distinct trees, so that a tree draws
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ledgerline.functions import columns as C
 from ledgerline.functions.quantiles import exact_quantiles, medians
+from ledgerline.operators.neighbours import local_outlier_factor
 
 SAMPLE_SIZE = 256
 
@@ -156,8 +157,8 @@ def _prepared(df: DataFrame, features: list[str], scale: bool) -> tuple[DataFram
                               F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features]).first()
     holes = [c for c in features if probe[c]["z"] > 0]
     med = medians(df, holes) if holes else {}
-    exprs = [(F.coalesce(F.col(c).cast("double"), F.lit(med[c])) if c in med else F.col(c).cast("double"))
-             .alias(f"__f{i}") for i, c in enumerate(features)]
+    exprs = [(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(med[c])) if c in med
+              else F.col(c).cast("double")).alias(f"__f{i}") for i, c in enumerate(features)]
     out = df.select("*", *exprs)
     names = [f"__f{i}" for i in range(len(features))]
     if scale:
@@ -204,6 +205,20 @@ def risk_scores(df: DataFrame, score_col: str = "iso_score") -> DataFrame:
     return df.withColumn("risk_score", F.round((F.col(score_col) - F.lit(lo)) / F.lit(hi - lo) * 100, 2))
 
 
+def local_outliers(df: DataFrame, features: list[str], contamination: float = 0.05, neighbours: int = 20) -> DataFrame:
+    """AN3: rows with ``lof`` (over median-filled, standardised features) and ``is_outlier``.
+
+    The top ``contamination`` share by factor is flagged (exact quantile).
+    Nulls and NaN take the median, a column without any value takes 0.
+    """
+    prepared, names = _prepared(df, features, scale=True)
+    scored = local_outlier_factor(prepared.fillna(0.0, subset=names), names, neighbours)
+    from ledgerline.session import cut_lineage
+    scored = cut_lineage(scored.drop(*names))
+    cut = exact_quantiles(scored, "lof", [1.0 - contamination])[0]
+    return scored.withColumn("is_outlier", F.col("lof") > F.lit(cut))
+
+
 def reconstruction_errors(df: DataFrame, features: list[str], seed: int = 42) -> tuple[DataFrame, list[str]]:
     """AN4: PCA with k = min(max(2, d//2), d−1) on standardised features.
 
@@ -234,7 +249,7 @@ def reconstruction_errors(df: DataFrame, features: list[str], seed: int = 42) ->
 
 def anomalies(df: DataFrame, features: list[str], key: str, contamination: float = 0.05, trees: int = 100,
               seed: int = 42, top: int | None = 100) -> DataFrame:
-    """AN5 ensemble: forest flag OR reconstruction-error flag; keep flagged or risk > 70.
+    """AN5 ensemble: forest flag OR local-outlier flag OR reconstruction-error flag; keep flagged or risk > 70.
 
     Output per kept row: key, risk score, reconstruction error, flags and the
     three features with the largest squared residual. ``top`` keeps the
@@ -252,20 +267,23 @@ def anomalies(df: DataFrame, features: list[str], key: str, contamination: float
         recon = recon.withColumn("__e0", F.lit(0.0)).withColumn("recon_error", F.lit(0.0))
     model = fit_isolation_forest(recon, names, trees=trees, seed=seed)
     scored = score_isolation_forest(recon, model)
+    scored = local_outlier_factor(scored.fillna(0.0, subset=names), names, 20)
     from ledgerline.session import cut_lineage
     scored = cut_lineage(scored)  # scores feed several passes below
     iso_cut = exact_quantiles(scored, "iso_score", [1.0 - contamination])[0]
+    lof_cut = exact_quantiles(scored, "lof", [1.0 - contamination])[0]
     err_cut = exact_quantiles(scored, "recon_error", [1.0 - contamination])[0]
     flagged = (scored.withColumn("iso_flag", F.col("iso_score") > F.lit(iso_cut))
+               .withColumn("lof_flag", F.col("lof") > F.lit(lof_cut))
                .withColumn("recon_flag", F.col("recon_error") >= F.lit(err_cut))
-               .withColumn("is_anomaly", F.col("iso_flag") | F.col("recon_flag")))
+               .withColumn("is_anomaly", F.col("iso_flag") | F.col("lof_flag") | F.col("recon_flag")))
     flagged = risk_scores(flagged)
     factors = F.array(*[F.struct(F.col(f"__e{i}").alias("e"), F.lit(f).alias("feature"))
                         for i, f in enumerate(feats)])
     top3 = F.slice(F.sort_array(factors, asc=False), 1, 3)
     kept = flagged.where(F.col("is_anomaly") | (F.col("risk_score") > 70)).select(
-        key, "risk_score", F.round("recon_error", 4).alias("reconstruction_error"), "iso_flag", "recon_flag",
-        "is_anomaly",
+        key, "risk_score", F.round("recon_error", 4).alias("reconstruction_error"), "iso_flag", "lof_flag",
+        "recon_flag", "is_anomaly",
         F.transform(top3, lambda s: F.concat(s["feature"], F.lit(" (Error: "),
                                              F.format_number(s["e"], 3), F.lit(")"))).alias("contributing_factors"))
     if top is not None:

@@ -1,4 +1,4 @@
-"""Anomaly and forest-based quality queries (AN1, AN2, AN4, AN5, DQ6–DQ8).
+"""Anomaly and forest-based quality queries (AN1–AN5, DQ6–DQ8).
 
 Forest and PCA outputs depend on random trees and fitted loadings, so they
 have no SQL oracle; tests check them against brute-force NumPy versions.
@@ -48,6 +48,12 @@ def an2(spark, sf):
     return anomaly.risk_scores(flagged).select("event_id", "risk_score")
 
 
+@register("AN3", note="local outlier factor, 20 neighbours; tests compare it with all pairs")
+def an3(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", *_EVENT_FEATURES)
+    return anomaly.local_outliers(ev, _EVENT_FEATURES).select("event_id", "lof", "is_outlier")
+
+
 @register("AN4", note="PCA reconstruction error; rows-only")
 def an4(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *_LI_FEATURES)
