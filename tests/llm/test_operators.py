@@ -388,6 +388,70 @@ def test_html_long_comments_beside_an_article_go():
     assert page.text([page.candidate()]) == "T Short."
 
 
+def _main(markup):
+    page = html.Page(f"<body>{markup}</body>")
+    return page.joined(page.elected({}))
+
+
+BODY = " ".join(["Body text."] * 20)
+
+
+@pytest.mark.parametrize("markup, want", [
+    ("<div class='a'><h1><a href='/'>Title</a></h1></div><div class='b'><p>%s</p></div>", f"Title {BODY}"),
+    ("<article><div class='b'><p>%s</p></div><div class='refs'><ul><li><a href='/r'>Ref one</a></ul></div></article>",
+     f"{BODY} Ref one"),
+    ("<article><header><h1>Title</h1></header><p>%s</p></article>", f"Title {BODY}"),
+    ("<article><header>Share this</header><p>%s</p></article>", BODY),
+    ("<header><h2>Site</h2></header><article><p>%s</p></article>", BODY),
+    ("<div class='overflow hidden wide'><p>%s</p></div>", BODY),
+    ("<div hidden><p>Not shown.</p></div><div><p>%s</p></div>", BODY),
+    ("<div aria-hidden='true'>No.</div><div style='display: none'>No.</div><p>%s</p>", BODY),
+    ("<p class='form-of-address'>Dear all,</p><p>%s</p>", f"Dear all, {BODY}"),
+    ("<section class='alert-levels'><p>Level two.</p></section><p>%s</p>", f"Level two. {BODY}"),
+    ("<p>%s</p><p id='search-engines'>Engines.</p>", f"{BODY} Engines."),
+    ("<section class='alert-levels'><p><a href='/'>All levels</a></p></section><p>%s</p>", BODY),
+    ("<p>%s</p><p>So <math><mi>x</mi>=<mn>2</mn></math>.</p>", f"{BODY} So x=2."),
+    ("<div class='ad-slot'>Buy.</div><p>%s</p><div class='facebook-comments'><p>Nice.</p></div>", BODY),
+])
+def test_html_keeps_article_parts_that_look_like_junk(markup, want):
+    assert _main(markup.replace("%s", BODY)) == want
+
+
+def test_html_votes_of_the_host_take_out_its_strips(spark):
+    """Strips without a junk word, known only by the host's other pages; a host of few pages keeps them."""
+    def page(i, mark):
+        text = " ".join(f"{w}{i}" for w in ("alpha", "beta", "gamma") * 8)
+        inner = f"<h1>T{i}</h1><p>{text}</p>" if mark == "div" else f"<p>T{i}</p><p>{text}</p>"
+        return ("<body><div class='topstrip'>Free shipping today only.</div>"
+                f"<{mark} class='c{i}'>{inner}</{mark}><div class='tags'><a href='/{i}'>Tag {i}</a></div>"
+                "<div class='legalnote'>Copyright by us.</div></body>"), f"T{i} {text}"
+    table, want = [], {}
+    for host, mark, count in (("a", "article", 20), ("b", "div", 20), ("c", "section", 20), ("few", "article", 2)):
+        for i in range(count):
+            markup, text = page(i, mark)
+            table.append((len(table), f"http://{host}.example/{i}", markup))
+            tags = "" if host != "few" else f" Tag {i}"
+            want[len(table) - 1] = text if host != "few" else f"Free shipping today only. {text}{tags} Copyright by us."
+    # Copies of one page are no repetition, and a page of another kind is left as it is.
+    lone = "<body><div class='topstrip'>Only this notice stands here, and it is all there is.</div></body>"
+    table += [(100 + i, "http://copies.example/", page(1, "section")[0]) for i in range(30)] + [(99, "http://a.example/z", lone)]
+    want |= {100 + i: f"Free shipping today only. {page(1, 'section')[1]} Tag 1 Copyright by us." for i in range(30)}
+    want[99] = "Only this notice stands here, and it is all there is."
+    got = dict(rows(html.extract(spark.createDataFrame(table, "page_id long, url string, html string")), "page_id", "text"))
+    assert got == want
+
+
+@pytest.mark.parametrize("markup", [
+    "<b>" * 40_000 + "x</i>" * 40_000, "<b>" * 40_000 + "<h1></h1>" * 40_000, "<div class='a'>" * 40_000 + "x",
+    "<div class='a'>x</div>" * 40_000, "<i>" + "<div></i>" * 40_000, "<div class='nav'>" * 20_000 + "x" + "<article>" * 20_000])
+def test_html_broken_markup_takes_linear_time(markup):
+    import time
+    start = time.perf_counter()
+    page = html.Page(markup)
+    page.joined(page.elected({"": True}))
+    assert time.perf_counter() - start < 4
+
+
 def test_html_articles_of_the_pages(spark):
     import re
     from html import unescape
