@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerline.functions.quantiles import exact_quantiles, kth_smallest
-from ledgerline.operators import anomaly, drift, summary
+from ledgerline.operators import anomaly, drift, series_models, summary
 from ledgerline.operators import forecast as FC
 from ledgerline.streaming import rate_limit
 
@@ -99,15 +99,16 @@ def test_fourier_dataframe_form_matches_numpy(spark):
     pdf = pd.DataFrame({"series": "s", "period": [dt.date(2020 + (i // 12), i % 12 + 1, 1) for i in t], "t": t,
                         "value": y})
     got = FC.fourier_forecast(spark.createDataFrame(pdf), periods=6).orderBy("step").toPandas()
-    mse, fc, lo, hi = FC._ridge_np(y, 6, 12.0)
-    assert np.allclose(got["forecast"], fc, rtol=1e-9)
-    assert got["mse"].iloc[0] == pytest.approx(mse, rel=1e-9)
+    res, fc, _ = series_models.fourier_ridge(y[None], 6, 12)
+    assert np.allclose(got["forecast"], fc[0], rtol=1e-9)
+    assert got["mse"].iloc[0] == pytest.approx((res ** 2).mean(), rel=1e-9)
     assert got["period"].tolist()[:2] == ["2023-05-01", "2023-06-01"]
 
 
 def test_holt_winters_tracks_trend():
     y = 50 + 2.0 * np.arange(36) + 10 * np.sin(2 * np.pi * np.arange(36) / 12)
-    mse, fc, lo, hi = FC._holt_winters_np(y, 12, 12)
+    _, fc, half = (v[0] for v in series_models.holt_winters(y[None], 12, 12))
+    lo, hi = fc - half, fc + half
     truth = 50 + 2.0 * np.arange(36, 48) + 10 * np.sin(2 * np.pi * np.arange(36, 48) / 12)
     assert np.mean(np.abs(fc - truth)) < 6
     assert (lo <= fc).all() and (fc <= hi).all()

@@ -8,7 +8,7 @@ import pytest
 from ledgerline.functions import columns as C
 from ledgerline.functions.joins import fits
 from ledgerline.functions.quantiles import kth_smallest
-from ledgerline.operators import alerts, anomaly
+from ledgerline.operators import alerts, anomaly, series_models
 from ledgerline.operators import forecast as FC
 from ledgerline.operators.automl import _estimator
 
@@ -30,25 +30,12 @@ def test_forest_draws_full_samples_at_every_size(spark):
         assert [t[4][0] for t in model["trees"]] == [256] * 8
 
 
-def test_arima_grid_equals_plain_loop():
-    rng = np.random.default_rng(4)
-    y = np.cumsum(rng.normal(1, 2, 30)) + 50
-    dy, best = np.diff(y), np.inf
-    for phi in np.linspace(-0.95, 0.95, 39):
-        for theta in np.linspace(-0.95, 0.95, 39):
-            e = [dy[0]]
-            for i in range(1, len(dy)):
-                e.append(dy[i] - phi * dy[i - 1] - theta * e[-1])
-            best = min(best, float(np.sum(np.square(e))))
-    assert FC._arima111_np(y, 3, skip=1)[0] == pytest.approx(best / len(dy), rel=1e-9)
-
-
-def test_holt_winters_error_leaves_out_the_start_season():
+def test_forecast_error_leaves_out_the_start_season(spark):
     y = 50 + 2.0 * np.arange(36) + np.random.default_rng(2).normal(0, 5, 36)
-    mse = FC._holt_winters_np(y, 3, 12)[0]
-    grid = [np.mean(FC._hw_run(y, a, b, g, 12)[0][12:] ** 2) for a in np.arange(0.05, 1.0, 0.1)
-            for b in (0.0, 0.01, 0.05, 0.1, 0.2, 0.3) for g in (0.0, 0.05, 0.1, 0.2, 0.4)]
-    assert mse == pytest.approx(min(grid), rel=1e-9)
+    table = [(dt.datetime(2020 + i // 12, i % 12 + 1, 1), float(v)) for i, v in enumerate(y)]
+    got = FC.forecast(spark.createDataFrame(table, "d timestamp_ntz, v double"), "d", "v", 3, models=("Holt-Winters",))
+    res, *_ = series_models.holt_winters(y[None], 3, 12)
+    assert got.first()["mse"] == pytest.approx(np.mean(res[0, 12:] ** 2), rel=1e-6)
 
 
 def test_broadcast_check_counts_bytes(spark):
