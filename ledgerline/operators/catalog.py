@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.session import folder_exists
+from ledgerline.session import create_once
 
 LINEAGE_SCHEMA = "dataset_id string, operation string, details string, timestamp timestamp_ntz"
 
@@ -34,15 +34,31 @@ def next_version(existing: DataFrame | None, keys: dict) -> int:
 
 
 def write_version(df: DataFrame, root: str, dataset: str) -> int:
-    """Append ``df`` as the next version of ``dataset`` under a partitioned Parquet root."""
+    """Write ``df`` as the next version of ``dataset`` under a partitioned Parquet root; returns its number.
+
+    Writers may run at the same time: each number is reserved by one exclusive
+    file under ``_versions`` before anything is written, and a writer that
+    comes second takes the next one. Each version is written as a job of its
+    own folder, so one writer's commit leaves the others' files alone. A
+    writer that fails leaves its number unused.
+    """
     spark = df.sparkSession
-    existing = spark.read.parquet(root).select("dataset", "version") if folder_exists(spark, root) else None
+    existing = spark.read.parquet(root).select("dataset", "version") if _has_versions(spark, root) else None
     version = next_version(existing, {"dataset": dataset})
-    (df.withColumn("dataset", F.lit(dataset)).withColumn("version", F.lit(version))
-     .write.mode("append").partitionBy("dataset", "version").parquet(root))
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dataset)
+    while not create_once(spark, f"{root}/_versions/{name}/{version}"):
+        version += 1
+    df.drop("dataset", "version").write.parquet(f"{root}/dataset={name}/version={version}")
     return version
 
 
+def _has_versions(spark: SparkSession, root: str) -> bool:
+    """Whether a version has been written whole (reservations and running writers do not count)."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/dataset=*/version=*/[!_.]*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return found is not None and len(found) > 0
+
+
 def read_version(spark: SparkSession, root: str, dataset: str, version: int | None = None) -> DataFrame:
     """One version (partition-pruned); the latest when ``version`` is None."""
     all_rows = spark.read.parquet(root).where(F.col("dataset") == dataset)
