@@ -236,8 +236,3 @@ def quality_issues(df: DataFrame, prof: DataFrame | None = None, outliers_pct: f
         lines.append(ISSUE_OUTLIERS.format(pct=outliers_pct))
     data = [(i + 1, s) for i, s in enumerate(lines[:limit])]
     return spark.createDataFrame(data, "position int, issue string")
-
-
-def quality_class(score: Column) -> Column:
-    """Report wording for a score: good ≥ 85, fair ≥ 60, else poor."""
-    return F.when(score >= 85, "Good").when(score >= 60, "Fair").otherwise("Poor")
