@@ -4,49 +4,79 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
-    Imputer, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler)
+    Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions import columns as C
 from ledgerline.functions.joins import fits
+from ledgerline.functions.ordering import consecutive_index
+from ledgerline.session import cut_lineage
 
 # Label maps larger than this are joined with a shuffle instead of broadcast.
 BROADCAST_LABELS = 100_000
 
 
-def label_encode(df: DataFrame, cols: list[str], suffix: str = "") -> tuple[DataFrame, StringIndexerModel]:
-    """Codes in sorted label order (0..k−1); unseen or null → k. Returns the fitted model."""
-    model = StringIndexer(inputCols=cols, outputCols=[c + (suffix or "__code") for c in cols],
-                          stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
-    out = model.transform(df)
-    if not suffix:
-        for c in cols:
-            out = out.withColumn(c, F.col(c + "__code")).drop(c + "__code")
-    return out, model
+def label_map(df: DataFrame, col: str) -> DataFrame:
+    """(label, code, rows) for the distinct non-null labels of ``col``; codes 0..k−1 follow the labels' order.
 
+    The codes come from a range partitioning of the labels plus offsets, so no
+    list of labels is made on the driver; the table is checkpointed.
+    """
+    labels = (df.select(F.col(col).cast("string").alias("label")).where("label is not null")
+              .groupBy("label").agg(F.count(F.lit(1)).alias("rows")))
+    return cut_lineage(consecutive_index(labels, "label", "code")
+                       .select("label", F.col("code").cast("double").alias("code"), "rows"))
 
-def label_map(df: DataFrame, col: str) -> DataFrame:
-    """(label, code) for the distinct non-null labels of ``col`` in sorted order."""
-    model = StringIndexer(inputCol=col, outputCol="_code", stringOrderType="alphabetAsc").fit(
-        df.where(F.col(col).isNotNull()))
-    labels = model.labels
-    return df.sparkSession.createDataFrame([(lab, float(i)) for i, lab in enumerate(labels)],
-                                           "label string, code double")
+
+def look_up(df: DataFrame, col: str, mapping: DataFrame, out: str) -> DataFrame:
+    """``df`` with ``out``: the code of ``col``'s value in ``mapping``, null if it has none.
+
+    A small map, by its measured rows (``BROADCAST_LABELS``) and bytes, is broadcast. Of a large one only the labels
+    of at least a thousandth of the counted rows are (so at most 1000 of them); the others, none of which fills a
+    task, are joined with a shuffle.
+    """
+    key, value = "_look_up_label", "_look_up_code"
+    m = mapping.select(F.col("label").alias(key), F.col("code").alias(value))
+    keyed = df.withColumn(key, F.col(col).cast("string"))
+    if fits(m, BROADCAST_LABELS):
+        return keyed.join(F.broadcast(m), key, "left").withColumn(out, F.col(value)).drop(key, value)
+    if "rows" in mapping.columns:
+        often = F.col("rows") >= mapping.agg(F.sum("rows")).first()[0] / 1000
+        m = mapping.select(F.col("label").alias(key), F.col("code").alias(value), often.alias("_often"))
+        hot, m = m.where("_often").drop("_often"), m.where("not _often").drop("_often")
+        if fits(hot, 1000):
+            marked = keyed.join(F.broadcast(hot.withColumnRenamed(value, "_look_up_hot")), key, "left")
+            # Rows with a common label, and those without any, need no shuffle.
+            done = F.col("_look_up_hot").isNotNull() | F.col(key).isNull()
+            return (marked.where(done).withColumn(out, F.col("_look_up_hot")).drop(key, "_look_up_hot")
+                    .unionByName(marked.where(~done).drop("_look_up_hot").join(m, key, "left")
+                                 .withColumn(out, F.col(value)).drop(key, value)))
+        m = m.unionByName(hot)
+    return keyed.join(m, key, "left").withColumn(out, F.col(value)).drop(key, value)
+
+
+def label_encode(df: DataFrame, cols: list[str], suffix: str = "") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Codes in sorted label order (0..k−1); unseen or null → k. Returns the label map of each column too."""
+    out, maps = df, {c: label_map(df, c) for c in cols}
+    for c in cols:
+        unseen = float(maps[c].count())
+        to = c + (suffix or "__code")
+        out = look_up(out, c, maps[c], to).withColumn(to, F.coalesce(to, F.lit(unseen)))
+        if not suffix:
+            out = out.withColumn(c, F.col(to)).drop(to)
+    return out, maps
 
 
 def encode_with_map(df: DataFrame, col: str, mapping: DataFrame, unseen: str = "zero") -> DataFrame:
     """Replace ``col`` by its code; unseen labels → code 0 (``'zero'``) or the first class.
 
     Both fallbacks map to code 0 because codes follow sorted order, so the
-    first class is code 0. The label map is broadcast only when its rows
-    (``BROADCAST_LABELS``) and bytes, measured once, are few.
+    first class is code 0.
     """
-    m = mapping.withColumnRenamed("label", "_label").withColumnRenamed("code", "_code")
-    side = F.broadcast(m) if fits(m, BROADCAST_LABELS) else m
-    joined = df.join(side, df[col].cast("string") == side["_label"], "left")
-    return joined.withColumn(col, F.coalesce(F.col("_code"), F.lit(0.0))).drop("_label", "_code")
+    return (look_up(df, col, mapping, "_encoded").withColumn(col, F.coalesce("_encoded", F.lit(0.0)))
+            .drop("_encoded"))
 
 
 def date_parts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -74,12 +104,10 @@ def standard_scale(df: DataFrame, cols: list[str], population: bool = True) -> D
 
 def category_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     """pandas ``Categorical.codes``: sorted distinct labels 0..k−1, null → −1 (int)."""
-    out, model = label_encode(df, cols, suffix="__code")
-    for c, labels in zip(cols, model.labelsArray):
-        k = len(labels)
-        code = F.col(c + "__code")
-        out = out.withColumn(c, F.when(F.col(c).isNull() | (code >= k), F.lit(-1)).otherwise(code.cast("int"))) \
-                 .drop(c + "__code")
+    out = df
+    for c in cols:
+        out = (look_up(out, c, label_map(df, c), "_code").withColumn(c, F.coalesce(F.col("_code").cast("int"), F.lit(-1)))
+               .drop("_code"))
     return out
 
 
