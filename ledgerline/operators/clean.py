@@ -11,6 +11,7 @@ from ledgerline.functions.quantiles import column_quantiles, medians
 from ledgerline.operators.profile import _is_missing, value_counts_long
 
 # Feature-engineering suggestion texts.
+ACTION_CLIPPED = "Clipped extreme outliers to 1st and 99th percentiles."
 SUGGEST_DATETIME = "Extract Year, Month, Day, and Day of Week from '{column}' to capture seasonality."
 SUGGEST_ONE_HOT = "One-hot encode categorical feature '{column}' for machine learning algorithms."
 SUGGEST_LOG = "Apply log transform to skewed numerical column '{column}' (skewness: {skew})."
@@ -138,6 +139,34 @@ def clean_summary(before: DataFrame, after: DataFrame) -> DataFrame:
         "metric string, before bigint, after bigint")
 
 
+def clean_report(df: DataFrame, trees: int = 100, contamination: float = 0.05, seed: int = 42) -> DataFrame:
+    """One row on a full cleaning: duplicates removed, cells filled per column, outlying rows, quality before and after.
+
+    Outlying rows are those an isolation forest over the standardised numbers
+    flags before clipping; below 10 rows, or without numbers, nothing is clipped
+    and their count is null.
+    """
+    from ledgerline.operators import anomaly
+    from ledgerline.operators.profile import quality
+    from ledgerline.session import cut_lineage
+    deduped = cut_lineage(dedup(df))
+    rows = deduped.count()
+    imputed = {c: n for c, n in missing_counts(deduped).items() if n > 0}
+    filled = cut_lineage(impute(deduped))
+    num = [c for c in C.numeric_columns(filled) if not filled.where(F.col(c).isNotNull()).isEmpty()]
+    outliers = None
+    if num and rows >= 10:
+        flagged = anomaly.isolation_forest_flags(filled.select(*num), num, trees=trees, contamination=contamination,
+                                                 seed=seed, scale=True)
+        outliers = flagged.where("is_outlier").count()
+    cleaned = cut_lineage(clip_outliers(filled))
+    scores = [quality(d, seed=seed).first()["score"] for d in (df, cleaned)]
+    return df.sparkSession.createDataFrame(
+        [(df.count(), rows, imputed, outliers, ACTION_CLIPPED if outliers is not None else None, *scores)],
+        "rows_before bigint, rows_after bigint, imputed map<string, bigint>, outliers_detected bigint, action string, "
+        "score_before double, score_after double")
+
+
 def suggest_features(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     """Date extraction, one-hot (2 < distinct < 15) and log (distinct > 100, |skew| > 1.5)."""
     from ledgerline.functions.exprs import half_up, skewness_adjusted

@@ -167,7 +167,7 @@ def dq12(spark, sf):
     return clean.suggest_features(table(spark, sf, "events"))
 
 
-@register("DQ13", sql=f"""
+_CLEAN_SQL = f"""
 WITH t AS ({CUSTOMER_DIRTY_SQL}),
 d AS (SELECT DISTINCT * FROM t),
 f AS (SELECT c_custkey, c_name, c_nationkey,
@@ -180,12 +180,35 @@ SELECT round(least(greatest(c_custkey::DOUBLE, lo1), hi1), 4) AS c_custkey, c_na
        round(least(greatest(c_nationkey::DOUBLE, lo2), hi2), 4) AS c_nationkey,
        round(least(greatest(c_acctbal, lo3), hi3), 4) AS c_acctbal, c_mktsegment
 FROM f, b
-""")
+"""
+
+
+@register("DQ13", sql=_CLEAN_SQL)
 def dq13(spark, sf):
     out = clean.clean(customer_dirty(spark, sf))
     return _round_cols(out, ["c_custkey", "c_nationkey", "c_acctbal"])
 
 
+@register("DQ13_SUMMARY", sql=f"""
+WITH before_rows AS ({CUSTOMER_DIRTY_SQL}), after_rows AS ({_CLEAN_SQL}),
+missing AS (SELECT {{}} FROM before_rows), left_over AS (SELECT {{}} FROM after_rows)
+SELECT 'rows' AS metric, (SELECT count(*) FROM before_rows) AS "before", (SELECT count(*) FROM after_rows) AS "after"
+UNION ALL SELECT 'missing_cells', (SELECT n FROM missing), (SELECT n FROM left_over)
+UNION ALL SELECT 'duplicate_rows',
+  (SELECT count(*) FROM before_rows) - (SELECT count(*) FROM (SELECT DISTINCT * FROM before_rows)),
+  (SELECT count(*) FROM after_rows) - (SELECT count(*) FROM (SELECT DISTINCT * FROM after_rows))
+""".replace("{}", "CAST(" + " + ".join(f"count(*) - count({c})" for c in (
+    "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")) + " AS BIGINT) AS n"))
+def dq13_summary(spark, sf):
+    df = customer_dirty(spark, sf)
+    return clean.clean_summary(df, clean.clean(df))
+
+
+@register("DQ13_REPORT", note="cleaning report with forest outliers and quality before and after; rows-only")
+def dq13_report(spark, sf):
+    return clean.clean_report(customer_dirty(spark, sf))
+
+
 @register("DQ14", sql="""
 SELECT event_id, ts, user_id, event_type, value, props FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1
