@@ -128,11 +128,11 @@ def clean(df: DataFrame, exact: bool = True) -> DataFrame:
 
 def clean_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows, missing cells and duplicates before and after cleaning."""
+    from ledgerline.operators.profile import Measured
+
     def facts(d):
-        rows = d.count()
-        miss = sum(missing_counts(d).values())
-        dup = rows - d.distinct().count()
-        return rows, miss, dup
+        m = Measured(d)
+        return m.rows, m.missing, m.duplicates
     b, a = facts(before), facts(after)
     return before.sparkSession.createDataFrame(
         [("rows", b[0], a[0]), ("missing_cells", b[1], a[1]), ("duplicate_rows", b[2], a[2])],
