@@ -14,16 +14,19 @@ do not count.
   independently (``applyInPandas`` on (client, piece)). A client that never
   pauses for a whole window remains one sequential piece: the rule itself
   is sequential.
-* ``decide_stream`` (exact, streaming) — the same rule as a stateful
-  operator with ``applyInPandasWithState``; the state per client is the at
-  most ``limit`` accepted timestamps still inside the window.
+* ``decide_stream`` (streaming) — the same rule as a stateful operator with
+  ``applyInPandasWithState``. A client's state is the accepted timestamps
+  that a request above the watermark can still see; an event-time timer
+  drops it once the client has been idle for a window past the watermark.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,8 +63,8 @@ def offered_load(df: DataFrame, key: str, ts: str, window_s: int = 60, limit: in
             .withColumn("breach", F.col("prior_requests") >= limit))
 
 
-def _decide_sorted(times_us, limit: int, window_us: int, state: deque | None = None):
-    accepted = state if state is not None else deque()
+def _decide_sorted(times_us, limit: int, window_us: int):
+    accepted = deque()
     out = []
     for t in times_us:
         while accepted and t - accepted[0] >= window_us:
@@ -71,7 +74,7 @@ def _decide_sorted(times_us, limit: int, window_us: int, state: deque | None = N
         else:
             out.append(True)
             accepted.append(t)
-    return out, accepted
+    return out
 
 
 def decide(df: DataFrame, key: str, ts: str, id_col: str, window_s: int = 60, limit: int = 100,
@@ -109,7 +112,7 @@ def decide(df: DataFrame, key: str, ts: str, id_col: str, window_s: int = 60, li
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_t", id_col])
-        flags, _ = _decide_sorted(pdf["_t"].tolist(), limit, window_us)
+        flags = _decide_sorted(pdf["_t"].tolist(), limit, window_us)
         return pd.DataFrame({id_col: pdf[id_col].to_numpy(), key: pdf[key].to_numpy(), ts: pdf[ts].to_numpy(),
                              "accepted": flags})
 
@@ -124,23 +127,58 @@ def decide(df: DataFrame, key: str, ts: str, id_col: str, window_s: int = 60, li
     return short.unionByName(long)
 
 
+def _accept(times_us, accepted: list, limit: int, window_us: int) -> list[bool]:
+    """Decide requests in time order against a sorted list of accepted timestamps, which grows by the accepted ones."""
+    out = []
+    for t in times_us:
+        end = bisect_right(accepted, t)
+        free = end - bisect_right(accepted, t - window_us, 0, end) < limit
+        if free:
+            accepted.insert(end, t)
+        out.append(free)
+    return out
+
+
 def decide_stream(stream: DataFrame, key: str, ts: str, id_col: str, window_s: int = 60, limit: int = 100,
-                  watermark: str = "1 hour") -> DataFrame:
-    """Streaming form: state = accepted timestamps still in the window, per client."""
+                  watermark: str = "1 hour", rows_out: int = 50_000) -> DataFrame:
+    """Accept/reject per request as it arrives: ``id_col``, ``key``, ``ts``, ``accepted``.
+
+    The requests of a micro-batch are decided in (time, id) order. A request
+    older than some already decided is judged by the accepted ones of the
+    window before its own time; it does not change what was decided. Requests
+    older than the watermark get no row (Spark counts them as dropped), as do
+    those without a time. In order of time the result is that of ``decide``.
+
+    State: the accepted timestamps later than the watermark less one window,
+    and none from the moment the watermark is a window past the last one. Of
+    a client's arriving rows only time and id are held
+    for ordering, and decisions leave in frames of ``rows_out`` rows; the trigger's size bounds both.
+    """
     window_us = window_s * _MICROS
-    src = stream.withWatermark(ts, watermark).select(id_col, key, ts,
-                                                     F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    src = (stream.where(F.col(ts).isNotNull()).withWatermark(ts, watermark)
+           .select(id_col, key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")))
     fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     out_schema = f"{id_col} {fields[id_col]}, {key} {fields[key]}, {ts} {fields[ts]}, accepted boolean"
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = deque(state.get[0]) if state.exists else deque()
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_t", id_col])
-        flags, kept = _decide_sorted(pdf["_t"].tolist(), limit, window_us, prev)
-        last = pdf["_t"].max()
-        state.update((list(t for t in kept if last - t < window_us),))
-        yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), key: pdf[key].to_numpy(), ts: pdf[ts].to_numpy(),
-                            "accepted": flags})
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = [(b["_t"].to_numpy(), b[id_col].to_numpy(), b[ts].to_numpy()) for b in batches]
+        times, ids, stamps = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((ids, times))
+        times, ids, stamps = times[order], ids[order], stamps[order]
+        watermark_us = state.getCurrentWatermarkMs() * 1000
+        accepted = [t for t in (state.get[0] if state.exists else []) if t > watermark_us - window_us]
+        for at in range(0, len(times), rows_out):
+            some = times[at:at + rows_out]
+            flags = _accept(some.tolist(), accepted, limit, window_us)
+            yield pd.DataFrame({id_col: ids[at:at + rows_out], key: k[0], ts: stamps[at:at + rows_out],
+                                "accepted": flags})
+        if accepted:
+            state.update((accepted,))
+            # Fires when the watermark is past this moment; a request above it no longer sees the last one.
+            state.setTimeoutTimestamp(max((accepted[-1] + window_us) // 1000 + 1, watermark_us // 1000 + 1))
 
     return src.groupBy(key).applyInPandasWithState(step, out_schema, "accepted_us array<bigint>", "append",
-                                                   GroupStateTimeout.NoTimeout)
+                                                   GroupStateTimeout.EventTimeTimeout)
