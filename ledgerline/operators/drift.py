@@ -54,8 +54,9 @@ def ks_statistics(train: DataFrame, current: DataFrame, features: list[str], buc
     # offsets has at most buckets rows per feature.
     gaps = local.join(F.broadcast(offsets), ["feature", "bucket"]).select(
         "feature", "n1", "n2",
-        F.abs((F.col("o1") + F.col("l1")) / F.col("n1") - (F.col("o2") + F.col("l2")) / F.col("n2")).alias("gap"))
-    d = gaps.groupBy("feature").agg(F.first("n1").alias("n_train"), F.first("n2").alias("n_current"),
+        # A feature without a value in one of the samples has no gap, and no line in the result.
+        F.abs(F.try_divide(F.col("o1") + F.col("l1"), "n1") - F.try_divide(F.col("o2") + F.col("l2"), "n2")).alias("gap"))
+    d = gaps.where("gap IS NOT NULL").groupBy("feature").agg(F.first("n1").alias("n_train"), F.first("n2").alias("n_current"),
                                     F.max("gap").alias("ks_statistic"))
     en = F.col("n_train") * F.col("n_current") / (F.col("n_train") + F.col("n_current"))
     p = kolmogorov_sf(F.sqrt(en) * F.col("ks_statistic"))
@@ -64,6 +65,56 @@ def ks_statistics(train: DataFrame, current: DataFrame, features: list[str], buc
                     F.col("n_current").cast("bigint").alias("n_current"), "ks_statistic", p.alias("p_value")))
 
 
+def _running(counts: DataFrame, by: list[str], names: list[str], buckets: int) -> DataFrame:
+    """Running sums ``<name>_upto`` over value and totals ``<name>_all``, per group of ``by``.
+
+    A group is cut into value ranges; sums run inside a range and the ranges'
+    totals give the offsets, so a large group is spread over many tasks.
+    """
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", probs, 1000).alias("_cuts"))
+    ranged = counts.join(cuts, by).withColumn(
+        "_range", F.size(F.filter("_cuts", lambda b: b < F.col("value")))).drop("_cuts")
+    inside = (Window.partitionBy(*by, "_range").orderBy("value")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in names]).select(
+        *by, "_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}_before") for n in names],
+        *[F.sum(f"_{n}").over(Window.partitionBy(*by)).alias(f"{n}_all") for n in names])
+    local = ranged.withColumns({f"_{n}_in": F.sum(n).over(inside) for n in names})
+    return (local.join(offsets, [*by, "_range"])
+            .withColumns({f"{n}_upto": F.col(f"_{n}_before") + F.col(f"_{n}_in") for n in names})
+            .drop("_range", *[f"_{n}_{part}" for n in names for part in ("before", "in")]))
+
+
+def ks_by_group(train: DataFrame, current: DataFrame, by: list[str], alpha: float = 0.05, buckets: int = 32,
+                min_size: int = 6) -> DataFrame:
+    """ML16 of many current samples against one training sample, from counted values.
+
+    ``train``: feature, value, n; ``current``: the ``by`` columns, feature,
+    value, n. Between two values of a sample its share is constant and the
+    training share only rises, so the largest gap lies at a sample's value or
+    just below it: the training share is looked up at those values alone, and
+    training values are never multiplied by the number of samples.
+    """
+    points = (train.select("feature", "value", "n")
+              .unionByName(current.select("feature", "value", F.lit(0).cast("long").alias("n")))
+              .groupBy("feature", "value").agg(F.sum("n").alias("t")))
+    known = _running(points, ["feature"], ["t"], buckets)
+    mine = _running(current.groupBy(*by, "feature", "value").agg(F.sum("n").alias("c")), [*by, "feature"], ["c"],
+                    buckets)
+    here = F.abs(F.col("t_upto") / F.col("t_all") - F.col("c_upto") / F.col("c_all"))
+    below = F.abs((F.col("t_upto") - F.col("t")) / F.col("t_all") - (F.col("c_upto") - F.col("c")) / F.col("c_all"))
+    d = (mine.join(known.where("t_all > 0"), ["feature", "value"])
+         .groupBy(*by, "feature").agg(F.first("t_all").alias("n_train"), F.first("c_all").alias("n_current"),
+                                      F.max(F.greatest(here, below)).alias("ks")))
+    en = F.col("n_train") * F.col("n_current") / (F.col("n_train") + F.col("n_current"))
+    p = kolmogorov_sf(F.sqrt(en) * F.col("ks"))
+    return (d.where((F.col("n_train") >= min_size) & (F.col("n_current") >= min_size))
+            .select(*by, "feature", "n_train", "n_current", F.round("ks", 4).alias("ks_statistic"),
+                    F.round(p, 4).alias("p_value"), (p < alpha).alias("drift_detected")))
+
+
 def drift(train: DataFrame, current: DataFrame, features: list[str], alpha: float = 0.05) -> DataFrame:
     """ML16: per feature KS statistic, p-value (4 dp) and drift flag (p < alpha)."""
     ks = ks_statistics(train, current, features)
@@ -71,13 +122,13 @@ def drift(train: DataFrame, current: DataFrame, features: list[str], alpha: floa
                      F.round("p_value", 4).alias("p_value"), (F.col("p_value") < alpha).alias("drift_detected"))
 
 
-def model_health(drift_df: DataFrame, target_present: bool = True) -> DataFrame:
-    """ML17: drift %, estimated model decay (.35 or .25 × drift %) and status."""
+def model_health(drift_df: DataFrame, target_present: bool = True, by: tuple = ()) -> DataFrame:
+    """ML17: drift %, estimated model decay (.35 or .25 × drift %) and status; one row, or one per group of ``by``."""
     pct = F.round(F.coalesce(F.avg(F.col("drift_detected").cast("double")) * 100, F.lit(0.0)), 2)
-    s = drift_df.agg(pct.alias("drift_percentage"), F.count(F.lit(1)).alias("features_tested"))
+    s = drift_df.groupBy(*by).agg(pct.alias("drift_percentage"), F.count(F.lit(1)).alias("features_tested"))
     factor = 0.35 if target_present else 0.25
     decay = F.round(F.col("drift_percentage") * factor, 2)
     status = (F.when(decay > 25.0, "critical")
               .when((decay > 15.0) | (F.col("drift_percentage") > 25.0), "at_risk").otherwise("healthy"))
-    return s.select("drift_percentage", "features_tested", decay.alias("model_drift_percentage"),
+    return s.select(*by, "drift_percentage", "features_tested", decay.alias("model_drift_percentage"),
                     status.alias("status"), status.isin("at_risk", "critical").alias("retraining_recommended"))

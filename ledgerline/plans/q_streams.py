@@ -63,3 +63,23 @@ def st2(spark, sf):
                                          "event string, severity string, metric string, anomaly_count bigint, "
                                          "anomaly_percentage double, action_recommended string, is_read boolean, "
                                          "batch_id int")
+
+
+@register("ST2_RULES", note="AL1-AL4 on closed 30-day windows of arriving events; rows-only, tests against the batch rules")
+def st2_rules(spark, sf):
+    """Events by type, compared with those of the table's first 30 days."""
+    from pyspark.sql import functions as F
+    first = table(spark, sf, "events").agg(F.min("ts")).first()[0]
+    folder = scratch_path(spark, "st2-rules")
+    if first is not None:
+        known = table(spark, sf, "events").where(F.col("ts") < F.lit(first) + F.expr("INTERVAL 30 DAYS"))
+        features = ["value", "user_id"]
+        alerts_stream.watch(
+            _event_stream(spark, sf), "ts", "event_type", ["event_id", "user_id", "value", "props"], folder,
+            target="value", threshold=110.0, training=alerts_stream.training_counts(known, features),
+            features=tuple(features), model_id="event-value-model", window="30 days")
+    if folder_exists(spark, f"{folder}/alerts"):
+        return spark.read.parquet(f"{folder}/alerts").drop("batch_id")
+    return spark.createDataFrame([], "project_id string, event string, severity string, metric string, "
+                                     "explanation string, action_recommended string, source_id string, "
+                                     "priority int, is_read boolean")
