@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ledgerline.functions import columns as C
 from ledgerline.functions.exprs import as_timestamp, half_up, ts_literal
 from ledgerline.functions.ordering import consecutive_index
+from ledgerline.session import cut_lineage
 
 
 def _metric(df: DataFrame, metric: str):
@@ -33,6 +34,7 @@ def monthly(df: DataFrame, metric: str, date: str, fill_gaps: bool = True) -> Da
             .groupBy(F.trunc(F.col("_d"), "month").alias("month"))
             .agg(F.coalesce(F.sum("_m"), F.lit(0.0)).alias("value")))
     if fill_gaps:
+        sums = cut_lineage(sums)  # one row per month; the grid and the values both come from it
         span = sums.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
         months = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month"))
         sums = (months.join(sums, "month", "left")
@@ -57,7 +59,6 @@ def top_segments(df: DataFrame, metric: str, by: str) -> DataFrame:
     total is one collected number. Ranks are a distributed consecutive index over
     (total desc, segment), whatever the number of segments.
     """
-    from ledgerline.session import cut_lineage
     g = cut_lineage(df.where(F.col(by).isNotNull()).groupBy(by)
                     .agg(F.coalesce(F.sum(_metric(df, metric)), F.lit(0.0)).alias("total")))
     grand = g.agg(F.sum("total").alias("t")).first()["t"] or 0.0
@@ -151,7 +152,11 @@ def _empty_drill(spark):
 # ---------------------------------------------------------------- BQ5
 def trend_projection(df: DataFrame, metric: str, date: str) -> DataFrame:
     """OLS on the month index of monthly sums; next month ± 1.96·σ (σ population)."""
-    m = monthly(df, metric, date, fill_gaps=False)
+    return project_months(monthly(df, metric, date, fill_gaps=False))
+
+
+def project_months(m: DataFrame) -> DataFrame:
+    """``trend_projection`` of a ``monthly`` table; no row below three months."""
     w = Window.orderBy("month")
     whole = Window.partitionBy()
     idx = (F.row_number().over(w) - 1).cast("double")
@@ -241,22 +246,23 @@ def dimension_table(df: DataFrame, metric: str, date: str, threshold: int = 15)
 
 
 # ---------------------------------------------------------------- BQ9
-def root_cause(df: DataFrame, metric: str | None = None, date: str | None = None,
-               dims: list[str] | None = None, fill_missing: bool = False) -> DataFrame:
-    """Why did the KPI fall in the last month? One finding per dimension.
+TOTAL = "__total__"
 
-    For every dimension the segment with the largest previous→current drop,
-    its share of the overall drop, and both values; sorted by share.
+
+def worst_segments(df: DataFrame, metric: str | None = None, date: str | None = None,
+                   dims: list[str] | None = None, fill_missing: bool = False):
+    """(best, period, metric): per dimension the segment with the largest fall of the last month, and the totals.
+
+    ``best`` has dimension, segment, previous_value, current_value and drop;
+    the dimension ``TOTAL`` holds both months' sums. None without two months
+    of rows or without a dimension.
 
     Jobs: (1) date span plus a distinct-count screen of candidate dimensions,
     (2) exact distinct counts for the few low-cardinality candidates, (3) the
     answer: the two-month slice (a literal date range, pushed into the scan)
-    is unpivoted to (dimension, segment) — plus a ``__total__`` pseudo
-    dimension carrying the month totals — and aggregated once, map-side
-    combined; ranking keeps one row per dimension before the totals are
-    attached, so the only un-partitioned window sees at most #dims + 1 rows.
+    is unpivoted to (dimension, segment) and aggregated once, map-side
+    combined; ranking keeps one row per dimension.
     """
-    spark = df.sparkSession
     cols = df.columns
     metric = C.resolve_name(cols, metric) or C.find_column(cols, C.ROOT_CAUSE_METRIC_KEYWORDS) \
         or C.numeric_columns(df)[-1]
@@ -268,10 +274,10 @@ def root_cause(df: DataFrame, metric: str | None = None, date: str | None = None
         F.min("_d").alias("lo"), F.max("_d").alias("hi"),
         *[F.approx_count_distinct(F.col(c), 0.02).alias(f"a{i}") for i, c in enumerate(others)]).first()
     if span["hi"] is None:
-        return _empty_root_cause(spark)
+        return None
     curr = span["hi"].date().replace(day=1)
     if span["lo"].date().replace(day=1) >= curr:
-        return _empty_root_cause(spark)  # fewer than two monthly periods
+        return None  # fewer than two monthly periods
     prev = _sub_month(curr)
     if dims is None:
         maybe = [c for i, c in enumerate(others) if span[f"a{i}"] < 60]
@@ -279,13 +285,13 @@ def root_cause(df: DataFrame, metric: str | None = None, date: str | None = None
         low = {c for c in maybe if exact[c] < 15}
         dims = strings + [c for c in others if c in low]
     if not dims:
-        return _empty_root_cause(spark)
+        return None
     lo, mid, hi = ts_literal(prev), ts_literal(curr.isoformat()), ts_literal(_add_month(curr))
     sliced = (df.select(ts.alias("_d"), _metric(df, metric).alias("_m"),
                         *[F.col(d).cast("string").alias(f"_dim{i}") for i, d in enumerate(dims)])
               .where((F.col("_d") >= lo) & (F.col("_d") < hi)))
     pairs = [F.struct(F.lit(d).alias("dimension"), F.col(f"_dim{i}").alias("segment")) for i, d in enumerate(dims)]
-    pairs.append(F.struct(F.lit("__total__").alias("dimension"), F.lit("*").alias("segment")))
+    pairs.append(F.struct(F.lit(TOTAL).alias("dimension"), F.lit("*").alias("segment")))
     long = sliced.select("_d", "_m", F.explode(F.array(*pairs)).alias("kv"))
     is_prev = F.col("_d") < mid
     g = (long.where(F.col("kv.segment").isNotNull())
@@ -294,17 +300,31 @@ def root_cause(df: DataFrame, metric: str | None = None, date: str | None = None
               F.coalesce(F.sum(F.when(~is_prev, F.col("_m"))), F.lit(0.0)).alias("current_value"),
               F.count_if(is_prev).alias("_np"), F.count_if(~is_prev).alias("_nc")))
     if not fill_missing:
-        g = g.where((F.col("dimension") == "__total__") | ((F.col("_np") > 0) & (F.col("_nc") > 0)))
+        g = g.where((F.col("dimension") == TOTAL) | ((F.col("_np") > 0) & (F.col("_nc") > 0)))
     g = g.withColumn("drop", F.col("previous_value") - F.col("current_value"))
     w = Window.partitionBy("dimension").orderBy(F.desc("drop"), F.asc("segment"))
-    best = g.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    best = g.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_np", "_nc")
+    return best, f"{_month_name(prev)} ➔ {_month_name(curr.isoformat())}", metric
+
+
+def root_cause(df: DataFrame, metric: str | None = None, date: str | None = None,
+               dims: list[str] | None = None, fill_missing: bool = False) -> DataFrame:
+    """Why did the KPI fall in the last month? One finding per dimension.
+
+    For every dimension the segment with the largest previous→current drop
+    (``worst_segments``), its share of the overall drop, and both values;
+    sorted by share. No rows if the KPI did not fall.
+    """
+    found = worst_segments(df, metric, date, dims, fill_missing)
+    if found is None:
+        return _empty_root_cause(df.sparkSession)
+    best, period, _ = found
     whole = Window.partitionBy()  # at most #dims + 1 rows here
-    tot_prev = F.max(F.when(F.col("dimension") == "__total__", F.col("previous_value"))).over(whole)
-    tot_curr = F.max(F.when(F.col("dimension") == "__total__", F.col("current_value"))).over(whole)
+    tot_prev = F.max(F.when(F.col("dimension") == TOTAL, F.col("previous_value"))).over(whole)
+    tot_curr = F.max(F.when(F.col("dimension") == TOTAL, F.col("current_value"))).over(whole)
     diff = F.col("_tc") - F.col("_tp")
-    period = f"{_month_name(prev)} ➔ {_month_name(curr.isoformat())}"
     out = (best.withColumn("_tp", tot_prev).withColumn("_tc", tot_curr)
-           .where((F.col("dimension") != "__total__") & (F.col("drop") > 0) & (diff < 0))
+           .where((F.col("dimension") != TOTAL) & (F.col("drop") > 0) & (diff < 0))
            .select("dimension", "segment",
                    F.round("drop", 2).alias("segment_drop_value"),
                    F.round(F.col("drop") / F.abs(diff) * 100, 2).alias("contribution_percentage"),
@@ -387,7 +407,10 @@ def classify_questions(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def ask(df: DataFrame, question: str) -> DataFrame:
-    """Answer one question with the routed operator (a lazy DataFrame)."""
+    """The routed operator's table for one question; ``answers.answer`` gives text and chart.
+
+    Raises ValueError if the table lacks a column that the question needs.
+    """
     spark = df.sparkSession
     intent = classify_questions(spark.createDataFrame([(question,)], "text string")).first()["intent"]
     roles = C.business_columns(df)
@@ -397,11 +420,15 @@ def ask(df: DataFrame, question: str) -> DataFrame:
         if not roles["region"] or not metric_top:
             raise ValueError("no region or metric column found")
         return top_segments(df, metric_top, roles["region"])
+    if intent in ("decline", "forecast") and not (metric and roles["date"]):
+        raise ValueError("no metric or date column found")
     if intent == "decline":
         return biggest_decline(df, metric, roles["date"])
     if intent == "forecast":
         return trend_projection(df, metric, roles["date"])
     if intent == "bottom":
+        if not metric or not (roles["product"] or roles["region"]):
+            raise ValueError("no segment or metric column found")
         return bottom_segments(df, metric, roles["product"] or roles["region"])
     return insights(df)
 
