@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import columns as C
 from ledgerline.functions.exprs import kolmogorov_sf
+from ledgerline.functions.ordering import running_totals
 
 
 def _long(df: DataFrame, features: list[str], tag: int) -> DataFrame:
@@ -65,28 +66,6 @@ def ks_statistics(train: DataFrame, current: DataFrame, features: list[str], buc
                     F.col("n_current").cast("bigint").alias("n_current"), "ks_statistic", p.alias("p_value")))
 
 
-def _running(counts: DataFrame, by: list[str], names: list[str], buckets: int) -> DataFrame:
-    """Running sums ``<name>_upto`` over value and totals ``<name>_all``, per group of ``by``.
-
-    A group is cut into value ranges; sums run inside a range and the ranges'
-    totals give the offsets, so a large group is spread over many tasks.
-    """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", probs, 1000).alias("_cuts"))
-    ranged = counts.join(cuts, by).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda b: b < F.col("value")))).drop("_cuts")
-    inside = (Window.partitionBy(*by, "_range").orderBy("value")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in names]).select(
-        *by, "_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}_before") for n in names],
-        *[F.sum(f"_{n}").over(Window.partitionBy(*by)).alias(f"{n}_all") for n in names])
-    local = ranged.withColumns({f"_{n}_in": F.sum(n).over(inside) for n in names})
-    return (local.join(offsets, [*by, "_range"])
-            .withColumns({f"{n}_upto": F.col(f"_{n}_before") + F.col(f"_{n}_in") for n in names})
-            .drop("_range", *[f"_{n}_{part}" for n in names for part in ("before", "in")]))
-
-
 def ks_by_group(train: DataFrame, current: DataFrame, by: list[str], alpha: float = 0.05, buckets: int = 32,
                 min_size: int = 6) -> DataFrame:
     """ML16 of many current samples against one training sample, from counted values.
@@ -100,8 +79,8 @@ def ks_by_group(train: DataFrame, current: DataFrame, by: list[str], alpha: floa
     points = (train.select("feature", "value", "n")
               .unionByName(current.select("feature", "value", F.lit(0).cast("long").alias("n")))
               .groupBy("feature", "value").agg(F.sum("n").alias("t")))
-    known = _running(points, ["feature"], ["t"], buckets)
-    mine = _running(current.groupBy(*by, "feature", "value").agg(F.sum("n").alias("c")), [*by, "feature"], ["c"],
+    known = running_totals(points, ["feature"], ["t"], buckets)
+    mine = running_totals(current.groupBy(*by, "feature", "value").agg(F.sum("n").alias("c")), [*by, "feature"], ["c"],
                     buckets)
     here = F.abs(F.col("t_upto") / F.col("t_all") - F.col("c_upto") / F.col("c_all"))
     below = F.abs((F.col("t_upto") - F.col("t")) / F.col("t_all") - (F.col("c_upto") - F.col("c")) / F.col("c_all"))

@@ -265,17 +265,39 @@ SELECT 'classification' AS problem_type, 'l_returnflag' AS target, n AS row_coun
        CASE m.model_name WHEN 'XGBoost' THEN '★★★★★'
                          WHEN 'Random Forest' THEN CASE WHEN n < 10000 THEN '★★★★★' ELSE '★★★★☆' END
                          WHEN 'LightGBM' THEN CASE WHEN n > 2000 THEN '★★★★★' ELSE '★★★☆☆' END
-                         ELSE CASE WHEN n > 5000 THEN '★★★★☆' ELSE '★★☆☆☆' END END AS suitability
-FROM s, (VALUES ('XGBoost', 'XGBoost (Gradient Boosted Decision Trees)', 'Best Overall Accuracy', TRUE),
-                ('Random Forest', 'Random Forest (Ensemble Averaging)', 'Most Reliable & Explainable', TRUE),
-                ('LightGBM', 'LightGBM (High-Speed Gradient Booster)', 'Ultra Fast Training', FALSE),
-                ('Neural Network', 'Neural Network (Multi-Layer Perceptron)', 'Deep Pattern Matcher', FALSE))
-        AS m(model_name, display_name, badge, rec)
+                         ELSE CASE WHEN n > 5000 THEN '★★★★☆' ELSE '★★☆☆☆' END END AS suitability,
+       m.plain_english_advice, m.business_impact, m.best_when,
+       'Predicting Category Column (''l_returnflag''): You are predicting discrete groups or outcomes (' || k
+       || ' distinct classes found). Tree Ensembles (XGBoost, Random Forest) are recommended because they discover '
+       || 'hidden decision rules between customer attributes without requiring complex data transformations.'
+       AS business_summary
+FROM s, (VALUES
+  ('XGBoost', 'XGBoost (Gradient Boosted Decision Trees)', '🏆 Best Overall Accuracy', TRUE,
+   'Top recommendation for predicting business categories. It builds successive smart decision trees to achieve maximum predictive accuracy.',
+   'Reduces false prediction errors by up to 25% on complex dataset patterns.', 'When accuracy is your #1 priority.'),
+  ('Random Forest', 'Random Forest (Ensemble Averaging)', '🛡️ Most Reliable & Explainable', TRUE,
+   'Combines hundreds of independent decision trees to produce reliable, trustworthy predictions resistant to data errors.',
+   'Extremely stable; provides clear reports on which features drive outcomes most.',
+   'When you need clean explanations for business stakeholders.'),
+  ('LightGBM', 'LightGBM (High-Speed Gradient Booster)', '🚀 Ultra Fast Training', FALSE,
+   'Optimized high-speed boosting algorithm built for very large business datasets.',
+   'Trains in seconds even on large datasets with hundreds of thousands of records.',
+   'When processing massive datasets quickly.'),
+  ('Neural Network', 'Neural Network (Multi-Layer Perceptron)', '🧠 Deep Pattern Matcher', FALSE,
+   'Deep artificial neural network that learns multi-layered complex interactions.',
+   'Captures intricate non-linear relationships across many columns.',
+   'When you have large datasets with complex relationships.'))
+        AS m(model_name, display_name, badge, rec, plain_english_advice, business_impact, best_when)
 """)
 def ml19(spark, sf):
     return automl.advise(table(spark, sf, "lineitem"), "l_returnflag", "classification")
 
 
+@register("ML6_ROC", note="ROC points of every binary candidate on the holdout; rows-only, curve tested against NumPy")
+def ml6_roc(spark, sf):
+    return _trained(spark, sf, "subset").roc
+
+
 @register("SRC7", note="scored table written beside the input and read back; rows-only")
 def src7(spark, sf):
     path = scratch_path(spark, "scored")
