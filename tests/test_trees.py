@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerline.operators import automl, nets, trees
@@ -158,3 +159,47 @@ def test_net_learns_a_curve():
     y = ((x ** 2).sum(axis=1) > 1.4).astype(float)
     layers = nets.fit_net(x, y, 2, 150, 3)
     assert (nets.shares(x, layers).argmax(axis=1) == y).mean() > 0.95
+
+
+@pytest.mark.parametrize("n_classes", [0, 2, 3])
+def test_boosting_in_spark_equals_the_one_of_a_task(spark, n_classes, monkeypatch):
+    monkeypatch.setattr(trees, "PACK", 100)          # several blocks, also on the driver's side
+    prepared = _table(spark, 900, n_classes)
+    fits = [trees.Fit("Gradient Boosting", by, v, 1, False, 4) for by, v in (("", 0), ("fold", 0), ("fold", 2))]
+    cuts = trees.quantile_cuts(prepared.where("_is_train").select(vector_to_array("features").alias("features")), 4)
+    rows = trees.binned(prepared, cuts)
+    rounds = trees.KEEP + 2                           # the scores are written once on the way
+    (a, model_a), (b, model_b) = (trees.boosted(rows, fits, 4, n_classes, rounds, 3, limit=limit)
+                                  for limit in (trees.LIMIT, 100))
+    key = ["fit", "setting", "row"]
+    x, y = (d.toPandas().sort_values(key).reset_index(drop=True) for d in (a, b))
+    assert len(x) and x[[*key, "label"]].equals(y[[*key, "label"]])
+    assert np.allclose(np.stack(x["shares"]), np.stack(y["shares"])) and np.allclose(x["prediction"], y["prediction"])
+    x, y = (d.orderBy("setting").collect() for d in (model_a, model_b))
+    assert len(x) == len(y) == rounds * (3 if n_classes == 3 else 1)
+    assert np.allclose(np.frombuffer(x[0]["gains"]), np.frombuffer(y[0]["gains"]))
+    assert np.allclose(x[0]["shares"], y[0]["shares"])
+    for r, s in zip(x, y):
+        t, u = trees.Tree.unpack(bytes(r["data"])), trees.Tree.unpack(bytes(s["data"]))
+        assert (t.feature == u.feature).all() and np.allclose(t.value, u.value)
+
+
+def test_small_trees_are_followed_like_large_ones(monkeypatch):
+    draw = np.random.default_rng(5)
+    bins, y = draw.integers(0, 256, (2000, 3)).astype(np.uint8), draw.random(2000)
+    tree = trees.grow(bins, *trees.statistics(y, np.ones(2000), 0), np.ones(2000), 3, 1, 4)
+    fast = tree.leaves(bins)
+    monkeypatch.setattr(trees, "SMALL_TREE", 0)
+    assert len(tree.feature) > 20 and (fast == tree.leaves(bins)).all()
+
+
+def test_boosting_of_many_rows_is_not_left_to_one_job_per_fold(spark, monkeypatch):
+    """Above the limit of a task, boosting had one Spark model per fold and class; now all advance together."""
+    monkeypatch.setattr(trees, "LIMIT", 200)
+    monkeypatch.setattr(trees.boosted, "__defaults__", (0.1, 200))
+    prepared = _table(spark, 900, 3)
+    data = prepared.select(*[vector_to_array("features")[j].alias(f"x{j}") for j in range(4)], F.col("label").alias("y"))
+    made = automl.train(data, "y", problem="classification", models=["Gradient Boosting"], tune=False,
+                        budget=automl.Budget(boosting_rounds=3))
+    assert isinstance(made.model, automl.FittedTrees) and isinstance(made.model.model, trees.BoostedModel)
+    assert made.leaderboard.first()["status"] == "ok" and made.leaderboard.first()["cv_score"] is not None
