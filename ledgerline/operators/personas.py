@@ -35,31 +35,49 @@ def first_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray
     return np.array(chosen)
 
 
-def _step(rows: DataFrame, features: list[str], centres: np.ndarray, runs: list[int]):
-    """One pass: per restart and cluster the count, the sums and the cost of the rows nearest to its centre."""
-    d, k = len(features), centres.shape[1]
+def _packed(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Blocks of rows as bytes, features by rows under a line of ones, so that a step only multiplies them."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False) for c in batch.columns)])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["x"])
+    from ledgerline.session import cut_lineage
+    return cut_lineage(rows.select(*[F.col(f).cast("double") for f in features]).mapInArrow(run, "x binary"))
+
+
+def _sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Per (restart, cluster) the count and the sums of the columns of ``x`` nearest to its centre (ties: the first)."""
+    runs, k, _ = centres.shape
+    # Half the squared distance, less the part that all centres share.
+    to = np.concatenate([(centres ** 2).sum(axis=2, keepdims=True) / 2, -centres], axis=2)
+    near = (to.reshape(runs * k, -1) @ x).reshape(runs, k, -1)
+    least, label = near[:, 0].copy(), np.zeros((runs, x.shape[1]), dtype=np.int16)
+    for c in range(1, k):
+        np.putmask(label, near[:, c] < least, c)
+        np.minimum(least, near[:, c], out=least)
+    mine = np.equal(label[:, None], np.arange(k, dtype=np.int16)[:, None], out=near, casting="unsafe")
+    return (mine.reshape(runs * k, -1) @ x.T).reshape(runs, k, -1)
+
+
+def _step(packed: DataFrame, centres: np.ndarray, runs: list[int]):
+    """One pass: per restart and cluster the count and the sums of the rows nearest to its centre."""
+    k, d = centres.shape[1:]
 
     def partial(batches):
-        total = np.zeros((len(runs), k, d + 2))
+        total = np.zeros((len(runs), k, d + 1))
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            wide = np.column_stack([np.ones(len(x)), x])
-            for r, run in enumerate(runs):
-                d2 = _squares(x, centres[run])
-                label = d2.argmin(axis=1)
-                for c in range(k):
-                    mine = label == c
-                    total[r, c, :-1] += wide[mine].sum(axis=0)
-                    total[r, c, -1] += d2[mine, c].sum()
+            for block in batch.column("x"):
+                total += _sums(np.frombuffer(block.as_buffer()).reshape(d + 1, -1), centres[runs])
         names = [(run, c) for run in runs for c in range(k)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([n[0] for n in names], pa.int32()), pa.array([n[1] for n in names], pa.int32()),
-             *(pa.array(column) for column in total.reshape(-1, d + 2).T)],
-            ["run", "cluster", *(f"s{i}" for i in range(d + 2))])
+             *(pa.array(column) for column in total.reshape(-1, d + 1).T)],
+            ["run", "cluster", *(f"s{i}" for i in range(d + 1))])
 
-    schema = "run int, cluster int, " + ", ".join(f"s{i} double" for i in range(d + 2))
-    sums = (rows.select(*features).mapInArrow(partial, schema).groupBy("run", "cluster")
-            .agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(d + 2)]).collect())  # restarts x clusters rows
+    schema = "run int, cluster int, " + ", ".join(f"s{i} double" for i in range(d + 1))
+    sums = (packed.mapInArrow(partial, schema).groupBy("run", "cluster")
+            .agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(d + 1)]).collect())  # restarts x clusters rows
     return {(r[0], r[1]): np.array(r[2:]) for r in sums}
 
 
@@ -72,17 +90,21 @@ def kmeans(rows: DataFrame, features: list[str], k: int, restarts: int = 10, see
     """
     mark = F.xxhash64(*features, F.lit(seed))
     sample = rows.select(*features).orderBy(mark, *features).limit(START_ROWS).toPandas().to_numpy(dtype=np.float64)
-    variances = rows.agg(*[F.var_pop(f) for f in features]).first()
-    least = tolerance * float(np.mean([v or 0.0 for v in variances]))
+    spread = rows.agg(*[F.var_pop(f) for f in features], *[F.sum(F.col(f) * F.col(f)) for f in features]).first()
+    least = tolerance * float(np.mean([v or 0.0 for v in spread[:len(features)]]))
+    squares = float(sum(v or 0.0 for v in spread[len(features):]))
+    packed = _packed(rows, features)
     centres = np.stack([first_centres(sample, k, np.random.default_rng(seed + r)) for r in range(restarts)])
     live, sizes, cost = list(range(restarts)), np.zeros((restarts, k)), np.full(restarts, np.inf)
     for step in range(steps):
-        sums = _step(rows, features, centres, live)
+        sums = _step(packed, centres, live)
         still = []
         for run in live:
             found = np.stack([sums[run, c] for c in range(k)])
-            sizes[run], cost[run] = found[:, 0], found[:, -1].sum()
-            new = np.where(found[:, :1] > 0, found[:, 1:-1] / np.maximum(found[:, :1], 1), centres[run])
+            sizes[run] = found[:, 0]
+            # All rows' squared distances to their centres, from the sums alone.
+            cost[run] = squares + ((centres[run] ** 2).sum(axis=1) * found[:, 0]).sum() - 2 * (centres[run] * found[:, 1:]).sum()
+            new = np.where(found[:, :1] > 0, found[:, 1:] / np.maximum(found[:, :1], 1), centres[run])
             moved = ((new - centres[run]) ** 2).sum()
             if moved > least and step < steps - 1:
                 centres[run] = new
