@@ -11,7 +11,7 @@ do not count.
   are made sequentially per client. Gaps of at least ``window_s`` reset the
   state, so each client's timeline is cut at such gaps (found per time
   bucket, not with one window per client) and every piece is decided
-  independently (``applyInPandas`` on (client, piece)). A client that never
+  independently; a task holds whole pieces, one after another. A client that never
   pauses for a whole window remains one sequential piece: the rule itself
   is sequential.
 * ``decide_stream`` (streaming) — the same rule as a stateful operator with
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -63,18 +64,14 @@ def offered_load(df: DataFrame, key: str, ts: str, window_s: int = 60, limit: in
             .withColumn("breach", F.col("prior_requests") >= limit))
 
 
-def _decide_sorted(times_us, limit: int, window_us: int):
-    accepted = deque()
-    out = []
-    for t in times_us:
-        while accepted and t - accepted[0] >= window_us:
-            accepted.popleft()
-        if len(accepted) >= limit:
-            out.append(False)
-        else:
-            out.append(True)
-            accepted.append(t)
-    return out
+def _admit(t: int, accepted: deque, limit: int, window_us: int) -> bool:
+    """Decide the next request of a piece against the accepted ones still in its window."""
+    while accepted and t - accepted[0] >= window_us:
+        accepted.popleft()
+    if len(accepted) >= limit:
+        return False
+    accepted.append(t)
+    return True
 
 
 def decide(df: DataFrame, key: str, ts: str, id_col: str, window_s: int = 60, limit: int = 100,
@@ -110,11 +107,19 @@ def decide(df: DataFrame, key: str, ts: str, id_col: str, window_s: int = 60, li
               .withColumn("_piece", F.coalesce("_start_in", "_carry"))
               .select(id_col, key, ts, "_t", "_piece"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", id_col])
-        flags = _decide_sorted(pdf["_t"].tolist(), limit, window_us)
-        return pd.DataFrame({id_col: pdf[id_col].to_numpy(), key: pdf[key].to_numpy(), ts: pdf[ts].to_numpy(),
-                             "accepted": flags})
+    def run(batches):
+        # The pieces of a task follow one another in order; what is kept between rows are the last accepted times.
+        accepted, left = deque(), 0
+        for batch in batches:
+            flags = []
+            for t, size in zip(batch.column("_t").to_pylist(), batch.column("_size").to_pylist()):
+                if not left:
+                    accepted.clear()
+                    left = size
+                left -= 1
+                flags.append(_admit(t, accepted, limit, window_us))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (id_col, key, ts)] + [pa.array(flags, pa.bool_())],
+                                             [id_col, key, ts, "accepted"])
 
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = f"{id_col} {fields[id_col]}, {key} {fields[key]}, {ts} {fields[ts]}, accepted boolean"
@@ -123,7 +128,8 @@ def decide(df: DataFrame, key: str, ts: str, id_col: str, window_s: int = 60, li
     sizes = pieces.groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_size"))
     sized = pieces.join(sizes, [key, "_piece"])
     short = sized.where(F.col("_size") <= limit).select(id_col, key, ts, F.lit(True).alias("accepted"))
-    long = sized.where(F.col("_size") > limit).drop("_size").groupBy(key, "_piece").applyInPandas(run, schema)
+    long = (sized.where(F.col("_size") > limit).repartition(key, "_piece")
+            .sortWithinPartitions(key, "_piece", "_t", F.asc_nulls_last(id_col)).mapInArrow(run, schema))
     return short.unionByName(long)
 
 
