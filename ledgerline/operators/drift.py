@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import columns as C
 from ledgerline.functions.exprs import kolmogorov_sf
 from ledgerline.functions.ordering import running_totals
+from ledgerline.session import cut_lineage
 
 
 def _long(df: DataFrame, features: list[str], tag: int) -> DataFrame:
@@ -36,8 +37,9 @@ def ks_statistics(train: DataFrame, current: DataFrame, features: list[str], buc
         return spark.createDataFrame([], "feature string, n_train bigint, n_current bigint, ks_statistic double, "
                                          "p_value double")
     both = _long(train, feats, 0).unionByName(_long(current, feats, 1))
-    counts = both.groupBy("feature", "value").agg(
-        F.count_if(F.col("is_cur") == 0).alias("c1"), F.count_if(F.col("is_cur") == 1).alias("c2"))
+    # Counted once and kept: the ranges, their totals and the running counts all read the counts, not the samples.
+    counts = cut_lineage(both.groupBy("feature", "value").agg(
+        F.count_if(F.col("is_cur") == 0).alias("c1"), F.count_if(F.col("is_cur") == 1).alias("c2")))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = counts.groupBy("feature").agg(F.percentile_approx("value", probs, 10000).alias("cuts"),
                                          F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
