@@ -46,3 +46,33 @@ def test_drift_reads_its_samples_once(spark, tmp_path):
     t = spark.read.parquet(str(tmp_path / "t"))
     out = drift.drift(t.where("a < 60"), t.where("a >= 30"), ["a"])
     assert "FileScan" not in _plan(out) and out.first()["drift_detected"]
+
+
+def test_farthest_neighbours_come_with_the_neighbours(spark):
+    from ledgerline.operators import neighbours
+    rng = np.random.default_rng(5)
+    xs = np.unique(rng.integers(0, 1000, 300)).astype(float)
+    rows = [(i, int(rng.integers(1, 9)), float(x)) for i, x in enumerate(xs)]
+    near = neighbours.weighted_neighbours(spark.createDataFrame(rows, "id long, w long, x double"), ["x"], 5, cell=40).toPandas()
+    top = near.groupby("id")["d2"].max()
+    marked = near[near["far"].notna()].set_index("id")["far"]
+    assert len(marked) == len(rows) and (marked.sort_index() == top.sort_index()).all()
+    assert near.groupby("id")["take"].sum().eq(5).all()
+
+
+def test_a_second_scan_makes_no_results_again(spark, monkeypatch):
+    from ledgerline.plans import q_alerts
+    made = []
+
+    def result(name, rows, schema):
+        def run(session, sf):
+            made.append(name)
+            return session.createDataFrame(rows, schema)
+        monkeypatch.setattr(q_alerts, name, run)
+    result("quality_results", [("p", "d", "f", 50.0), ("project-1", "e", "g", 70.0)],
+           "project_id string, dataset_id string, filename string, score double")
+    result("forecast_results", [("p", "sales", 10.0, 5.0)], "project_id string, target string, hist_avg double, fore_avg double")
+    result("monitoring_results", [("p", "m", 50.0, "critical")],
+           "project_id string, model_id string, drift_percentage double, status string")
+    result("anomaly_results", [("p", "r", 9, 9.0)], "project_id string, run_id string, anomaly_count long, anomaly_percentage double")
+    assert [r["source_id"] for r in q_alerts.al5(spark, "").collect()] == ["e"] and len(made) == 4
