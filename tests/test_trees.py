@@ -64,6 +64,19 @@ def test_cut_trees_are_the_limited_ones_and_repeated_rows_end():
     assert len(lone.feature) == 1 and lone.value[0, 0] == 24.5
 
 
+@pytest.mark.parametrize("n_classes", [0, 4])
+def test_rows_are_sorted_once_for_all_lower_levels(monkeypatch, n_classes):
+    draw, sort, calls = np.random.default_rng(5), np.sort, []
+    bins = draw.integers(0, 200, (4000, 3)).astype(np.uint8)
+    y = draw.integers(0, n_classes or 50, 4000).astype(float)
+    w = draw.integers(1, 4, 4000).astype(float)
+    monkeypatch.setattr(np, "sort", lambda *a, **k: calls.append(1) or sort(*a, **k))
+    tree = trees.grow(bins, *trees.statistics(y, w, n_classes), w, 3, 1)
+    assert 0 < len(calls) <= 3
+    monkeypatch.undo()
+    assert np.allclose(tree.predict(bins)[0], _plain(bins, y, w, n_classes, 99))
+
+
 def _table(spark, n=1500, n_classes=3):
     df = spark.range(n).select(
         *((F.pmod(F.xxhash64("id", F.lit(j)), F.lit(40)) / 7.0).alias(f"x{j}") for j in range(4)), "id")
