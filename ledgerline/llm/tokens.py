@@ -11,6 +11,8 @@ and only those a worker has not met lately go through the library.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 
@@ -23,16 +25,17 @@ END = 0
 _AFTER = np.ones(256, dtype=bool)
 _AFTER[:0x21] = False
 _AFTER[[0x7F, 0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = False
-_MARK = np.zeros(256, dtype=bool)
-_MARK[[*b",.;:!?"]] = True
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+# A chunk begins where a bit of the byte meets the same bit of the byte before it: white space after no white space, or a
+# mark after a letter.
+_BYTE, _BEFORE = W.SPACE.astype(np.uint8), _AFTER.astype(np.uint8)
+_BYTE[[*b",.;:!?"]] |= 2
+_BEFORE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] |= 2
 _SPACES, _ENDS = frozenset(np.flatnonzero(W.SPACE).tolist()), frozenset(np.flatnonzero(_AFTER).tolist())
 
 
 def _cuts(buf: np.ndarray) -> np.ndarray:
     """Whether a chunk begins at each byte but the first."""
-    return W.SPACE[buf[1:]] & _AFTER[buf[:-1]] | _MARK[buf[1:]] & _LETTER[buf[:-1]]
+    return (_BYTE.take(buf[1:]) & _BEFORE.take(buf[:-1])) > 0
 
 
 class Chunks:
@@ -57,7 +60,7 @@ class Chunks:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.ends = np.array([END], np.uint32), np.array([0, 1])     # number 0: the end of a text
 
     def add(self, chunks: list[bytes]) -> None:
         """Encode new chunks. Those that begin with white space and end without are encoded many at a time, as
@@ -89,12 +92,15 @@ class Chunks:
 
     def find(self, chunks: list[bytes]) -> np.ndarray:
         """Number of each chunk, encoding those not known."""
-        fresh = [c for c in chunks if c not in self.number]
-        if len(self.number) + len(fresh) > KNOWN:
+        out = np.fromiter(map(self.number.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        missing = np.flatnonzero(out < 0)
+        if len(self.number) + len(missing) > KNOWN:
             self.clear()
-            fresh = chunks
+            missing = np.arange(len(chunks))
+        fresh = [chunks[i] for i in missing.tolist()]
         self.add(fresh)
-        return np.fromiter(map(self.number.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        out[missing] = np.fromiter(map(self.number.__getitem__, fresh), dtype=np.int64, count=len(fresh))
+        return out
 
 
 def _chunks(path: str, cache: dict = {}) -> Chunks:
@@ -108,6 +114,14 @@ def vocabulary_size(path: str) -> int:
     return _chunks(path).size
 
 
+def _values(binary: pa.LargeBinaryArray) -> list[bytes]:
+    """``to_pylist`` of an array without nulls, by slicing its data once."""
+    _, offsets, data = binary.buffers()
+    at = np.frombuffer(offsets, np.int64)[binary.offset:binary.offset + len(binary) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
 def encode_slice(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, first): unsigned 32-bit ids of a run of texts, each followed by END, and each text's place (n + 1)."""
     known = _chunks(path)
@@ -120,14 +134,16 @@ def encode_slice(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     chunks = pa.Array.from_buffers(pa.large_binary(), len(at), [
         None, pa.py_buffer(np.append(at, n).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])
     coded = chunks.dictionary_encode()
-    number = known.find(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-    flat, begin = known.flat, known.ends[:-1][number]
-    count = known.ends[1:][number] - begin
-    # Place of every chunk's ids, with one slot for END after each text.
-    text_of = np.searchsorted(off[1:], at, side="right")
+    number = known.find(_values(coded.dictionary)).take(coded.indices.to_numpy(zero_copy_only=False))
+    # Every text's chunks, then the end.
+    chunk = np.searchsorted(at, off) + np.arange(len(off))
+    order = np.zeros(len(at) + len(off) - 1, dtype=np.int64)
+    inner = np.ones(len(order), dtype=bool)
+    inner[chunk[1:] - 1] = False
+    order[inner] = number
+    begin = known.ends.take(order)
+    count = known.ends.take(order + 1) - begin
     ends = np.concatenate([[0], np.cumsum(count)])
-    first = ends[np.searchsorted(at, off)] + np.arange(len(off))
-    out = np.zeros(int(ends[-1]) + len(off) - 1, dtype=np.uint32)
-    source = np.arange(int(ends[-1])) - np.repeat(ends[:-1] - begin, count)
-    out[np.arange(int(ends[-1])) + np.repeat(text_of, count)] = flat[source]
-    return out, first
+    source = np.repeat(begin - ends[:-1], count)
+    source += np.arange(len(source))
+    return known.flat.take(source), ends.take(chunk)

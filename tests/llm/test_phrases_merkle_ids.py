@@ -135,6 +135,13 @@ def test_chunks_have_the_ids_of_the_whole_text(texts):
         assert ids[first[i]:first[i + 1]].tolist() == _library_ids(t)
 
 
+def test_distinct_chunks_are_sliced_from_their_data():
+    held = pa.array([b"", b" a", b"", b"\xc3\xa9", b"b,"], pa.large_binary())
+    for lo in range(6):
+        assert tokens._values(held.slice(lo)) == held.slice(lo).to_pylist()
+    assert tokens._values(held.slice(1, 2)) == [b" a", b""] and tokens._values(pa.array([], pa.large_binary())) == []
+
+
 def test_token_ids_match_the_library(docs, spark):  # noqa: F811
     got = rows(queries.op13_token_ids(spark, SF), "doc_id", "start", "n_tokens", "ids_crc32")
     assert sorted(got) == _want_ids(rows(docs, "doc_id", "text"))
