@@ -38,6 +38,7 @@ ROUNDS = 1
 PRIOR = 4.0            # weight of P(class) against the counts after a class
 _FLUSH = 2_000_000
 _CELLS = 1 << 15       # context cells whose gains are taken at once
+_PIECE = 1 << 18       # tokens whose context cells are counted at once, but for a single word's
 END = UNITS + FORMS
 
 
@@ -191,12 +192,11 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _classes(batch, head: Head, of: np.ndarray, back: np.ndarray):
-    """Class, hash and document of every token of the rows, and each row's rare words (offsets, found entries)."""
+    """Class and hash of every token of the rows, the rows' places (n + 1), and the rare words found (row, entry)."""
     seq, first = _flat(batch.column("seq"))
     rare, at = _flat(batch.column("rare"))
     form, _ = _flat(batch.column("form"))
-    seq, rare = seq.to_numpy().astype(np.int64), rare.to_numpy().view(np.uint64)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    seq, rare = seq.to_numpy(), rare.to_numpy().view(np.uint64)
     rare_class = back[form.to_numpy()]
     found = None
     if "got" in batch.schema.names:
@@ -205,28 +205,58 @@ def _classes(batch, head: Head, of: np.ndarray, back: np.ndarray):
         spot = at[row] + got.field("k").to_numpy()
         rare_class[spot] = got.field("cls").to_numpy()
         found = (row, got)
-    c, h = np.zeros(len(seq), np.int64), np.zeros(len(seq), np.uint64)
-    known = seq >= 0
+    c, h = np.zeros(len(seq), np.uint8), np.zeros(len(seq), np.uint64)
+    known, other = np.flatnonzero(seq >= 0), np.flatnonzero(seq < 0)
     c[known], h[known] = of[seq[known]], head.hash[seq[known]]
-    spot = at[doc[~known]] - seq[~known] - 1
-    c[~known], h[~known] = rare_class[spot], rare[spot]
-    return c, h, first, doc, found
+    spot = at[np.searchsorted(first, other, side="right") - 1] - seq[other] - 1
+    c[other], h[other] = rare_class[spot], rare[spot]
+    return c, h, first, found
 
 
 def _around(c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class before and after each token, and the counts of class bigrams, text ends included."""
     end = CLASSES - 1
-    before, after = np.full(len(c), end), np.full(len(c), end)
+    before, after = np.full(len(c), end, np.uint8), np.full(len(c), end, np.uint8)
     before[1:], after[:-1] = c[:-1], c[1:]
     some = np.diff(first) > 0
     before[first[:-1][some]] = end
     after[first[1:][some] - 1] = end
-    pairs = np.bincount(before * CLASSES + c, minlength=CLASSES * CLASSES)
-    pairs += np.bincount(c[first[1:][some] - 1] * CLASSES + end, minlength=CLASSES * CLASSES)
+    pairs = np.bincount(before.astype(np.int32) * CLASSES + c, minlength=CLASSES * CLASSES)
+    pairs += np.bincount(c[first[1:][some] - 1].astype(np.int32) * CLASSES + end, minlength=CLASSES * CLASSES)
     pairs[-1] += int((~some).sum())
     return before, after, pairs
 
 
+def context_cells(parts: list[tuple[np.ndarray, ...]]):
+    """(word, its class, place of its cells (n + 1), cells, n) of tokens (hash, class, before, after), which are taken out of
+    ``parts``. Few arrays are held at once: a worker's memory is that of a token's 11 bytes and two sorts."""
+    h, c, before, after = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    by = np.argsort(h, kind="stable")
+    h = h[by]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    begin = np.flatnonzero(new)
+    words, old = h[begin], c[by[begin]]
+    del h, c, new
+    before, after = before[by], after[by]
+    del by
+    width = 2 * CLASSES
+    cells, n, at = [], [], np.zeros(len(words) + 1, np.int64)
+    ends = np.append(begin[1:], len(before))
+    lo = 0
+    while lo < len(words):             # the tokens of some words at a time
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + _PIECE)))
+        a, b = begin[lo], ends[hi - 1]
+        word = np.repeat(np.arange(hi - lo) * width, ends[lo:hi] - begin[lo:hi])
+        cell, times = np.unique(np.concatenate([word + before[a:b], word + CLASSES + after[a:b]]), return_counts=True)
+        at[lo + 1:hi + 1] = at[lo] + np.searchsorted(cell, np.arange(1, hi - lo + 1) * width)
+        cells.append((cell % width).astype(np.int32))
+        n.append(times.astype(np.int32))
+        lo = hi
+    return words, old, at, np.concatenate([*cells, np.zeros(0, np.int32)]), np.concatenate([*n, np.zeros(0, np.int32)])
+
+
 CONTEXTS = "hash long, old int, cells array<int>, n array<int>"
 
 
@@ -238,7 +268,7 @@ def contexts(rows: DataFrame, head, of: np.ndarray, back: np.ndarray) -> DataFra
     def count(batches):
         parts, size, total = [], 0, np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
-            c, h, first, _, _ = _classes(batch, head.value, of, back)
+            c, h, first, _ = _classes(batch, head.value, of, back)
             before, after, pairs = _around(c, first)
             total += pairs
             parts.append((h, c, before, after))
@@ -255,14 +285,11 @@ def contexts(rows: DataFrame, head, of: np.ndarray, back: np.ndarray) -> DataFra
                       total[some], null=True)
 
     def summed(parts):
-        h, c, before, after = (np.concatenate(x) for x in zip(*parts))
-        words, one, word = np.unique(h, return_index=True, return_inverse=True)
-        width = 2 * CLASSES
-        cells, n = np.unique(np.concatenate([word * width + before, word * width + CLASSES + after]), return_counts=True)
+        words, old, at, cells, n = context_cells(parts)
         for lo in range(0, len(words), 20_000):
             hi = min(lo + 20_000, len(words))
-            at = np.searchsorted(cells, np.arange(lo, hi + 1) * width)
-            yield out(words[lo:hi], c[one[lo:hi]], at - at[0], cells[at[0]:at[-1]] % width, n[at[0]:at[-1]])
+            a, b = at[lo], at[hi]
+            yield out(words[lo:hi], old[lo:hi], at[lo:hi + 1] - a, cells[a:b], n[a:b])
 
     def out(h, old, at, cells, n, null=False):
         at = pa.array(at, pa.int32())
@@ -453,13 +480,13 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
 
     def classed(batches):
         for batch in batches:
-            c, _, first, _, (row, got) = _classes(batch, sent_head.value, of, back)
+            c, _, first, (row, got) = _classes(batch, sent_head.value, of, back)
             n, times = got.field("n").to_numpy(), got.field("times").to_numpy()
             size = len(first) - 1
             known = batch.column("known").to_numpy() + np.bincount(row, weights=times, minlength=size).astype(np.int64)
             mass = batch.column("mass").to_numpy() + np.bincount(
                 row, weights=times * (np.log10(n + ADD) - math.log10(ADD)), minlength=size)
-            data = c.astype(np.uint8).tobytes()
+            data = c.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("learn"), pa.array(known), pa.array(mass),
                  pa.array([data[a:b] for a, b in zip(first, first[1:])], pa.binary())],
@@ -472,7 +499,7 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     def read(batch):
         texts = batch.column("classes").to_pylist()
         first = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-        return np.frombuffer(b"".join(texts), np.uint8).astype(np.int64), first
+        return np.frombuffer(b"".join(texts), np.uint8), first
 
     def bigrams(batches):
         total = np.zeros(CLASSES * CLASSES, np.int64)

@@ -326,6 +326,34 @@ def test_lm_words_outside_the_units_get_the_class_of_their_contexts(spark, monke
     assert learned > ideal + held * 160 * math.log10(0.9)
 
 
+def test_lm_context_cells_take_little_memory(monkeypatch):
+    import tracemalloc
+    draw = np.random.default_rng(2)
+
+    def tokens(n, words):
+        h = draw.integers(0, words, n).astype(np.uint64)
+        return (h * np.uint64(0x9E3779B97F4A7C15), (h % np.uint64(63)).astype(np.uint8),
+                *draw.integers(0, 64, (2, n)).astype(np.uint8))
+
+    monkeypatch.setattr(brown, "_PIECE", 100)
+    part = tokens(3000, 200)
+    want: dict = {}
+    for h, c, before, after in zip(*(x.tolist() for x in part)):
+        for cell in (before, 64 + after):
+            want[h, c, cell] = want.get((h, c, cell), 0) + 1
+    words, old, at, cells, n = brown.context_cells([tuple(x[:1000] for x in part), tuple(x[1000:] for x in part)])
+    word = np.repeat(np.arange(len(words)), np.diff(at))
+    assert want == dict(zip(zip(words[word].tolist(), old[word].tolist(), cells.tolist()), n.tolist()))
+    assert (np.diff(words.astype(object)) > 0).all() and at[-1] == len(cells) == len(want)
+    monkeypatch.undo()
+    parts = [tokens(200_000, 300_000) for _ in range(10)]
+    tracemalloc.start()
+    brown.context_cells(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130e6
+
+
 def test_lm_edges(edges):
     got = brown.score(edges).collect()
     assert len(got) == len(EDGES) and all(math.isfinite(r.score) and r.n_tokens >= 1 for r in got)
