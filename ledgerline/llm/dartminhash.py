@@ -43,6 +43,10 @@ PIVOTS = 2
 MIN_YIELD = 0.001
 #: Cells of the strip frequency table: its size, and the broadcast's, is this many bytes whatever the input.
 CELLS = 1 << 22
+#: Darts drawn at once in a task (about 70 bytes each); a memory bound without effect on the signatures.
+DARTS = 1 << 17
+#: Strips whose prefixes are taken at once in a task (about 80 bytes each).
+STRIPS = 1 << 19
 _STRIP = np.uint64(0xD1B54A32D192ED03)
 _GAP = np.uint64(0x8CB92BA72F3D8DD7)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -63,22 +67,30 @@ def weight_strips(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _throw(strip: np.ndarray, doc: np.ndarray, limit: np.ndarray, sig: np.ndarray, k: int) -> None:
-    """Throw each strip's darts up to its document's rank limit; keep the earliest per coordinate."""
+    """Throw each strip's darts up to its document's rank limit; keep the earliest per coordinate.
+
+    DARTS darts are drawn at once: strips of short documents, with their high limits, come some at a time.
+    """
     rank = np.zeros(len(strip))
     done, block = 0, 1
     while len(strip):
-        n = np.arange(done, done + block, dtype=np.uint64)
-        h = W.mix(strip[:, None] + n[None, :] * _GAP)
-        gap = -np.log1p(-((h >> np.uint64(11)).astype(np.float64) / 9007199254740992.0))
-        at = rank[:, None] + np.cumsum(gap, axis=1)
-        hit = at < limit[doc][:, None]
-        row = np.nonzero(hit)[0]
-        dart = W.mix(h[hit] + np.uint64(1))
-        coordinate = ((dart >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
-        value = (at[hit].view(np.uint64) & ~np.uint64(0xFFFFF)) | (dart & np.uint64(0xFFFFF))
-        np.minimum.at(sig, doc[row] * k + coordinate, value)
-        on = hit[:, -1]
-        rank, strip, doc = at[on, -1], strip[on], doc[on]
+        n = np.arange(done, done + block, dtype=np.uint64) * _GAP
+        on, end = np.zeros(len(strip), dtype=bool), np.empty(len(strip))
+        some = max(1, DARTS // block)
+        for lo in range(0, len(strip), some):
+            part = slice(lo, lo + some)
+            h = W.mix(strip[part, None] + n[None, :])
+            gap = -np.log1p(-((h >> np.uint64(11)).astype(np.float64) / 9007199254740992.0))
+            at = rank[part, None] + np.cumsum(gap, axis=1)
+            owner = doc[part]
+            hit = at < limit[owner][:, None]
+            row = np.nonzero(hit)[0]
+            dart = W.mix(h[hit] + np.uint64(1))
+            coordinate = ((dart >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
+            value = (at[hit].view(np.uint64) & ~np.uint64(0xFFFFF)) | (dart & np.uint64(0xFFFFF))
+            np.minimum.at(sig, owner[row] * k + coordinate, value)
+            on[part], end[part] = hit[:, -1], at[:, -1]
+        rank, strip, doc = end[on], strip[on], doc[on]
         done += block
         block = 4 if block == 1 else 64
 
@@ -184,24 +196,27 @@ def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
     def prefixes(batches):
         for batch in batches:
             strips = [np.frombuffer(x, np.uint32) for x in batch.column("strips").to_pylist()]
-            if not strips:
-                continue
-            n = np.array([len(x) for x in strips])
-            doc = np.repeat(np.arange(len(n)), n)
-            value = np.concatenate(strips)
-            key = ((doc.astype(np.uint64) << np.uint64(40)) | value
-                   | (held.value[value % CELLS].astype(np.uint64) << np.uint64(32)))
-            key.sort()
-            place = np.arange(len(key)) - (np.cumsum(n) - n)[doc]
-            longest = n - np.ceil(threshold * n - 1e-6).astype(np.int64) + 1
-            smaller = n - np.ceil(2 * share * n - 1e-6).astype(np.int64) + 1
-            keep = (place < longest[doc]) & ((key >> np.uint64(32)) & np.uint64(255) > 0)
-            doc, place = doc[keep], place[keep]
-            owner = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((key[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)), batch.column("node").take(owner),
-                 batch.column("label").take(owner), pa.array(place, pa.int32()), pa.array(n[doc], pa.int32()),
-                 pa.array(place < smaller[doc])], ["strip", "node", "label", "place", "n", "first"])
+            size = np.array([len(x) for x in strips], dtype=np.int64)
+            upto = np.cumsum(size)
+            lo = 0
+            while lo < len(strips):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STRIPS, side="right")))
+                n, value = size[lo:hi], np.concatenate(strips[lo:hi])
+                doc = np.repeat(np.arange(len(n)), n)
+                key = ((doc.astype(np.uint64) << np.uint64(40)) | value
+                       | (held.value[value % CELLS].astype(np.uint64) << np.uint64(32)))
+                key.sort()
+                place = np.arange(len(key)) - (np.cumsum(n) - n)[doc]
+                longest = n - np.ceil(threshold * n - 1e-6).astype(np.int64) + 1
+                smaller = n - np.ceil(2 * share * n - 1e-6).astype(np.int64) + 1
+                keep = (place < longest[doc]) & ((key >> np.uint64(32)) & np.uint64(255) > 0)
+                doc, place = doc[keep], place[keep]
+                owner = pa.array(doc + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)), batch.column("node").take(owner),
+                     batch.column("label").take(owner), pa.array(place, pa.int32()), pa.array(n[doc], pa.int32()),
+                     pa.array(place < smaller[doc])], ["strip", "node", "label", "place", "n", "first"])
+                lo = hi
 
     rows = store(sets.mapInArrow(prefixes, "strip long, node binary, label binary, place int, n int, first boolean"))
     commonest = (rows.groupBy("strip", "label").agg(F.count("*").alias("c"))

@@ -28,6 +28,7 @@ from ledgerline.llm import words as W
 from ledgerline.llm.common import bound_batches, store, text_node
 
 PART_BYTES = 24_000_000          # text bytes per hash partition (about 4 million windows)
+SLICE = 1_000_000                # text bytes looked at together; memory is about 90 bytes per byte of it
 _SPREAD = 4
 _LAST = 2 ** 63 - 1              # a null id is later than every other
 _ENTRY = "part int, own boolean, hash binary, pos binary, doc binary, node binary, ord binary"
@@ -226,7 +227,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
         seen: set[bytes] = set()
         for batch in batches:
             texts, nodes = batch.column("text"), batch.column("node")
-            for lo, hi in W.slices(texts):
+            for lo, hi in W.slices(texts, SLICE):
                 keep, node = [], []
                 for i, x in enumerate(nodes.slice(lo, hi - lo).to_pylist()):
                     if x not in seen:
@@ -251,7 +252,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
         buffer = _Buffer(parts, False)
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in W.slices(texts):
+            for lo, hi in W.slices(texts, SLICE):
                 words = W.split(texts.slice(lo, hi - lo))
                 alive = np.zeros(len(words.hash), dtype=bool)
                 for i, marks in enumerate(batch.column("marks").slice(lo, hi - lo).to_pylist()):
@@ -273,7 +274,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
     def cut(batches):
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in W.slices(texts):
+            for lo, hi in W.slices(texts, SLICE):
                 words = W.split(texts.slice(lo, hi - lo))
                 n = np.diff(words.first)
                 gone = np.zeros(len(words.hash) + 1, dtype=np.int64)

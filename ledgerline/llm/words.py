@@ -97,12 +97,12 @@ def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def slices(texts: pa.Array):
-    """(from, to) row ranges of about SLICE_BYTES each."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES):
+    """(from, to) row ranges of about ``size`` bytes each."""
     _, off = string_bytes(texts)
     at, n = 0, len(texts)
     while at < n:
-        to = int(np.searchsorted(off, off[at] + SLICE_BYTES, side="right")) - 1
+        to = int(np.searchsorted(off, off[at] + size, side="right")) - 1
         to = min(n, max(at + 1, to))
         yield at, to
         at = to

@@ -98,6 +98,22 @@ def test_signature_estimates_weighted_similarity():
     assert abs((sig[0] == sig[1]).mean() - 200 / 460) < 0.04
 
 
+def test_signatures_of_short_documents_take_little_memory(monkeypatch):
+    """Short documents have high rank limits: every strip of them throws many darts."""
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    owner = np.repeat(np.arange(4000), 40)
+    strip, doc = dartminhash.weight_strips(rng.integers(0, 2 ** 64, len(owner), dtype=np.uint64), owner)
+    tracemalloc.start()
+    sig = dartminhash.signatures(strip, doc, 4000, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6        # all strips at once: about 500 MB
+    monkeypatch.setattr(dartminhash, "DARTS", 100)
+    few = doc < 50
+    assert np.array_equal(dartminhash.signatures(strip[few], doc[few], 50, 100), sig[:50])
+
+
 def test_top_k_matches_brute_force(spark):
     got = rows(queries.op2_top_k(spark, SF), "query_id", "rank", "vec_id", "score")
     table = [(r.vec_id, [math.floor(256 * x) for x in r.embedding])
