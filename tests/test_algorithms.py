@@ -192,3 +192,30 @@ def test_rate_limit_pieces_cross_buckets(spark):
     got = {r["rid"]: r["accepted"] for r in rate_limit.decide(df, "user", "ts", "rid", 10, 4, span_windows=2).collect()}
     exp = _brute_rate([(r[2] - base).total_seconds() for r in rows], 4, 10)
     assert [got[r[0]] for r in rows] == exp
+
+
+def test_cross_validation_is_one_fit_a_fold(spark, monkeypatch):
+    """The scores are those of Spark's cross-validator, which would fit all rows once more; a fold without rows is an error."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator
+
+    from ledgerline.operators import automl
+    rows = spark.range(0, 300, 1, 3).selectExpr("cast(id % 17 as double) as x", "cast(id % 5 as int) as fold", """
+        3 * (id % 17) + 0.01D * (id * id % 97) as label""")
+    plain = automl.train(rows.select("x", "label"), "label", problem="regression", models=["Linear Regression"])
+    fits, fit = [], LinearRegression._fit
+    monkeypatch.setattr(LinearRegression, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    again = automl.train(rows.select("x", "label"), "label", problem="regression", models=["Linear Regression"])
+    assert len(fits) == 6                       # the holdout's and five folds'
+    assert again.leaderboard.first()["cv_score"] == plain.leaderboard.first()["cv_score"]
+
+    from pyspark.ml.feature import VectorAssembler
+    ready = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows).withColumnRenamed("fold", "_fold")
+    judge = RegressionEvaluator(metricName="r2")
+    spark_cv = CrossValidator(estimator=LinearRegression(), estimatorParamMaps=[{}], evaluator=judge, foldCol="_fold", numFolds=5)
+    want = spark_cv.fit(ready).avgMetrics[0]
+    assert abs(automl._cross_validated(LinearRegression(), ready, judge, 5) - want) < 1e-9
+    for left, what in (("_fold <> 3", "validation data at fold 3"), ("_fold = 0", "training data at fold 0")):
+        with pytest.raises(ValueError, match=what):
+            automl._cross_validated(LinearRegression(), ready.where(left), judge, 5)
