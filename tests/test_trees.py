@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerline.operators import automl, nets, trees
+from ledgerline.session import folder_exists
 
 
 def _plain(bins, y, w, n_classes, depth):
@@ -216,3 +217,30 @@ def test_boosting_of_many_rows_is_not_left_to_one_job_per_fold(spark, monkeypatc
                         budget=automl.Budget(boosting_rounds=3))
     assert isinstance(made.model, automl.FittedTrees) and isinstance(made.model.model, trees.BoostedModel)
     assert made.leaderboard.first()["status"] == "ok" and made.leaderboard.first()["cv_score"] is not None
+
+
+def test_boosting_in_spark_keeps_one_table_of_scores(spark, monkeypatch):
+    """Each rewriting of the rows' scores left the table before on the disk, 25 of them in 100 rounds."""
+    paths, made = [], trees.scratch_path
+    monkeypatch.setattr(trees, "scratch_path", lambda *a: paths.append(made(*a)) or paths[-1])
+    prepared = _table(spark, 600, 0)
+    rows = trees.binned(prepared, trees.quantile_cuts(prepared.select(F.expr("array(x0, x1, x2, x3)").alias("features")), 4))
+    said, _ = trees.boosted(rows, [trees.Fit("Gradient Boosting", "", 0, 1, False, 4)], 4, 0, trees.KEEP + 1, 2, limit=100)
+    assert len(paths) == 2 and said.count() == 120
+    assert not any(folder_exists(spark, p) for p in paths)
+
+
+def test_rows_are_routed_through_eight_trees_at_once():
+    draw = np.random.default_rng(3)
+    widths = [256, 3, 40, 1, 7]
+    bins = np.stack([draw.integers(0, w, 3000) for w in widths]).astype(np.uint8)
+    made = [trees.grow(bins.T, *trees.statistics(y, np.ones(3000), 0), np.ones(3000), 5, 1, depth)
+            for y, depth in ((draw.random(3000), d) for d in (0, 1, 2, 3, 3, 3, 5, 3, 3, 2, 3))]
+    shared = trees._joint(widths)
+    assert sorted(q for own, _ in shared for q in own) == list(range(5)) and len(shared) == 2
+    pick = trees._Routes(made, shared, widths).of([trees._cells_of(bins, own, widths) for own, _ in shared], bins)
+    for k, tree in enumerate(made):
+        assert (pick(k, np.arange(len(tree.feature))) == tree.leaves(bins.T)).all()
+    sums = {q: x for own, cells in shared for q, x in trees._by_feature(
+        np.bincount(trees._cells_of(bins, own, widths), minlength=cells)[None], own, widths).items()}
+    assert all((sums[q][0] == np.bincount(bins[q], minlength=w)).all() for q, w in enumerate(widths))
